@@ -22,6 +22,10 @@ PRICE_RATES = {"sg": 1.0, "my": 0.32}
 PRICE_DEFAULT_RATE = 0.074
 
 
+# Python's str.isspace() set: Unicode White_Space plus the separators U+001C..U+001F.
+PY_WHITESPACE = r"(?U)[\s\x{1c}-\x{1f}]"
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -29,7 +33,7 @@ def col(c) -> Column:
 # ---------------------------------------------------------------- tokenising
 def words_ws(c) -> Column:
     """``s.split()``: runs of Unicode whitespace, no empty pieces."""
-    return F.filter(F.split(col(c), r"(?U)\s+", -1), lambda w: w != F.lit(""))
+    return F.filter(F.split(col(c), PY_WHITESPACE + "+", -1), lambda w: w != F.lit(""))
 
 
 def words_space(c) -> Column:
@@ -243,7 +247,7 @@ def distinct_char_counts(c) -> dict[str, Column]:
     d = distinct_chars(c)
     return {
         "c_set_len": F.size(d),
-        "c_alpha_len": F.size(F.filter(d, lambda ch: ch.rlike(r"^\p{IsAlphabetic}$"))),
+        "c_alpha_len": F.size(F.filter(d, lambda ch: ch.rlike(r"^\p{L}$"))),
         "c_digit_len": F.size(F.filter(d, lambda ch: ch.rlike(r"^(?U)\d$"))),
         "c_printable_len": F.size(F.filter(d, lambda ch: ~ch.rlike(r"^[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}]$") | (ch == F.lit(" ")))),
     }
@@ -288,7 +292,7 @@ def space_stats(c) -> dict[str, Column]:
     return {
         "space_cnt": cnt,
         "space_ratio": safe_div(cnt, word_len_space(s)),
-        "startswith_alpha": s.rlike(r"^\p{IsAlphabetic}").cast("int"),
+        "startswith_alpha": s.rlike(r"^\p{L}").cast("int"),
         "startswith_space": s.startswith(" ").cast("int"),
     }
 
@@ -328,12 +332,12 @@ def found_after_start(text, needle, match_at_start: bool = False) -> Column:
 
 def category_word_in_text(category, text, match_at_start: bool = False) -> Column:
     """Some space word of the category occurs in the text."""
-    return F.exists(F.split(col(category), " ", -1),
+    return F.exists(words_ws(category),
                     lambda w: found_after_start(text, w, match_at_start)).cast("int")
 
 
 WORD_BANDS = [(None, 5), (5, 10), (10, 13), (13, 20), (20, 30), (30, None)]
-CHAR_BANDS = [(None, 20), (None, 50), (None, 75), (None, 100), (None, 150), (150, None)]
+CHAR_BANDS = [(None, 20), (20, 50), (50, 75), (75, 100), (100, 150), (150, None)]
 
 
 def band_flags(x: Column, bands, prefix: str) -> dict[str, Column]:
