@@ -124,6 +124,11 @@ def token_at(c, i: int, missing: str = "NA", sep: str = " ") -> Column:
     return F.coalesce(F.get(F.split(col(c), sep, -1), i), F.lit(missing))
 
 
+def ws_token_at(c, i: int, missing: str = "NA") -> Column:
+    """The i-th (0-based) whitespace word, ``missing`` if absent."""
+    return F.coalesce(F.get(words_ws(c), i), F.lit(missing))
+
+
 def char_shape(c) -> Column:
     """Upper-case letter -> A, other letter -> a, digit -> N, rest kept.
 

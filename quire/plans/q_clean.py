@@ -12,6 +12,9 @@ from quire.plans.oracle_views import views
 from quire.plans.registry import query
 
 CATS = ["category_lvl_1", "category_lvl_2", "category_lvl_3"]
+PYWS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+        r"\x{205f}\x{3000}]")
+WS_WORDS_SQL = "list_filter(regexp_split_to_array({0}, '" + PYWS + "+'), lambda x: x <> '')"
 
 
 @query("p1_clean_html", oracle=views("h") + r"""
@@ -122,11 +125,11 @@ def p10_category_token_at(spark, sf_dir):
 
 @query("p11_title_word_at", oracle=views("d") + r"""
 select sku_id,
-""" + ",\n".join(f"  coalesce(string_split(title, ' ')[{i + 1}], 'NA') as word_{i}" for i in range(1, 12))
-    + "\nfrom d")
+""" + ",\n".join(f"  coalesce(({WS_WORDS_SQL.replace('{0}', 'title')})[{i + 1}], 'NA') as word_{i}"
+                for i in range(1, 12)) + "\nfrom d")
 def p11_title_word_at(spark, sf_dir):
     """Title words at positions 1..11 (0-based), 'NA' when missing."""
-    return D(spark, sf_dir).select("sku_id", *[X.token_at("title", i).alias(f"word_{i}") for i in range(1, 12)])
+    return D(spark, sf_dir).select("sku_id", *[X.ws_token_at("title", i).alias(f"word_{i}") for i in range(1, 12)])
 
 
 SHAPE_SQL = ("translate(regexp_replace(regexp_replace(regexp_replace({0}, '\\p{{Nd}}', chr(1), 'g'), "

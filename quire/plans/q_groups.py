@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import convert_price, combo_key
+from quire.functions.text import combo_key, convert_price, space_punctuation, word_len_space
 from quire.operators import groups as G
 from quire.operators.joins import attach, bounded, materialize
-from quire.plans.common import C, r
+from quire.plans.common import C, D, r
 from quire.plans.oracle_views import views
 from quire.plans.registry import query
 
@@ -146,3 +146,270 @@ def j1_left_join_group_stats(spark, sf_dir):
     small aggregate attached by broadcast; the listing rows never shuffle."""
     out = attach_category_entropies(attach_price_stats(C(spark, sf_dir)))
     return out.select("sku_id", *[r(k).alias(k) for k in PRICE_STATS_COLS + ENTROPY_COLS])
+
+
+# --------------------------------------------------------------------- shared SQL
+def na(c: str, fill: str = "NA") -> str:
+    return f"coalesce({c}, '{fill}')"
+
+
+P4_SQL = ("replace(replace(replace(replace(replace({0}, '(', ' ( '), ')', ' ) '), '/', ' / '), '  ', ' '), "
+          "chr(9), ' ')")
+PYWS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+        r"\x{205f}\x{3000}]")
+WS_SQL = "list_filter(regexp_split_to_array({0}, '" + PYWS + "+'), lambda x: x <> '')"
+
+
+def ws_sql(src: str) -> str:
+    return WS_SQL.replace("{0}", src)
+
+
+def exact_sum_sql(x: str, part: str) -> str:
+    return f"round(cast(sum(cast({x} as decimal(38, 6))) over (partition by {part}) as double), 6)"
+
+
+# --------------------------------------------------------------------- A1
+A1_KEYS = {
+    "product_type_price": ["product_type"],
+    "category_lvl_12_price": ["category_lvl_1", "category_lvl_2"],
+    "category_lvl_23_price": ["category_lvl_2", "category_lvl_3"],
+    "category_lvl_13_price": ["category_lvl_1", "category_lvl_3"],
+    "category_lvl_123_price": ["category_lvl_1", "category_lvl_2", "category_lvl_3"],
+}
+
+
+@query("a1_group_sum", oracle=views("c") + "select sku_id, " + ", ".join(
+    exact_sum_sql("price", " || '-' || ".join(na(k) for k in keys)) + f" as {name}"
+    for name, keys in A1_KEYS.items()) + " from c")
+def a1_group_sum(spark, sf_dir):
+    """Raw price summed over the product type and category combinations
+    ('NA' for nulls), attached to each listing; one GROUPING SETS scan."""
+    c = C(spark, sf_dir)
+    keys = {name: combo_key(*ks).alias(f"_{name}") for name, ks in A1_KEYS.items()}
+    rows = c.select("sku_id", "price", *keys.values())
+    sets = {f"_{n}": [f"_{n}"] for n in A1_KEYS}
+    stats = G.grouping_sets_stats(rows.select("price", *sets), sets, {"s": G.exact_sum("price")})
+    out = rows
+    for n in A1_KEYS:
+        out = out.join(bounded(stats[f"_{n}"].withColumnRenamed("s", n)), f"_{n}", "left")
+    return out.select("sku_id", *[r(n).alias(n) for n in A1_KEYS])
+
+
+# --------------------------------------------------------------------- A3
+@query("a3_country_group_price_stats", oracle=views("c") + "select sku_id, " + ", ".join(
+    f"round(cast(avg(cast(cp as decimal(24, 6))) over (partition by country, k{n}) as double), 6) "
+    f"as category_lvl_{n}c_price_mean, "
+    f"round(stddev_samp(cp) over (partition by country, k{n}), 6) as category_lvl_{n}c_price_std"
+    for n in (1, 2, 3)) + f""" from (select sku_id, country, {PRICE_SQL} as cp,
+  {na('category_lvl_1')} k1, {na('category_lvl_2')} k2, {na('category_lvl_3')} k3 from c)""")
+def a3_country_group_price_stats(spark, sf_dir):
+    """Converted-price mean and sample std by (country, category n)."""
+    c = C(spark, sf_dir)
+    rows = c.select("sku_id", "country", convert_price().alias("cp"),
+                    *[F.coalesce(F.col(k), F.lit("NA")).alias(f"k{i}") for i, k in enumerate(CATS, start=1)])
+    sets = {f"k{n}": ["country", f"k{n}"] for n in (1, 2, 3)}
+    stats = G.grouping_sets_stats(rows, sets, {"m": G.exact_avg("cp"), "s": F.stddev_samp("cp")})
+    out = rows
+    for n in (1, 2, 3):
+        t = stats[f"k{n}"].select("country", f"k{n}", F.col("m").alias(f"category_lvl_{n}c_price_mean"),
+                                  F.col("s").alias(f"category_lvl_{n}c_price_std"))
+        out = out.join(bounded(t), ["country", f"k{n}"], "left")
+    cols = [f"category_lvl_{n}c_price_{s}" for n in (1, 2, 3) for s in ("mean", "std")]
+    return out.select("sku_id", *[r(k).alias(k) for k in cols])
+
+
+# --------------------------------------------------------------------- A4
+def exact_std_sql(x: str, part: str) -> str:
+    d = f"cast({x} as decimal(18, 6))"
+    n = f"cast(count({x}) over (partition by {part}) as double)"
+    s1 = f"cast(sum({d}) over (partition by {part}) as double)"
+    d38 = f"cast({x} as decimal(38, 6))"
+    s2 = f"cast(sum({d38} * {d38}) over (partition by {part}) as double)"
+    return f"case when {n} > 1 then sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1.0), 0.0)) end"
+
+
+@query("a4_country_group_price_median", oracle=views("c") + "select sku_id, " + ", ".join(
+    f"round(cast(avg(cast(price as decimal(24, 6))) over (partition by country, g{n}) as double), 6) as price_avg{n}, "
+    f"round(median(price) over (partition by country, g{n}), 6) as price_mdn{n}, "
+    f"round({exact_std_sql('price', f'country, g{n}')}, 6) as price_std{n}"
+    for n in (1, 2, 3, 4)) + f""" from (select sku_id, country, price, {na('category_lvl_1', 'empty')} g1,
+  {na('category_lvl_2', 'empty')} g2, {na('category_lvl_3', 'empty')} g3, substr(sku_id, 1, 2) g4 from c)""")
+def a4_country_group_price_median(spark, sf_dir):
+    """Raw-price mean / exact median / sample std by (country, category n)
+    and (country, key prefix 2); nulls filled with 'empty'."""
+    c = C(spark, sf_dir)
+    rows = c.select("sku_id", "country", "price",
+                    *[F.coalesce(F.col(k), F.lit("empty")).alias(f"g{i}") for i, k in enumerate(CATS, start=1)],
+                    F.substring("sku_id", 1, 2).alias("g4"))
+    sets = {f"g{n}": ["country", f"g{n}"] for n in (1, 2, 3, 4)}
+    stats = G.grouping_sets_stats(rows, sets, {"m": G.exact_avg("price"), "d": F.median("price"),
+                                               "s": G.exact_std("price")})
+    out = rows
+    for n in (1, 2, 3, 4):
+        t = stats[f"g{n}"].select("country", f"g{n}", F.col("m").alias(f"price_avg{n}"),
+                                  F.col("d").alias(f"price_mdn{n}"), F.col("s").alias(f"price_std{n}"))
+        out = out.join(bounded(t), ["country", f"g{n}"], "left")
+    cols = [f"price_{s}{n}" for n in (1, 2, 3, 4) for s in ("avg", "mdn", "std")]
+    return out.select("sku_id", *[r(k).alias(k) for k in cols])
+
+
+# --------------------------------------------------------------------- A5 / A6
+def _word_totals(spark, sf_dir, log: bool):
+    d = D(spark, sf_dir).withColumn("t", space_punctuation("title"))
+    out = d.select("sku_id", *CATS)
+    for n, k in enumerate(CATS, start=1):
+        tot = G.group_word_totals(d.where(F.col(k).isNotNull()), k, "t", f"cat{n}")
+        out = out.join(bounded(tot), k, "left")
+    cols = [f"cat{n}_{s}" for n in (1, 2, 3) for s in ("words", "nunique")]
+    f = (lambda c: r(F.ln(F.col(c)))) if log else (lambda c: F.col(c).cast("long"))
+    return out.select("sku_id", *[f(c).alias(c) for c in cols])
+
+
+def _word_totals_sql(log: bool) -> str:
+    f = (lambda e: f"round(ln({e}), 6)") if log else (lambda e: f"cast({e} as bigint)")
+    parts = []
+    for n, k in enumerate(CATS, start=1):
+        parts.append(f"""g{n} as (select {k}, {f('count(*)')} as cat{n}_words, {f('count(distinct w)')} as cat{n}_nunique
+   from (select {k}, unnest(string_split({P4_SQL.format('title')}, ' ')) as w from d where {k} is not null)
+   group by {k})""")
+    return views("d") + ", " + ",\n".join(parts) + "\nselect sku_id, " + ", ".join(
+        f"cat{n}_{s}" for n in (1, 2, 3) for s in ("words", "nunique")) + " from d " + " ".join(
+        f"left join g{n} using ({k})" for n, k in enumerate(CATS, start=1))
+
+
+@query("a5_group_word_totals", oracle=_word_totals_sql(False))
+def a5_group_word_totals(spark, sf_dir):
+    """Total and distinct title words of each category, by exploding words
+    (never by concatenating a group's text)."""
+    return _word_totals(spark, sf_dir, log=False)
+
+
+@query("a6_group_word_totals_log", oracle=_word_totals_sql(True))
+def a6_group_word_totals_log(spark, sf_dir):
+    """Natural log of the category word totals."""
+    return _word_totals(spark, sf_dir, log=True)
+
+
+# --------------------------------------------------------------------- A7 / A8
+STAT_NAMES = ("min", "max", "mean", "median", "std")
+
+
+def _length_stats(rows, sets: dict[str, list[str]]):
+    """Attach word-count stats for each named key set (null keys drop out)."""
+    x = F.col("wc")
+    out = rows
+    for name, keys in sets.items():
+        aggs = G.length_stats_aggs(x.cast("double"), name)
+        t = G.group_stats(rows, keys, aggs, drop_null_keys=True)
+        out = out.join(bounded(t), keys, "left")
+    cols = [f"{name}_{s}" for name in sets for s in STAT_NAMES]
+    return out.select("sku_id", *[r(c).alias(c) for c in cols])
+
+
+def _length_stats_sql(src: str, title_expr: str, sets: dict[str, list[str]]) -> str:
+    sel = []
+    for name, keys in sets.items():
+        part = ", ".join(keys)
+        nn = " and ".join(f"{k} is not null" for k in keys)
+        for s, fn in zip(STAT_NAMES, ("min", "max", "avg", "median", "stddev_samp")):
+            sel.append(f"round(case when {nn} then cast({fn}(wc) over (partition by {part}) as double) end, 6) "
+                       f"as {name}_{s}")
+    return (views(src) + f"select sku_id, " + ", ".join(sel)
+            + f" from (select *, len(string_split({title_expr}, ' ')) as wc from {src})")
+
+
+A7_SETS = {f"cat{n}_word_cnt": [k] for n, k in enumerate(CATS, start=1)}
+
+
+@query("a7_group_length_stats", oracle=_length_stats_sql("d", P4_SQL.format("title"), A7_SETS))
+def a7_group_length_stats(spark, sf_dir):
+    """Min / max / mean / median / sample std of title word counts by
+    each category."""
+    d = D(spark, sf_dir)
+    rows = d.select("sku_id", *CATS, word_len_space(space_punctuation("title")).alias("wc"))
+    return _length_stats(rows, A7_SETS)
+
+
+A8_SETS = {"cat1_word_cnt": ["category_lvl_1", "category_lvl_2"],
+           "cat2_word_cnt": ["category_lvl_2", "category_lvl_3"],
+           "cat3_word_cnt": ["category_lvl_3", "category_lvl_1"],
+           "cat4_word_cnt": ["category_lvl_1", "category_lvl_2", "category_lvl_3"]}
+
+
+@query("a8_group_length_stats_multikey", oracle=_length_stats_sql("c", "title", A8_SETS))
+def a8_group_length_stats_multikey(spark, sf_dir):
+    """Word-count stats by category pairs and triple (null keys drop out)."""
+    c = C(spark, sf_dir)
+    rows = c.select("sku_id", *CATS, word_len_space("title").alias("wc"))
+    return _length_stats(rows, A8_SETS)
+
+
+# --------------------------------------------------------------------- A9
+A9_PAIRS = [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
+@query("a9_group_nunique", oracle=views("c") + "select sku_id, " + ", ".join(
+    f"cast(count(distinct k{b}) over (partition by k{a}) as bigint) as category_lvl_{a}{b}_nunique"
+    for a, b in A9_PAIRS) + f""" from (select sku_id, {na('category_lvl_1')} k1, {na('category_lvl_2')} k2,
+  {na('category_lvl_3')} k3 from c)""")
+def a9_group_nunique(spark, sf_dir):
+    """Distinct child categories per parent category ('NA' for nulls),
+    exact, by two-step distinct."""
+    c = C(spark, sf_dir)
+    rows = c.select("sku_id", *[F.coalesce(F.col(k), F.lit("NA")).alias(f"k{i}") for i, k in enumerate(CATS, 1)])
+    out = rows
+    for a, b in A9_PAIRS:
+        t = G.count_distinct_children(rows, f"k{a}", f"k{b}", f"category_lvl_{a}{b}_nunique")
+        out = out.join(bounded(t), f"k{a}", "left")
+    return out.select("sku_id", *[F.col(f"category_lvl_{a}{b}_nunique").cast("long") for a, b in A9_PAIRS])
+
+
+# --------------------------------------------------------------------- A11
+@query("a11_brand_entropy", oracle=views("c") + ", " + ",\n".join([
+    "src as (select *, substr(sku_id, 1, 5) as brand from c)",
+    _entropy_sql("category_lvl_1", ["brand"], "brand_entropy1"),
+    _entropy_sql("category_lvl_2", ["brand"], "brand_entropy2"),
+    _entropy_sql("category_lvl_3", ["brand"], "brand_entropy3")]) + """
+select sku_id, round(brand_entropy1, 6) as brand_entropy1, round(brand_entropy2, 6) as brand_entropy2,
+       round(brand_entropy3, 6) as brand_entropy3
+from c left join brand_entropy1 using (category_lvl_1) left join brand_entropy2 using (category_lvl_2)
+       left join brand_entropy3 using (category_lvl_3)""")
+def a11_brand_entropy(spark, sf_dir):
+    """Entropy of the key prefix (5 chars, a brand proxy) under each
+    category level."""
+    c = C(spark, sf_dir).withColumn("brand", F.substring("sku_id", 1, 5))
+    fine = materialize(c.groupBy(*CATS, "brand").agg(F.count(F.lit(1)).alias("_w")))
+    out = c
+    for n, k in enumerate(CATS, start=1):
+        e = G.entropy_from_counts(fine, k, "brand", "_w", f"brand_entropy{n}")
+        out = out.join(bounded(e), k, "left")
+    return out.select("sku_id", *[r(f"brand_entropy{n}").alias(f"brand_entropy{n}") for n in (1, 2, 3)])
+
+
+# --------------------------------------------------------------------- A12
+def _weighted_entropy_ctes() -> str:
+    w = "len(string_split(title, ' '))"
+    return ",\n".join([
+        "src as (select * from d)",
+        _entropy_sql("category_lvl_1", ["category_lvl_2"], "entropy12", w),
+        _entropy_sql("category_lvl_2", ["category_lvl_3"], "entropy23", w),
+        _entropy_sql("category_lvl_1", ["category_lvl_3"], "entropy13", w),
+        _entropy_sql("category_lvl_1", ["category_lvl_2", "category_lvl_3"], "entropy123", w),
+    ])
+
+
+@query("a12_title_length_entropy", oracle=views("d") + ", " + _weighted_entropy_ctes() + f"""
+select sku_id, round(entropy12, 6) as entropy12, round(entropy23, 6) as entropy23,
+       round(entropy13, 6) as entropy13, round(entropy123, 6) as entropy123
+from d {ENTROPY_JOIN}""")
+def a12_title_length_entropy(spark, sf_dir):
+    """Category entropies weighted by title word counts instead of rows."""
+    d = D(spark, sf_dir).withColumn("_len", word_len_space("title"))
+    fine = materialize(d.groupBy(*CATS).agg(F.sum("_len").alias("_w")))
+    e12 = G.entropy_from_counts(fine, "category_lvl_1", "category_lvl_2", "_w", "entropy12")
+    e13 = G.entropy_from_counts(fine, "category_lvl_1", "category_lvl_3", "_w", "entropy13")
+    e123 = G.entropy_from_counts(fine, "category_lvl_1", ["category_lvl_2", "category_lvl_3"], "_w", "entropy123")
+    e23 = G.entropy_from_counts(fine, "category_lvl_2", "category_lvl_3", "_w", "entropy23")
+    by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
+    out = d.join(bounded(by1), "category_lvl_1", "left").join(bounded(e23), "category_lvl_2", "left")
+    return out.select("sku_id", *[r(k).alias(k) for k in ENTROPY_COLS])
