@@ -11,6 +11,7 @@ from quire.operators.joins import attach, bounded, materialize
 from quire.plans.common import C, D, r
 from quire.plans.oracle_views import views
 from quire.plans.registry import query
+from quire.sources import lexicons as LX
 
 CATS = ["category_lvl_1", "category_lvl_2", "category_lvl_3"]
 
@@ -413,3 +414,282 @@ def a12_title_length_entropy(spark, sf_dir):
     by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
     out = d.join(bounded(by1), "category_lvl_1", "left").join(bounded(e23), "category_lvl_2", "left")
     return out.select("sku_id", *[r(k).alias(k) for k in ENTROPY_COLS])
+
+
+# --------------------------------------------------------------------- A13
+@query("a13_mine_attributes", oracle=views("h", "d") + ", " + (
+    "desc_all as (select sku_id, short_description from h union all select sku_id, short_description from d)")
+    + __import__("quire.plans.q_flags", fromlist=["mined_sql"]).mined_sql("desc_all")
+    + "\nselect att, cast(cnt as bigint) as count from mined")
+def a13_mine_attributes(spark, sf_dir):
+    """Attribute names mined from list items (or whole descriptions
+    without a list) of pages and documents, with counts >= 2."""
+    from quire.functions.items import extract_items
+    from quire.plans.q_flags import descriptions
+    d = descriptions(spark, sf_dir)
+    items = d.select(extract_items("short_description").alias("items"), "short_description")
+    return G.mine_attributes(items, "items", "short_description").select("att", F.col("count").cast("long"))
+
+
+# --------------------------------------------------------------------- A14
+@query("a14_crosstab", oracle=views("c") + " " + " union all ".join(
+    f"select {n} as level, {k} as category, substr(sku_id, 1, 5) as sku1, count(*) as count from c "
+    f"where {k} is not null group by {k}, substr(sku_id, 1, 5)" for n, k in enumerate(CATS, start=1)))
+def a14_crosstab(spark, sf_dir):
+    """Counts of category n x key prefix 5, in long form (the wide matrix
+    has one column per prefix and grows with the data)."""
+    c = C(spark, sf_dir).withColumn("sku1", F.substring("sku_id", 1, 5))
+    parts = [G.crosstab_long(c, k, "sku1").select(F.lit(n).alias("level"), F.col(k).alias("category"), "sku1",
+                                                   F.col("count").cast("long"))
+             for n, k in enumerate(CATS, start=1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --------------------------------------------------------------------- A15
+@query("a15_duplicate_counts", oracle=views("d") + """
+select sku_id, count(*) over (partition by coalesce(title, 'empty')) as n1,
+       count(*) over (partition by coalesce(short_description, 'empty')) as n2 from d""")
+def a15_duplicate_counts(spark, sf_dir):
+    """Listings sharing the same title (n1) and the same description (n2).
+
+    The keys are whole texts: the counts are aggregated with partial
+    aggregation and joined back by key; a hot text is split by AQE's
+    skew-join handling rather than landing in one window task."""
+    d = D(spark, sf_dir).select("sku_id", F.coalesce("title", F.lit("empty")).alias("t"),
+                                F.coalesce("short_description", F.lit("empty")).alias("s"))
+    d = G.attach_counts(d, "t", "n1")
+    d = G.attach_counts(d, "s", "n2")
+    return d.select("sku_id", "n1", "n2")
+
+
+# --------------------------------------------------------------------- A16
+ALPHA2_SQL = "regexp_extract_all(lower(regexp_replace({0}, '[^a-zA-Z]', ' ', 'g')), '[a-z]{{2,}}')"
+
+
+@query("a16_rare_tokens", oracle=views("d") + f"""
+select w as token, count(*) as count from (select unnest({ALPHA2_SQL.format('title')}) as w from d)
+group by w having count(*) < 10""")
+def a16_rare_tokens(spark, sf_dir):
+    """Title tokens (letters only, two or more) seen fewer than 10 times."""
+    d = D(spark, sf_dir)
+    toks = d.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("title", "[^a-zA-Z]", " ")),
+                                                   F.lit("[a-z]{2,}"), 0)).alias("token"))
+    return G.value_counts(toks, "token").where(F.col("count") < 10)
+
+
+# --------------------------------------------------------------------- A17
+A17_COLS = {"country": "country", "category_lvl_1": "category_lvl_1", "sku_id2": "substr(sku_id, 1, 2)"}
+
+
+@query("a17_value_counts", oracle=views("c") + " " + " union all ".join(
+    f"select '{n}' as column_name, {e} as value, count(*) as count from c where {e} is not null group by {e}"
+    for n, e in A17_COLS.items()))
+def a17_value_counts(spark, sf_dir):
+    """Frequencies of country, category 1 and key prefix 2 (long form)."""
+    c = C(spark, sf_dir).withColumn("sku_id2", F.substring("sku_id", 1, 2))
+    parts = [G.value_counts(c, n).select(F.lit(n).alias("column_name"), F.col(n).alias("value"), "count")
+             for n in A17_COLS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --------------------------------------------------------------------- A18 / A19
+def _word_positions(d):
+    from quire.functions.text import words_ws, ws_token_at
+    return d.select("sku_id", F.size(words_ws("title")).alias("title_len"),
+                    *[ws_token_at("title", i).alias(f"word_{i}") for i in range(1, 12)])
+
+
+def _word_pos_sql() -> str:
+    ws = ws_sql("title")
+    return (f"select sku_id, len({ws}) as title_len, "
+            + ", ".join(f"coalesce(({ws})[{i + 1}], 'NA') as word_{i}" for i in range(1, 12)) + " from d")
+
+
+@query("a18_word_position_counts", oracle=views("d") + f", w as ({_word_pos_sql()})\nselect sku_id, "
+       + "count(*) over (partition by title_len) as title_len_cnt, " + ", ".join(
+           f"count(*) over (partition by title_len, word_{i}) as title_len_word{i}_cnt" for i in range(1, 12))
+       + " from w")
+def a18_word_position_counts(spark, sf_dir):
+    """Listings sharing the title length, and sharing (length, word i)."""
+    w = _word_positions(D(spark, sf_dir))
+    out = G.attach_counts(w, "title_len", "title_len_cnt")
+    for i in range(1, 12):
+        out = G.attach_counts(out, ["title_len", f"word_{i}"], f"title_len_word{i}_cnt")
+    return out.select("sku_id", "title_len_cnt", *[f"title_len_word{i}_cnt" for i in range(1, 12)])
+
+
+@query("a19_word_prefix_counts", oracle=views("d") + f", w as ({_word_pos_sql()})\nselect sku_id, " + ", ".join(
+    f"count(*) over (partition by {', '.join(f'word_{j}' for j in range(1, k + 1))}) as title_len_wordlen{k}_cnt"
+    for k in range(2, 10)) + " from w")
+def a19_word_prefix_counts(spark, sf_dir):
+    """Listings sharing the first k title words (positions 1..k), k=2..9."""
+    w = _word_positions(D(spark, sf_dir))
+    out = w
+    for k in range(2, 10):
+        out = G.attach_counts(out, [f"word_{j}" for j in range(1, k + 1)], f"title_len_wordlen{k}_cnt")
+    return out.select("sku_id", *[f"title_len_wordlen{k}_cnt" for k in range(2, 10)])
+
+
+# --------------------------------------------------------------------- A20
+def _sql_arr(vals):
+    return "[" + ", ".join(f"'{v}'" for v in vals) + "]"
+
+
+@query("a20_stop_word_count", oracle=views("d") + f"""
+select sku_id, cast(len(list_filter(ws, lambda w: list_contains({_sql_arr(LX.STOP_WORDS)}, w))) as bigint)
+  as stopwords_count,
+  len(list_filter(ws, lambda w: list_contains({_sql_arr(LX.STOP_WORDS)}, w))) / len(ws) as stopwords_ratio
+from (select sku_id, string_split(replace(replace(title, '&amp;', '&'), '&nbsp;', ' '), ' ') as ws from d)""")
+def a20_stop_word_count(spark, sf_dir):
+    """Stop words among the title's space words, count and ratio."""
+    from quire.functions.text import decode_entities, words_space
+    d = D(spark, sf_dir)
+    ws = words_space(decode_entities("title"))
+    stops = F.array(*[F.lit(w) for w in LX.STOP_WORDS])
+    cnt = F.size(F.filter(ws, lambda w: F.array_contains(stops, w)))
+    return d.select("sku_id", cnt.cast("long").alias("stopwords_count"),
+                    (cnt / F.size(ws)).alias("stopwords_ratio"))
+
+
+# --------------------------------------------------------------------- A21
+def known_words(spark, sf_dir):
+    """Lexicon table: title tokens seen at least KNOWN_WORD_MIN_COUNT times."""
+    from quire.sources.fixtures import title_tokens
+    return (G.value_counts(title_tokens(spark, sf_dir), "word", "n")
+            .where(F.col("n") >= LX.KNOWN_WORD_MIN_COUNT).select("word"))
+
+
+KNOWN_SQL = ("known as (select word from tt group by word having count(*) >= "
+             f"{LX.KNOWN_WORD_MIN_COUNT})")
+
+
+@query("a21_lexicon_coverage", oracle=views("tt") + ", " + KNOWN_SQL + """,
+tw as (select sku_id, unnest(string_split(title, ' ')) as w from d),
+dw as (select sku_id, unnest(string_split(regexp_replace(short_description, '<[^\\n]*?>', '', 'g'), ' ')) as w from d),
+tc as (select sku_id, count(*) as n, count(*) filter (where w in (select word from known)) as k from tw group by sku_id),
+dc as (select sku_id, count(*) as n, count(*) filter (where w in (select word from known)) as k from dw group by sku_id)
+select d.sku_id, cast(tc.n - tc.k as bigint) as title_unknown_cnt, cast(tc.k as bigint) as title_known_cnt,
+  (tc.n - tc.k) / tc.n as title_unknown_ratio, tc.k / tc.n as title_known_ratio,
+  cast(dc.n - dc.k as bigint) as desc_unknown_cnt, cast(dc.k as bigint) as desc_known_cnt,
+  (dc.n - dc.k) / dc.n as desc_unknown_ratio, dc.k / dc.n as desc_known_ratio
+from d join tc using (sku_id) join dc using (sku_id)""")
+def a21_lexicon_coverage(spark, sf_dir):
+    """Known / unknown space words of title and cleaned description against
+    a lexicon table. Words are exploded and joined with the lexicon
+    (size-checked broadcast, else a shuffle join), then counted per row."""
+    from quire.functions.text import clean_html, words_space
+    d = D(spark, sf_dir)
+    known = bounded(known_words(spark, sf_dir).withColumn("_k", F.lit(1)))
+    out = d.select("sku_id")
+    for name, text in (("title", F.col("title")), ("desc", clean_html("short_description"))):
+        w = d.select("sku_id", F.explode(words_space(text)).alias("word"))
+        c = (w.join(known, "word", "left").groupBy("sku_id")
+             .agg(F.count(F.lit(1)).alias("_n"), F.count("_k").alias("_kn")))
+        c = c.select("sku_id", (F.col("_n") - F.col("_kn")).alias(f"{name}_unknown_cnt"),
+                     F.col("_kn").alias(f"{name}_known_cnt"),
+                     ((F.col("_n") - F.col("_kn")) / F.col("_n")).alias(f"{name}_unknown_ratio"),
+                     (F.col("_kn") / F.col("_n")).alias(f"{name}_known_ratio"))
+        out = out.join(c, "sku_id")
+    return out
+
+
+# --------------------------------------------------------------------- J2-J7
+@query("j2_left_join_multikey", oracle=views("c") + """
+select sku_id, cast(count(*) over (partition by category_lvl_1, category_lvl_2) as bigint) as n12,
+  case when category_lvl_3 is not null
+       then cast(count(*) over (partition by category_lvl_1, category_lvl_2, category_lvl_3) as bigint) end as n123
+from c""")
+def j2_left_join_multikey(spark, sf_dir):
+    """Group counts on two and three keys left-joined to the listings
+    (a null key finds no group)."""
+    c = C(spark, sf_dir)
+    c = G.attach_counts(c, ["category_lvl_1", "category_lvl_2"], "n12", drop_null_keys=True)
+    c = G.attach_counts(c, CATS, "n123", drop_null_keys=True)
+    return c.select("sku_id", "n12", "n123")
+
+
+@query("j3_parent_child_counts", oracle=views("c") + """
+select category_lvl_1, category_lvl_2, count(*) as subgrp_cnt,
+  cast(sum(count(*)) over (partition by category_lvl_1) as bigint) as grp_cnt
+from c group by category_lvl_1, category_lvl_2""")
+def j3_parent_child_counts(spark, sf_dir):
+    """(parent, child) counts with the parent count joined on."""
+    c = C(spark, sf_dir)
+    sub = G.value_counts(c, ["category_lvl_1", "category_lvl_2"], "subgrp_cnt", drop_null_keys=False)
+    grp = G.value_counts(c, "category_lvl_1", "grp_cnt", drop_null_keys=False)
+    return sub.join(bounded(grp), "category_lvl_1", "left").select(
+        "category_lvl_1", "category_lvl_2", "subgrp_cnt", "grp_cnt")
+
+
+@query("j4_join_predictions", oracle=views("d", "p") + """
+select d.sku_id, d.conciseness, p.pred from d left join (select * from p where model = 1) p using (sku_id)
+where d.split = 'trn'""")
+def j4_join_predictions(spark, sf_dir):
+    """Training rows with the level-1 prediction of model 1 (left join by key)."""
+    from quire.plans.common import P
+    d = D(spark, sf_dir).where(F.col("split") == "trn").select("sku_id", "conciseness")
+    p = P(spark, sf_dir).where(F.col("model") == 1).select("sku_id", "pred")
+    return d.join(p, "sku_id", "left")
+
+
+@query("j5_key_join_blocks", oracle=views("d") + """
+select a.sku_id, a.title_len, b.desc_len, c.n_tokens
+from (select sku_id, cast(length(title) as bigint) as title_len from d) a
+join (select sku_id, cast(length(short_description) as bigint) as desc_len from d) b using (sku_id)
+join (select sku_id, cast(len(regexp_extract_all(lower(title), '[a-z]+')) as bigint) as n_tokens from d) c
+  using (sku_id)""")
+def j5_key_join_blocks(spark, sf_dir):
+    """Feature blocks computed separately, put side by side by key join
+    (never by row position)."""
+    from quire.functions.text import tokenise_alpha
+    d = D(spark, sf_dir)
+    a = d.select("sku_id", F.length("title").cast("long").alias("title_len"))
+    b = d.select("sku_id", F.length("short_description").cast("long").alias("desc_len"))
+    c = d.select("sku_id", F.size(tokenise_alpha("title")).cast("long").alias("n_tokens"))
+    return a.join(b, "sku_id").join(c, "sku_id")
+
+
+@query("j6_vector_lookup", oracle=views("v") + """
+select sku_id, pos, word, cast(vec[1] as double) as v0, cast(len(vec) as bigint) as dim
+from (select sku_id, unnest(generate_series(0, len(l) - 1)) as pos, unnest(l) as word
+      from (select sku_id, list_filter(string_split(lower(regexp_replace(title, '[^a-zA-Z]', ' ', 'g')), ' '),
+                                       lambda x: x <> '') as l from d)) t
+join v using (word)""")
+def j6_vector_lookup(spark, sf_dir):
+    """Title tokens (with position) looked up in the word-vector table."""
+    from quire.functions.text import tokenise_alpha
+    from quire.plans.common import V
+    d = D(spark, sf_dir)
+    toks = d.select("sku_id", F.posexplode(tokenise_alpha("title")).alias("pos", "word"))
+    vec = bounded(V(spark, sf_dir))
+    return toks.join(vec, "word").select("sku_id", F.col("pos").cast("long").alias("pos"), "word",
+                                         F.col("vec")[0].cast("double").alias("v0"),
+                                         F.size("vec").cast("long").alias("dim"))
+
+
+@query("j7_semi_anti_membership", oracle=views("d") + f"""
+, w as (select sku_id, unnest(string_split(lower(title), ' ')) as word from d),
+stops as (select unnest({_sql_arr(LX.STOP_WORDS)}) as word)
+select sku_id, cast(count(*) filter (where word in (select word from stops)) as bigint) as n_stop,
+  cast(count(*) filter (where word not in (select word from stops)) as bigint) as n_other
+from w group by sku_id""")
+def j7_semi_anti_membership(spark, sf_dir):
+    """Title words that are stop words (left-semi) and that are not
+    (left-anti), counted per listing."""
+    from quire.functions.text import words_space
+    from quire.operators.joins import literal_table
+    d = D(spark, sf_dir)
+    w = d.select("sku_id", F.posexplode(words_space(F.lower(F.col("title")))).alias("pos", "word"))
+    stops = literal_table(spark, LX.STOP_WORDS, "word")
+    semi = w.join(stops, "word", "left_semi").groupBy("sku_id").agg(F.count(F.lit(1)).alias("n_stop"))
+    anti = w.join(stops, "word", "left_anti").groupBy("sku_id").agg(F.count(F.lit(1)).alias("n_other"))
+    keys = w.select("sku_id").distinct()
+    return (keys.join(semi, "sku_id", "left").join(anti, "sku_id", "left")
+            .select("sku_id", F.coalesce("n_stop", F.lit(0)).alias("n_stop"),
+                    F.coalesce("n_other", F.lit(0)).alias("n_other")))
