@@ -1,3 +1,216 @@
-"""Queries: q_models."""
+"""Queries: models, feature selection, SVD and category probabilities
+(M2-M12, M14, M24, G6, N9). No exact SQL oracle exists for fitted models;
+``tests/test_models.py`` checks their properties."""
 
-from quire.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.mllib.linalg import Vectors as MLlibVectors
+from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.sql import functions as F
+
+from quire.functions import text as X
+from quire.operators import models as MD
+from quire.operators.folds import stratified_folds
+from quire.operators.joins import materialize
+from quire.operators.ngrams import char_ngrams, word_ngrams
+from quire.plans.common import D, r
+from quire.plans.registry import query
+
+LABEL = "conciseness"
+N_FOLDS = 10
+
+
+def feature_columns():
+    """Row-local title/description measures used as model features."""
+    return {
+        "title_len": X.char_len("title").cast("double"),
+        "title_words": X.word_len_ws("title").cast("double"),
+        "title_digits": X.digit_count("title").cast("double"),
+        "title_upper": X.uppercase_count("title").cast("double"),
+        "title_special": X.special_char_count("title").cast("double"),
+        "title_dups": X.has_duplicate_words("title").cast("double"),
+        "title_shapes": X.shape_nunique("title").cast("double"),
+        "desc_len_log": F.log1p(X.char_len("short_description").cast("double")),
+        "desc_words_log": F.log1p(X.word_len_ws("short_description").cast("double")),
+        "desc_digits_log": F.log1p(X.digit_count("short_description").cast("double")),
+    }
+
+
+def model_tables(spark, sf_dir):
+    """(train with folds, test, feature names): labelled rows get the
+    stratified folds, unlabelled rows are the test part."""
+    d = D(spark, sf_dir)
+    feats = feature_columns()
+    rows = d.select("sku_id", LABEL, *[v.alias(k) for k, v in feats.items()])
+    folds = stratified_folds(d, "sku_id", LABEL, N_FOLDS, 2017).select("sku_id", "fold")
+    train = MD.assemble(rows.join(folds, "sku_id"), list(feats))
+    test = MD.assemble(rows.where(F.col(LABEL).isNull()), list(feats))
+    return materialize(train), test, list(feats)
+
+
+def _n(df) -> int:
+    return df.count()
+
+
+def _oof_query(spark, sf_dir, make_factory, clip: bool = False):
+    train, test, names = model_tables(spark, sf_dir)
+    make = make_factory(train, names)
+    oof, tst = MD.oof_predict(train, test, "sku_id", LABEL, "fold", N_FOLDS, make)
+    out = oof.select("sku_id", F.col("fold").cast("int"), "pred").unionByName(
+        tst.select("sku_id", F.lit(-1).alias("fold"), "pred"))
+    if clip:
+        out = out.withColumn("pred", F.least(F.greatest("pred", F.lit(0.0)), F.lit(1.0)))
+    return out.select("sku_id", "fold", r("pred").alias("pred"))
+
+
+@query("m2_out_of_fold_predict")
+def m2_out_of_fold_predict(spark, sf_dir):
+    """Out-of-fold logistic predictions for labelled rows (their fold) and
+    fold-averaged predictions for unlabelled rows (fold -1)."""
+    return _oof_query(spark, sf_dir, lambda tr, names: MD.logistic(LABEL, _n(tr)))
+
+
+@query("m3_seed_bagging")
+def m3_seed_bagging(spark, sf_dir):
+    """Random-forest out-of-fold predictions averaged over three seeds."""
+    train, _, _ = model_tables(spark, sf_dir)
+    out = MD.bagged(train, None, "sku_id", LABEL, "fold", N_FOLDS, MD.random_forest(LABEL, trees=20, depth=5),
+                    [111, 222, 333])
+    return out.select("sku_id", r("pred").alias("pred"))
+
+
+def _fit_all(spark, sf_dir, factory, clip=False):
+    train, test, names = model_tables(spark, sf_dir)
+    model = factory(train, names)(7).fit(train)
+    out = MD.positive_score(model.transform(train.unionByName(test.withColumn("fold", F.lit(-1)))))
+    if clip:
+        out = out.withColumn("pred", F.least(F.greatest("pred", F.lit(0.0)), F.lit(1.0)))
+    return out.select("sku_id", r("pred").alias("pred"))
+
+
+@query("m4_logistic_regression")
+def m4_logistic_regression(spark, sf_dir):
+    """L2 logistic regression fitted on all labelled rows, scored on all rows."""
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.logistic(LABEL, _n(tr)))
+
+
+@query("m5_l1_logistic")
+def m5_l1_logistic(spark, sf_dir):
+    """L1-penalised logistic regression."""
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.logistic(LABEL, _n(tr), l1=True))
+
+
+@query("m6_naive_bayes")
+def m6_naive_bayes(spark, sf_dir):
+    """Multinomial naive Bayes on the (non-negative) word counts of the title."""
+    d = D(spark, sf_dir)
+    labelled = d.where(F.col(LABEL).isNotNull()).select("sku_id", LABEL, X.tokenise_words("title").alias("tok"))
+    tf = HashingTF(inputCol="tok", outputCol="features", numFeatures=1 << 12).transform(labelled)
+    model = MD.naive_bayes(LABEL)(0).fit(tf)
+    return MD.positive_score(model.transform(tf)).select("sku_id", r("pred").alias("pred"))
+
+
+@query("m7_ridge_regression")
+def m7_ridge_regression(spark, sf_dir):
+    """Ridge regression (alpha = 1) of the label on the features."""
+    def factory(tr, names):
+        stats = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(LABEL).cast("double")).alias("s")).first()
+        return MD.ridge(LABEL, 1.0, stats["n"], stats["s"] or 1.0)
+    return _fit_all(spark, sf_dir, factory)
+
+
+@query("m8_gbt_classifier")
+def m8_gbt_classifier(spark, sf_dir):
+    """Gradient-boosted trees, out of fold."""
+    return _oof_query(spark, sf_dir, lambda tr, names: MD.gbt_classifier(LABEL, max_iter=10, depth=3))
+
+
+@query("m9_gbt_regressor_clipped")
+def m9_gbt_regressor_clipped(spark, sf_dir):
+    """Boosted regression trees, predictions clipped to [0, 1]."""
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.gbt_regressor(LABEL, max_iter=10, depth=3), clip=True)
+
+
+@query("m10_random_forest")
+def m10_random_forest(spark, sf_dir):
+    """Random forest with entropy impurity."""
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.random_forest(LABEL, trees=50, depth=8))
+
+
+@query("m11_multilayer_perceptron")
+def m11_multilayer_perceptron(spark, sf_dir):
+    """One hidden layer of 128 units, L-BFGS, 5 iterations."""
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.mlp(LABEL, len(names)))
+
+
+@query("m12_importance_select")
+def m12_importance_select(spark, sf_dir):
+    """Forest importances per feature, and whether the feature is kept
+    (importance >= mean); the kept slice feeds later models."""
+    train, _, names = model_tables(spark, sf_dir)
+    kept, imp = MD.importance_select(train, LABEL, names, trees=50)
+    rows = [(n, float(v), int(i in kept), i) for i, (n, v) in enumerate(zip(names, imp))]
+    table = spark.createDataFrame(rows, "feature string, importance double, kept int, index int")
+    return table.select("feature", r("importance").alias("importance"), "kept", "index")
+
+
+@query("m14_early_stopping")
+def m14_early_stopping(spark, sf_dir):
+    """Boosted trees stopped on a validation fold: scores of all labelled
+    rows plus the number of trees actually built."""
+    train, _, _ = model_tables(spark, sf_dir)
+    data = train.withColumn("is_val", F.col("fold") == 0)
+    model = MD.gbt_classifier(LABEL, max_iter=60, depth=3, validation="is_val")(5).fit(data)
+    out = MD.positive_score(model.transform(data))
+    return out.select("sku_id", r("pred").alias("pred"), F.lit(model.getNumTrees).alias("n_trees"))
+
+
+@query("m24_assemble_features")
+def m24_assemble_features(spark, sf_dir):
+    """Ordered feature blocks assembled into one vector with a trailing
+    constant 1.0 (shown as an array)."""
+    d = D(spark, sf_dir)
+    feats = feature_columns()
+    rows = d.select("sku_id", *[v.alias(k) for k, v in feats.items()])
+    return MD.assemble(rows, list(feats), add_const=True).select(
+        "sku_id", vector_to_array("features").alias("features"))
+
+
+@query("g6_category_membership_probabilities")
+def g6_category_membership_probabilities(spark, sf_dir):
+    """Class probabilities of category 1 from TF-IDF of title word 1-2-grams
+    (min_df 2, max_df 0.9) with multinomial naive Bayes, long form
+    (sku_id, class, prob); scored in-sample."""
+    from pyspark.ml.feature import StringIndexer
+    d = D(spark, sf_dir).select("sku_id", "category_lvl_1",
+                                word_ngrams(X.tokenise_words("title"), 1, 2).alias("grams"))
+    d = StringIndexer(inputCol="category_lvl_1", outputCol="y", stringOrderType="alphabetAsc").fit(d).transform(d)
+    cv = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, maxDF=0.9).fit(d)
+    tf = cv.transform(d)
+    tfidf = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
+    model = MD.naive_bayes("y")(0).fit(tfidf)
+    out = model.transform(tfidf).select("sku_id", F.posexplode(vector_to_array("probability")).alias("class", "prob"))
+    return out.select("sku_id", F.col("class").cast("int"), r("prob").alias("prob"))
+
+
+SVD_K = 15
+
+
+@query("n9_truncated_svd")
+def n9_truncated_svd(spark, sf_dir):
+    """15 leading singular directions of the hashed character 1-3-gram TF-IDF
+    of the titles; each listing's coordinates (rows of U * S)."""
+    d = D(spark, sf_dir).select("sku_id", char_ngrams("title", 1, 3).alias("grams"))
+    d = d.withColumn("row", F.xxhash64("sku_id"))
+    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 12).transform(d)
+    tfidf = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf).select("row", "sku_id", "features")
+    tfidf = materialize(tfidf)
+    rows = tfidf.rdd.map(lambda x: IndexedRow(x["row"], MLlibVectors.fromML(x["features"])))
+    svd = IndexedRowMatrix(rows).computeSVD(SVD_K, computeU=True)
+    s = svd.s.toArray().tolist()
+    u = svd.U.rows.map(lambda ir: (ir.index, [float(v) * s[i] for i, v in enumerate(ir.vector.toArray())])).toDF(
+        ["row", "coords"])
+    out = tfidf.select("row", "sku_id").join(u, "row")
+    return out.select("sku_id", *[r(F.col("coords")[i]).alias(f"svd_{i}") for i in range(len(s))])
