@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import checkpoint_dir
+from quire.session import scratch_path
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
@@ -21,10 +21,15 @@ def max_broadcast_rows(spark) -> int:
     return int(spark.conf.get("quire.broadcast.maxRows", str(DEFAULT_MAX_BROADCAST_ROWS)))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "m") -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: the input is computed once, the lineage is cut (a lost
+    executor costs a re-read, not a recomputation) and the planner sees the
+    table's real file sizes."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded(small: DataFrame, max_rows: int | None = None) -> DataFrame:

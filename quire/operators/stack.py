@@ -3,12 +3,10 @@ partitioned prediction dataset (S9, S12, U3)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import checkpoint_dir
+from quire.session import scratch_path
 
 
 def stack_matrix(preds: DataFrame, key: str, model_col: str, models: list, pred: str = "pred",
@@ -22,8 +20,7 @@ def stack_matrix(preds: DataFrame, key: str, model_col: str, models: list, pred:
 
 def output_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/quire-out/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_path(spark, name)
 
 
 def write_predictions(preds: DataFrame, path: str, partition_cols: list[str]) -> None:

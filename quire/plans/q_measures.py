@@ -120,9 +120,11 @@ def t9_unicode_block_histogram(spark, sf_dir):
     with the 4,096-row bucket table (broadcast, size fixed by the rule)."""
     d = D(spark, sf_dir).select("sku_id", "short_description")
     buckets = F.broadcast(spark.createDataFrame(bucket_rows(), "bucket int, block string"))
-    ch = d.select("sku_id", F.length("short_description").alias("n"),
-                  F.explode(X.chars("short_description")).alias("c"))
-    ch = ch.withColumn("bucket", F.shiftright(F.ascii("c"), 4))
+    # per-row values are computed before the explode, so the generator only
+    # carries (sku_id, n) and never re-evaluates a whole-text expression per character
+    ch = (d.select("sku_id", F.length("short_description").alias("n"), X.chars("short_description").alias("cs"))
+          .select("sku_id", "n", F.explode("cs").alias("c"))
+          .select("sku_id", "n", F.shiftright(F.ascii("c"), 4).alias("bucket")))
     return (ch.join(buckets, "bucket")
             .groupBy("sku_id", "block", "n").agg(F.count(F.lit(1)).alias("cnt"))
             .select("sku_id", "block", "cnt", r(F.col("cnt") / F.col("n")).alias("freq")))
@@ -267,7 +269,8 @@ def t18_common_word_pairs(spark, sf_dir):
     d = D(spark, sf_dir).select("sku_id", F.lower("title").alias("t"), F.lower("short_description").alias("s"))
     tw = d.select("sku_id", F.explode(X.words_space("t")).alias("w")).groupBy("sku_id", "w").agg(
         F.count(F.lit(1)).alias("na"))
-    dw = (d.select("sku_id", F.array_distinct(X.words_space("t")).alias("tset"), F.explode(X.words_space("s")).alias("w"))
+    dw = (d.select("sku_id", F.array_distinct(X.words_space("t")).alias("tset"), X.words_space("s").alias("sw"))
+          .select("sku_id", "tset", F.explode("sw").alias("w"))
           .where(F.array_contains("tset", F.col("w")))
           .groupBy("sku_id", "w").agg(F.count(F.lit(1)).alias("nb")))
     per = tw.join(dw, ["sku_id", "w"]).groupBy("sku_id").agg(F.sum(F.col("na") * F.col("nb")).alias("equ1"))
