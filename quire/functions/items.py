@@ -64,7 +64,9 @@ def array_stats(values: Column, prefix: str) -> dict[str, Column]:
     dv = F.transform(values, lambda x: x.cast("double"))
     total = F.aggregate(dv, F.lit(0.0), lambda a, x: a + x)
     mean = total / n
-    var = F.aggregate(dv, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    # sum of squares keeps the lambda free of outer aggregates (no per-element re-evaluation)
+    sq = F.aggregate(dv, F.lit(0.0), lambda a, x: a + x * x)
+    var = F.greatest(sq / n - mean * mean, F.lit(0.0))
     srt = F.array_sort(dv)
     stats = {
         f"{prefix}_min": F.array_min(dv),
