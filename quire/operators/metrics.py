@@ -48,7 +48,8 @@ def roc_auc(df: DataFrame, groups: list[str], y: str, p: str, out: str = "auc")
     AUC = sum over positives of (negatives with a lower score + half the
     negatives with an equal score) / (P * N). Rows are first reduced to
     (group, score) counts; the negatives below each score come from a
-    range-partitioned running sum minus the running sum at the group start."""
+    range-partitioned running sum minus the running sum at the group start.
+    A group without both classes has no AUC (NULL)."""
     yv = F.col(y).cast("int")
     sc = (df.groupBy(*groups, p)
           .agg(F.sum(F.when(yv == 1, 1).otherwise(0)).alias("_pos"),
@@ -61,7 +62,8 @@ def roc_auc(df: DataFrame, groups: list[str], y: str, p: str, out: str = "auc")
     below = F.col("_before") - F.col("_base")
     contrib = F.col("_pos") * (below + F.col("_neg") * 0.5)
     return (j.groupBy(*groups)
-            .agg((F.sum(contrib) / (F.first("_P") * F.first("_N"))).alias(out)))
+            .agg(F.try_divide(F.sum(contrib).cast("double"),
+                              (F.first("_P") * F.first("_N")).cast("double")).alias(out)))
 
 
 def fold_summary(scores: DataFrame, groups: list[str], score: str) -> DataFrame:
