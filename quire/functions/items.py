@@ -79,17 +79,21 @@ def array_stats(values: Column, prefix: str) -> dict[str, Column]:
     return {k: F.when(n > 0, v).otherwise(F.lit(0.0)) for k, v in stats.items()}
 
 
-def item_word_stats(c) -> dict[str, Column]:
-    """I4: single-space word counts per item: nonzero count and stats."""
-    lens = F.transform(extract_items(c), lambda x: F.size(words_space(x)))
+def item_word_stats(c, items: Column | None = None) -> dict[str, Column]:
+    """I4: single-space word counts per item: nonzero count and stats.
+
+    Pass ``items`` (a column holding ``extract_items``) to run the regex
+    extraction once per row instead of once per statistic."""
+    items = extract_items(c) if items is None else items
+    lens = F.transform(items, lambda x: F.size(words_space(x)))
     out = {"item_len_nonzero": F.size(F.filter(lens, lambda x: x != 0)).cast("double")}
     out.update(array_stats(lens, "item_len"))
     return out
 
 
-def item_word_char_stats(c) -> dict[str, Column]:
+def item_word_char_stats(c, items: Column | None = None) -> dict[str, Column]:
     """Whitespace words and characters per item."""
-    items = extract_items(c)
+    items = extract_items(c) if items is None else items
     out = array_stats(F.transform(items, lambda x: F.size(words_ws(x))), "item_word_cnt")
     out.update(array_stats(F.transform(items, lambda x: F.length(x)), "item_char_cnt"))
     return out

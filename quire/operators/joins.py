@@ -32,11 +32,15 @@ def materialize(df: DataFrame, name: str = "m") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bounded(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Checkpoint a derived table, count it, and mark it for broadcast only
-    when the measured row count is within ``max_rows``."""
+def bounded(small: DataFrame, max_rows: int | None = None, cheap: bool = False) -> DataFrame:
+    """Write a derived table, count it, and mark it for broadcast only when
+    the measured row count is within ``max_rows``.
+
+    ``cheap=True``: the table is a filter / small aggregate of an already
+    written table, so it is only counted, not written again."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(small.sparkSession)
-    small = materialize(small)
+    if not cheap:
+        small = materialize(small)
     n = small.count()
     return F.broadcast(small) if n <= limit else small
 

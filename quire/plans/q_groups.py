@@ -40,7 +40,7 @@ def attach_price_stats(c: DataFrame) -> DataFrame:
     s3 = stats[k3].select(k3, F.col("mean").alias("category_lvl_3_price_mean"))
     out = rows
     for s, k in ((s1, k1), (s2, k2), (s3, k3)):
-        out = out.join(bounded(s), k, "left")
+        out = out.join(bounded(s, cheap=True), k, "left")
     return out.drop(*keys.values())
 
 
@@ -78,8 +78,8 @@ def attach_category_entropies(c: DataFrame) -> DataFrame:
     e123 = G.entropy_from_counts(fine, "category_lvl_1", ["category_lvl_2", "category_lvl_3"], "_w", "entropy123")
     e23 = G.entropy_from_counts(fine, "category_lvl_2", "category_lvl_3", "_w", "entropy23")
     by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
-    return (c.join(bounded(by1), "category_lvl_1", "left")
-             .join(bounded(e23), "category_lvl_2", "left"))
+    return (c.join(bounded(by1, cheap=True), "category_lvl_1", "left")
+             .join(bounded(e23, cheap=True), "category_lvl_2", "left"))
 
 
 ENTROPY_COLS = ["entropy12", "entropy23", "entropy13", "entropy123"]
@@ -192,7 +192,7 @@ def a1_group_sum(spark, sf_dir):
     stats = G.grouping_sets_stats(rows.select("price", *sets), sets, {"s": G.exact_sum("price")})
     out = rows
     for n in A1_KEYS:
-        out = out.join(bounded(stats[f"_{n}"].withColumnRenamed("s", n)), f"_{n}", "left")
+        out = out.join(bounded(stats[f"_{n}"].withColumnRenamed("s", n), cheap=True), f"_{n}", "left")
     return out.select("sku_id", *[r(n).alias(n) for n in A1_KEYS])
 
 
@@ -214,7 +214,7 @@ def a3_country_group_price_stats(spark, sf_dir):
     for n in (1, 2, 3):
         t = stats[f"k{n}"].select("country", f"k{n}", F.col("m").alias(f"category_lvl_{n}c_price_mean"),
                                   F.col("s").alias(f"category_lvl_{n}c_price_std"))
-        out = out.join(bounded(t), ["country", f"k{n}"], "left")
+        out = out.join(bounded(t, cheap=True), ["country", f"k{n}"], "left")
     cols = [f"category_lvl_{n}c_price_{s}" for n in (1, 2, 3) for s in ("mean", "std")]
     return out.select("sku_id", *[r(k).alias(k) for k in cols])
 
@@ -249,7 +249,7 @@ def a4_country_group_price_median(spark, sf_dir):
     for n in (1, 2, 3, 4):
         t = stats[f"g{n}"].select("country", f"g{n}", F.col("m").alias(f"price_avg{n}"),
                                   F.col("d").alias(f"price_mdn{n}"), F.col("s").alias(f"price_std{n}"))
-        out = out.join(bounded(t), ["country", f"g{n}"], "left")
+        out = out.join(bounded(t, cheap=True), ["country", f"g{n}"], "left")
     cols = [f"price_{s}{n}" for n in (1, 2, 3, 4) for s in ("avg", "mdn", "std")]
     return out.select("sku_id", *[r(k).alias(k) for k in cols])
 
@@ -383,7 +383,7 @@ def a11_brand_entropy(spark, sf_dir):
     out = c
     for n, k in enumerate(CATS, start=1):
         e = G.entropy_from_counts(fine, k, "brand", "_w", f"brand_entropy{n}")
-        out = out.join(bounded(e), k, "left")
+        out = out.join(bounded(e, cheap=True), k, "left")
     return out.select("sku_id", *[r(f"brand_entropy{n}").alias(f"brand_entropy{n}") for n in (1, 2, 3)])
 
 
@@ -412,7 +412,8 @@ def a12_title_length_entropy(spark, sf_dir):
     e123 = G.entropy_from_counts(fine, "category_lvl_1", ["category_lvl_2", "category_lvl_3"], "_w", "entropy123")
     e23 = G.entropy_from_counts(fine, "category_lvl_2", "category_lvl_3", "_w", "entropy23")
     by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
-    out = d.join(bounded(by1), "category_lvl_1", "left").join(bounded(e23), "category_lvl_2", "left")
+    out = d.join(bounded(by1, cheap=True), "category_lvl_1", "left").join(bounded(e23, cheap=True),
+                                                                         "category_lvl_2", "left")
     return out.select("sku_id", *[r(k).alias(k) for k in ENTROPY_COLS])
 
 
@@ -516,24 +517,33 @@ def _word_pos_sql() -> str:
            f"count(*) over (partition by title_len, word_{i}) as title_len_word{i}_cnt" for i in range(1, 12))
        + " from w")
 def a18_word_position_counts(spark, sf_dir):
-    """Listings sharing the title length, and sharing (length, word i)."""
-    w = _word_positions(D(spark, sf_dir))
-    out = G.attach_counts(w, "title_len", "title_len_cnt")
-    for i in range(1, 12):
-        out = G.attach_counts(out, ["title_len", f"word_{i}"], f"title_len_word{i}_cnt")
-    return out.select("sku_id", "title_len_cnt", *[f"title_len_word{i}_cnt" for i in range(1, 12)])
+    """Listings sharing the title length, and sharing (length, word i).
+
+    The word-position table is written once; all twelve counts come from
+    one GROUPING SETS pass over it and are attached by size-checked joins."""
+    w = materialize(_word_positions(D(spark, sf_dir)))
+    sets = {"title_len_cnt": ["title_len"]}
+    sets.update({f"title_len_word{i}_cnt": ["title_len", f"word_{i}"] for i in range(1, 12)})
+    return _attach_set_counts(w, sets)
 
 
 @query("a19_word_prefix_counts", oracle=views("d") + f", w as ({_word_pos_sql()})\nselect sku_id, " + ", ".join(
     f"count(*) over (partition by {', '.join(f'word_{j}' for j in range(1, k + 1))}) as title_len_wordlen{k}_cnt"
     for k in range(2, 10)) + " from w")
 def a19_word_prefix_counts(spark, sf_dir):
-    """Listings sharing the first k title words (positions 1..k), k=2..9."""
-    w = _word_positions(D(spark, sf_dir))
+    """Listings sharing the first k title words (positions 1..k), k=2..9,
+    from one GROUPING SETS pass."""
+    w = materialize(_word_positions(D(spark, sf_dir)))
+    sets = {f"title_len_wordlen{k}_cnt": [f"word_{j}" for j in range(1, k + 1)] for k in range(2, 10)}
+    return _attach_set_counts(w, sets)
+
+
+def _attach_set_counts(w, sets: dict[str, list[str]]):
+    stats = G.grouping_sets_stats(w, sets, {"n": F.count(F.lit(1))})
     out = w
-    for k in range(2, 10):
-        out = G.attach_counts(out, [f"word_{j}" for j in range(1, k + 1)], f"title_len_wordlen{k}_cnt")
-    return out.select("sku_id", *[f"title_len_wordlen{k}_cnt" for k in range(2, 10)])
+    for name, keys in sets.items():
+        out = out.join(bounded(stats[name].withColumnRenamed("n", name), cheap=True), keys, "left")
+    return out.select("sku_id", *sets)
 
 
 # --------------------------------------------------------------------- A20

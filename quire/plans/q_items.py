@@ -55,9 +55,9 @@ select sku_id, cast(len(list_filter(lens, lambda x: x <> 0)) as double) as item_
 from (select sku_id, list_transform({ITEMS}, lambda x: len(string_split(x, ' '))) as lens from h)""")
 def i4_item_word_stats(spark, sf_dir):
     """Space-word counts per item: nonzero count, min/max/sum/mean/median/std."""
-    s = IT.item_word_stats("short_description")
-    return H(spark, sf_dir).select("sku_id", *[r(v).alias(k) if k != "item_len_nonzero" else v.alias(k)
-                                               for k, v in s.items()])
+    h = H(spark, sf_dir).select("sku_id", IT.extract_items("short_description").alias("_items"))
+    s = IT.item_word_stats(None, F.col("_items"))
+    return h.select("sku_id", *[r(v).alias(k) if k != "item_len_nonzero" else v.alias(k) for k, v in s.items()])
 
 
 @query("i5_item_word_char_stats", oracle=views("h") + f"""
@@ -66,5 +66,6 @@ from (select sku_id, list_transform({ITEMS}, lambda x: len({WS})) as wl,
              list_transform({ITEMS}, lambda x: length(x)) as cl from h)""")
 def i5_item_word_char_stats(spark, sf_dir):
     """Whitespace words and characters per item: min/max/sum/mean/median/std."""
-    s = IT.item_word_char_stats("short_description")
-    return H(spark, sf_dir).select("sku_id", *[r(v).alias(k) for k, v in s.items()])
+    h = H(spark, sf_dir).select("sku_id", IT.extract_items("short_description").alias("_items"))
+    s = IT.item_word_char_stats(None, F.col("_items"))
+    return h.select("sku_id", *[r(v).alias(k) for k, v in s.items()])
