@@ -15,12 +15,26 @@ from pyspark.sql import functions as F
 from quire.session import scratch_path
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 
 
 def max_broadcast_rows(spark) -> int:
     return int(spark.conf.get("quire.broadcast.maxRows", str(DEFAULT_MAX_BROADCAST_ROWS)))
 
 
+def max_broadcast_bytes(spark) -> int:
+    return int(spark.conf.get("quire.broadcast.maxBytes", str(DEFAULT_MAX_BROADCAST_BYTES)))
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, approximate bytes) of a table in one aggregate; the bytes are
+    the JSON length of each row, an over-estimate of its in-memory size for
+    text and a fair one for numbers."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).alias("b")).first()
+    return int(row["n"]), int(row["b"] or 0)
+
+
 def materialize(df: DataFrame, name: str = "m") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: the input is computed once, the lineage is cut (a lost
@@ -33,16 +47,18 @@ def materialize(df: DataFrame, name: str = "m") -> DataFrame:
 
 
 def bounded(small: DataFrame, max_rows: int | None = None, cheap: bool = False) -> DataFrame:
-    """Write a derived table, count it, and mark it for broadcast only when
-    the measured row count is within ``max_rows``.
+    """Write a derived table, measure it, and mark it for broadcast only when
+    its row count is within ``max_rows`` and its size within
+    ``quire.broadcast.maxBytes``; otherwise the join stays a shuffle join.
 
     ``cheap=True``: the table is a filter / small aggregate of an already
     written table, so it is only counted, not written again."""
-    limit = max_rows if max_rows is not None else max_broadcast_rows(small.sparkSession)
+    spark = small.sparkSession
+    limit = max_rows if max_rows is not None else max_broadcast_rows(spark)
     if not cheap:
         small = materialize(small)
-    n = small.count()
-    return F.broadcast(small) if n <= limit else small
+    n, size = measure(small)
+    return F.broadcast(small) if n <= limit and size <= max_broadcast_bytes(spark) else small
 
 
 def attach(df: DataFrame, small: DataFrame, on, how: str = "left",
