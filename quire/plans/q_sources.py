@@ -80,7 +80,7 @@ def s5_read_word_vectors(spark, sf_dir):
 , tc as (select sku_id, term, count(*) as tf from (select sku_id, unnest(regexp_extract_all(lower(title),
          '[\\p{L}\\p{Mn}\\p{Nd}_]{2,}')) as term from d) group by sku_id, term),
 voc as (select term, row_number() over (order by term) - 1 as idx from (select distinct term from tc))
-select sku_id, cast(count(*) as bigint) as nnz, cast(min(idx) as bigint) as first_index, sum(tf) as total
+select sku_id, cast(count(*) as bigint) as nnz, cast(min(idx) as bigint) as first_index, cast(sum(tf) as bigint) as total
 from tc join voc using (term) group by sku_id""")
 def s6_read_sparse_block(spark, sf_dir):
     """Title word counts stored as a long-form sparse block (key, index,
