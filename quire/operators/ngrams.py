@@ -30,19 +30,20 @@ def char_text(c) -> Column:
 
 
 def char_ngrams(c, n_min: int, n_max: int, normalise: bool = True) -> Column:
-    """All character n-grams, n in [n_min, n_max], in text order.
+    """All character n-grams, n in [n_min, n_max].
 
-    Sizes longer than the text are filtered out first: ``sequence`` counts
-    down when its end is below its start."""
+    One native regex pass per size with an overlapping look-ahead
+    ``(?=(.{n}))`` - no lambda, so the normalised text is evaluated once
+    per size, never once per n-gram. A text shorter than n yields none."""
     s = char_text(c) if normalise else col(c)
-    n_len = F.length(s)
-    sizes = F.filter(F.sequence(F.lit(n_min), F.lit(n_max)), lambda n: n <= n_len)
-    return F.flatten(F.transform(
-        sizes, lambda n: F.transform(F.sequence(F.lit(1), n_len - n + 1), lambda i: F.substring(s, i, n))))
+    return F.concat(*[F.regexp_extract_all(s, F.lit("(?s)(?=(.{%d}))" % n), 1) for n in range(n_min, n_max + 1)])
 
 
 def word_ngrams(tokens: Column, n_min: int, n_max: int) -> Column:
-    """Word n-grams (tokens joined by one space), n in [n_min, n_max]."""
+    """Word n-grams (tokens joined by one space), n in [n_min, n_max].
+
+    ``tokens`` should be a column (not an expression): it is referenced
+    inside a lambda, where expressions are re-evaluated per element."""
     parts = []
     for n in range(n_min, n_max + 1):
         if n == 1:

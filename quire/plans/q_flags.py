@@ -176,5 +176,5 @@ def f11_attribute_presence_flags(spark, sf_dir):
     h = descriptions(spark, sf_dir)
     atts = [r["att"] for r in top_attributes(h).collect()]
     arr = F.array(*[F.lit(a) for a in atts]) if atts else F.array().cast("array<string>")
-    low = F.lower(F.col("short_description"))
-    return h.select("sku_id", F.explode(F.filter(arr, lambda a: F.contains(low, a))).alias("att"))
+    low = h.select("sku_id", F.lower("short_description").alias("low"))  # a column, not re-evaluated per name
+    return low.select("sku_id", F.explode(F.filter(arr, lambda a: F.contains(F.col("low"), a))).alias("att"))

@@ -184,8 +184,8 @@ def g6_category_membership_probabilities(spark, sf_dir):
     (min_df 2, max_df 0.9) with multinomial naive Bayes, long form
     (sku_id, class, prob); scored in-sample."""
     from pyspark.ml.feature import StringIndexer
-    d = D(spark, sf_dir).select("sku_id", "category_lvl_1",
-                                word_ngrams(X.tokenise_words("title"), 1, 2).alias("grams"))
+    d = (D(spark, sf_dir).select("sku_id", "category_lvl_1", X.tokenise_words("title").alias("tk"))
+         .select("sku_id", "category_lvl_1", word_ngrams(F.col("tk"), 1, 2).alias("grams")))
     d = StringIndexer(inputCol="category_lvl_1", outputCol="y", stringOrderType="alphabetAsc").fit(d).transform(d)
     cv = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, maxDF=0.9).fit(d)
     tf = cv.transform(d)

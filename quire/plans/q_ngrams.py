@@ -55,8 +55,8 @@ g as (select sku_id, unnest(tk) as term from t
 select sku_id, term, count(*) as count from g group by sku_id, term""")
 def n2_word_ngrams(spark, sf_dir):
     """Word 1-2-grams of the title tokens, counted per listing."""
-    d = D(spark, sf_dir)
-    tc = NG.term_counts(d, "sku_id", NG.word_ngrams(tokenise_words("title"), 1, 2))
+    d = D(spark, sf_dir).select("sku_id", tokenise_words("title").alias("tk"))
+    tc = NG.term_counts(d, "sku_id", NG.word_ngrams(F.col("tk"), 1, 2))
     return tc.select("sku_id", "term", F.col("tf").alias("count"))
 
 
