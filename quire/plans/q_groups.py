@@ -143,9 +143,40 @@ from c join ps using (sku_id) {ENTROPY_JOIN}
 """)
 def j1_left_join_group_stats(spark, sf_dir):
     """Flagship: per listing, converted price, category price profile and
-    category entropies (S1 -> P7 -> A2 + A10 -> J1). Every statistic is a
-    small aggregate attached by broadcast; the listing rows never shuffle."""
-    out = attach_category_entropies(attach_price_stats(C(spark, sf_dir)))
+    category entropies (S1 -> P7 -> A2 + A10 -> J1).
+
+    One GROUPING SETS scan of the listings yields both the per-category
+    price statistics ('NA'-filled keys) and the finest raw (c1, c2, c3)
+    counts the entropies roll up from; every statistic is then a small
+    table attached by size-checked broadcast, so the listing rows are read
+    twice in total and never shuffled."""
+    c = C(spark, sf_dir)
+    keys = {k: f"_{k}" for k in CATS}
+    rows = c.withColumn("price", convert_price()).select(
+        "sku_id", "price", *CATS, *[F.coalesce(F.col(k), F.lit("NA")).alias(a) for k, a in keys.items()])
+    p = F.col("price")
+    sets = {a: [a] for a in keys.values()}
+    sets["fine"] = CATS
+    stats = G.grouping_sets_stats(
+        rows.select("price", *CATS, *keys.values()), sets,
+        {"mean": G.exact_avg(p), "min": F.min(p), "max": F.max(p), "std": F.stddev_samp(p),
+         "_w": F.count(F.lit(1))})
+    k1, k2, k3 = keys.values()
+    s1 = stats[k1].select(k1, F.col("mean").alias("category_lvl_1_price_mean"),
+                          F.col("min").alias("category_lvl_1_price_min"),
+                          F.col("max").alias("category_lvl_1_price_max"),
+                          F.col("std").alias("category_lvl_1_price_std"))
+    s2 = stats[k2].select(k2, F.col("mean").alias("category_lvl_2_price_mean"))
+    s3 = stats[k3].select(k3, F.col("mean").alias("category_lvl_3_price_mean"))
+    fine = stats["fine"].select(*CATS, "_w")
+    e12 = G.entropy_from_counts(fine, "category_lvl_1", "category_lvl_2", "_w", "entropy12")
+    e13 = G.entropy_from_counts(fine, "category_lvl_1", "category_lvl_3", "_w", "entropy13")
+    e123 = G.entropy_from_counts(fine, "category_lvl_1", ["category_lvl_2", "category_lvl_3"], "_w", "entropy123")
+    e23 = G.entropy_from_counts(fine, "category_lvl_2", "category_lvl_3", "_w", "entropy23")
+    by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
+    out = rows
+    for t, k in ((s1, k1), (s2, k2), (s3, k3), (by1, "category_lvl_1"), (e23, "category_lvl_2")):
+        out = out.join(bounded(t, cheap=True), k, "left")
     return out.select("sku_id", *[r(k).alias(k) for k in PRICE_STATS_COLS + ENTROPY_COLS])
 
 
