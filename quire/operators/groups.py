@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import col, words_space
-from quire.operators.joins import attach, materialize
+from quire.operators.joins import attach, bounded, materialize
 
 
 def _list(x):
@@ -174,3 +174,53 @@ def mine_attributes(df: DataFrame, items_col: str, text_col: str, min_count: int
     it = df.select(F.explode(pieces).alias("_it")).select(F.replace(F.col("_it"), F.lit(" : "), F.lit(": ")).alias("_it"))
     keyed = it.where(F.instr("_it", ":") > 1).select(F.lower(F.substring_index("_it", ":", 1)).alias("att"))
     return keyed.groupBy("att").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+
+
+def exact_median(df: DataFrame, keys, x, name: str) -> DataFrame:
+    """Exact interpolated median of ``x`` per group, without holding a
+    group's values in one task.
+
+    (group, value) counts are aggregated (partial aggregation first), a
+    range-partitioned running count over (group, value) gives each value's
+    rank span - a hot group's values are spread over many range partitions
+    - and the values at ranks floor((n-1)/2) and floor(n/2) are picked:
+    median = lo + (hi - lo) / 2, as ``percentile(x, 0.5)``. Nulls are ignored."""
+    from quire.operators.ordered import running_sum
+    keys = _list(keys)
+    v = col(x).alias("_x") if not isinstance(x, str) else F.col(x).alias("_x")
+    vc = (df.select(*keys, v).where(F.col("_x").isNotNull())
+          .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    cum = running_sum(vc, [F.col(k) for k in keys] + [F.col("_x")], "_c", "_cum")
+    cum = cum.withColumn("_before", F.col("_cum") - F.col("_c"))
+    grp = cum.groupBy(*keys).agg(F.min("_before").alias("_base"), F.sum("_c").alias("_n"))
+    j = cum.join(bounded(grp), keys)
+    pos = F.col("_before") - F.col("_base")
+    lo = F.floor((F.col("_n") - 1) / 2)
+    hi = F.floor(F.col("_n") / 2)
+    at = lambda p: (pos <= p) & (p < pos + F.col("_c"))
+    picked = j.groupBy(*keys).agg(F.max(F.when(at(lo), F.col("_x"))).alias("_lo"),
+                                  F.max(F.when(at(hi), F.col("_x"))).alias("_hi"))
+    return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(name))
+
+
+def exact_median_sets(df: DataFrame, sets: dict[str, list[str]], x: str) -> dict[str, DataFrame]:
+    """``exact_median`` for several key sets in one pass: every row is
+    expanded once per set into (set id, group key), and one ranked pass
+    over (set id, group key, value) serves all sets. Returns one
+    (keys..., median) table per set name."""
+    names = list(sets)
+    sep = "\u0001"
+    entries = F.array(*[F.struct(F.lit(i).alias("_sid"),
+                                 F.concat_ws(sep, *[F.col(k).cast("string") for k in sets[n]]).alias("_k"))
+                        for i, n in enumerate(names)])
+    ex = (df.where(F.col(x).isNotNull()).select(F.col(x).alias("_x"), F.explode(entries).alias("_e"))
+          .select("_e._sid", "_e._k", "_x"))
+    med = materialize(exact_median(ex, ["_sid", "_k"], "_x", "_m"))
+    out = {}
+    for i, n in enumerate(names):
+        keys = sets[n]
+        key_tbl = df.select(*keys).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).distinct()
+        key_tbl = key_tbl.withColumn("_k", F.concat_ws(sep, *[F.col(k).cast("string") for k in keys]))
+        out[n] = (key_tbl.join(med.where(F.col("_sid") == i).select("_k", "_m"), "_k")
+                  .select(*keys, "_m"))
+    return out

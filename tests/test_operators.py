@@ -90,3 +90,14 @@ def test_mine_attributes_inline(spark):
     items = df.select(extract_items("d").alias("items"), "d")
     out = {r["att"]: r["count"] for r in G.mine_attributes(items, "items", "d").collect()}
     assert out == {"color": 2, "size": 2}
+
+
+def test_exact_median_matches_pandas(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 2001), "x": rng.integers(0, 50, 2001).astype(float)})
+    pdf.loc[pdf.index[:5], "x"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = {r["g"]: r["m"] for r in G.exact_median(df.where(~F.isnan("x")), "g", "x", "m").collect()}
+    want = pdf.dropna().groupby("g")["x"].median().to_dict()
+    assert got == pytest.approx(want)
