@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import col, words_space
-from quire.operators.joins import attach, bounded, materialize
+from quire.operators.joins import attach, bounded, fits_broadcast, materialize
 
 
 def _list(x):
@@ -45,15 +45,22 @@ def attach_group_stats(df: DataFrame, keys, aggs: dict[str, F.Column],
     return attach(df, group_stats(df, keys, aggs, drop_null_keys), keys)
 
 
+class SetTables(dict):
+    """Per-set tables of one written GROUPING SETS result; ``small`` says
+    whether the whole result (hence every subset) is within broadcast bounds."""
+    small: bool = False
+
+
 def grouping_sets_stats(df: DataFrame, sets: dict[str, list[str]],
-                        aggs: dict[str, F.Column]) -> dict[str, DataFrame]:
+                        aggs: dict[str, F.Column]) -> SetTables:
     """Several groupings in one scan: ``GROUPING SETS`` with a ``grouping_id``
     per set; returns one small table per set name."""
     all_keys = sorted({k for ks in sets.values() for k in ks})
     agg_cols = [a.alias(n) for n, a in aggs.items()] + [F.grouping_id(*all_keys).alias("_gid")]
     gs = [[F.col(k) for k in ks] for ks in sets.values()]
     stats = materialize(df.groupingSets(gs, *all_keys).agg(*agg_cols))
-    out = {}
+    out = SetTables()
+    out.small = fits_broadcast(stats)
     for name, ks in sets.items():
         gid = sum(1 << (len(all_keys) - 1 - i) for i, k in enumerate(all_keys) if k not in ks)
         out[name] = stats.where(F.col("_gid") == gid).select(*ks, *aggs.keys())

@@ -46,6 +46,20 @@ def materialize(df: DataFrame, name: str = "m") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a (written) table is within the broadcast bounds. Tables
+    derived from it by filters, projections or roll-ups are no larger, so
+    one measurement bounds them all."""
+    spark = df.sparkSession
+    n, size = measure(df)
+    return n <= max_broadcast_rows(spark) and size <= max_broadcast_bytes(spark)
+
+
+def side(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint for a side table whose parent table was measured."""
+    return F.broadcast(df) if small else df
+
+
 def bounded(small: DataFrame, max_rows: int | None = None, cheap: bool = False) -> DataFrame:
     """Write a derived table, measure it, and mark it for broadcast only when
     its row count is within ``max_rows`` and its size within

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import combo_key, convert_price, space_punctuation, word_len_space
 from quire.operators import groups as G
-from quire.operators.joins import attach, bounded, materialize
+from quire.operators.joins import attach, bounded, fits_broadcast, materialize, side
 from quire.plans.common import C, D, r
 from quire.plans.oracle_views import views
 from quire.plans.registry import query
@@ -40,7 +40,7 @@ def attach_price_stats(c: DataFrame) -> DataFrame:
     s3 = stats[k3].select(k3, F.col("mean").alias("category_lvl_3_price_mean"))
     out = rows
     for s, k in ((s1, k1), (s2, k2), (s3, k3)):
-        out = out.join(bounded(s, cheap=True), k, "left")
+        out = out.join(side(s, stats.small), k, "left")
     return out.drop(*keys.values())
 
 
@@ -73,13 +73,14 @@ def attach_category_entropies(c: DataFrame) -> DataFrame:
     The finest counts keep null children so parent totals include them;
     null parents and null children drop out of the entropy sums."""
     fine = materialize(c.groupBy(*CATS).agg(F.count(F.lit(1)).alias("_w")))
+    small = fits_broadcast(fine)
     e12 = G.entropy_from_counts(fine, "category_lvl_1", "category_lvl_2", "_w", "entropy12")
     e13 = G.entropy_from_counts(fine, "category_lvl_1", "category_lvl_3", "_w", "entropy13")
     e123 = G.entropy_from_counts(fine, "category_lvl_1", ["category_lvl_2", "category_lvl_3"], "_w", "entropy123")
     e23 = G.entropy_from_counts(fine, "category_lvl_2", "category_lvl_3", "_w", "entropy23")
     by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
-    return (c.join(bounded(by1, cheap=True), "category_lvl_1", "left")
-             .join(bounded(e23, cheap=True), "category_lvl_2", "left"))
+    return (c.join(side(by1, small), "category_lvl_1", "left")
+             .join(side(e23, small), "category_lvl_2", "left"))
 
 
 ENTROPY_COLS = ["entropy12", "entropy23", "entropy13", "entropy123"]
@@ -176,7 +177,7 @@ def j1_left_join_group_stats(spark, sf_dir):
     by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
     out = rows
     for t, k in ((s1, k1), (s2, k2), (s3, k3), (by1, "category_lvl_1"), (e23, "category_lvl_2")):
-        out = out.join(bounded(t, cheap=True), k, "left")
+        out = out.join(side(t, stats.small), k, "left")
     return out.select("sku_id", *[r(k).alias(k) for k in PRICE_STATS_COLS + ENTROPY_COLS])
 
 
@@ -223,7 +224,7 @@ def a1_group_sum(spark, sf_dir):
     stats = G.grouping_sets_stats(rows.select("price", *sets), sets, {"s": G.exact_sum("price")})
     out = rows
     for n in A1_KEYS:
-        out = out.join(bounded(stats[f"_{n}"].withColumnRenamed("s", n), cheap=True), f"_{n}", "left")
+        out = out.join(side(stats[f"_{n}"].withColumnRenamed("s", n), stats.small), f"_{n}", "left")
     return out.select("sku_id", *[r(n).alias(n) for n in A1_KEYS])
 
 
@@ -245,7 +246,7 @@ def a3_country_group_price_stats(spark, sf_dir):
     for n in (1, 2, 3):
         t = stats[f"k{n}"].select("country", f"k{n}", F.col("m").alias(f"category_lvl_{n}c_price_mean"),
                                   F.col("s").alias(f"category_lvl_{n}c_price_std"))
-        out = out.join(bounded(t, cheap=True), ["country", f"k{n}"], "left")
+        out = out.join(side(t, stats.small), ["country", f"k{n}"], "left")
     cols = [f"category_lvl_{n}c_price_{s}" for n in (1, 2, 3) for s in ("mean", "std")]
     return out.select("sku_id", *[r(k).alias(k) for k in cols])
 
@@ -415,10 +416,11 @@ def a11_brand_entropy(spark, sf_dir):
     category level."""
     c = C(spark, sf_dir).withColumn("brand", F.substring("sku_id", 1, 5))
     fine = materialize(c.groupBy(*CATS, "brand").agg(F.count(F.lit(1)).alias("_w")))
+    small = fits_broadcast(fine)
     out = c
     for n, k in enumerate(CATS, start=1):
         e = G.entropy_from_counts(fine, k, "brand", "_w", f"brand_entropy{n}")
-        out = out.join(bounded(e, cheap=True), k, "left")
+        out = out.join(side(e, small), k, "left")
     return out.select("sku_id", *[r(f"brand_entropy{n}").alias(f"brand_entropy{n}") for n in (1, 2, 3)])
 
 
@@ -447,8 +449,8 @@ def a12_title_length_entropy(spark, sf_dir):
     e123 = G.entropy_from_counts(fine, "category_lvl_1", ["category_lvl_2", "category_lvl_3"], "_w", "entropy123")
     e23 = G.entropy_from_counts(fine, "category_lvl_2", "category_lvl_3", "_w", "entropy23")
     by1 = e12.join(e13, "category_lvl_1", "full").join(e123, "category_lvl_1", "full")
-    out = d.join(bounded(by1, cheap=True), "category_lvl_1", "left").join(bounded(e23, cheap=True),
-                                                                         "category_lvl_2", "left")
+    small = fits_broadcast(fine)
+    out = d.join(side(by1, small), "category_lvl_1", "left").join(side(e23, small), "category_lvl_2", "left")
     return out.select("sku_id", *[r(k).alias(k) for k in ENTROPY_COLS])
 
 
@@ -577,7 +579,7 @@ def _attach_set_counts(w, sets: dict[str, list[str]]):
     stats = G.grouping_sets_stats(w, sets, {"n": F.count(F.lit(1))})
     out = w
     for name, keys in sets.items():
-        out = out.join(bounded(stats[name].withColumnRenamed("n", name), cheap=True), keys, "left")
+        out = out.join(side(stats[name].withColumnRenamed("n", name), stats.small), keys, "left")
     return out.select("sku_id", *sets)
 
 
