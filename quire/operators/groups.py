@@ -210,24 +210,30 @@ def exact_median(df: DataFrame, keys, x, name: str) -> DataFrame:
     return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(name))
 
 
-def exact_median_sets(df: DataFrame, sets: dict[str, list[str]], x: str) -> dict[str, DataFrame]:
+def exact_median_sets(df: DataFrame, sets: dict[str, list[str]], x: str) -> SetTables:
     """``exact_median`` for several key sets in one pass: every row is
-    expanded once per set into (set id, group key), and one ranked pass
-    over (set id, group key, value) serves all sets. Returns one
-    (keys..., median) table per set name."""
+    expanded once per set into (set id, encoded group key), one ranked pass
+    over (set id, group key, value) serves all sets, and the keys are
+    decoded from the result (no re-scan of the rows). Rows with a null key
+    drop out of that set. Returns one (keys..., _m) table per set name;
+    ``small`` tells whether the written result fits the broadcast bounds."""
     names = list(sets)
     sep = "\u0001"
-    entries = F.array(*[F.struct(F.lit(i).alias("_sid"),
-                                 F.concat_ws(sep, *[F.col(k).cast("string") for k in sets[n]]).alias("_k"))
-                        for i, n in enumerate(names)])
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def entry(i, keys):
+        ok = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        return F.when(ok, F.struct(F.lit(i).alias("_sid"),
+                                   F.concat_ws(sep, *[F.col(k).cast("string") for k in keys]).alias("_k")))
+
+    entries = F.filter(F.array(*[entry(i, sets[n]) for i, n in enumerate(names)]), lambda e: e.isNotNull())
     ex = (df.where(F.col(x).isNotNull()).select(F.col(x).alias("_x"), F.explode(entries).alias("_e"))
           .select("_e._sid", "_e._k", "_x"))
     med = materialize(exact_median(ex, ["_sid", "_k"], "_x", "_m"))
-    out = {}
+    out = SetTables()
+    out.small = fits_broadcast(med)
     for i, n in enumerate(names):
-        keys = sets[n]
-        key_tbl = df.select(*keys).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).distinct()
-        key_tbl = key_tbl.withColumn("_k", F.concat_ws(sep, *[F.col(k).cast("string") for k in keys]))
-        out[n] = (key_tbl.join(med.where(F.col("_sid") == i).select("_k", "_m"), "_k")
-                  .select(*keys, "_m"))
+        parts = F.split(F.col("_k"), sep, -1)
+        out[n] = med.where(F.col("_sid") == i).select(
+            *[F.get(parts, j).cast(types[k]).alias(k) for j, k in enumerate(sets[n])], "_m")
     return out

@@ -285,7 +285,7 @@ def a4_country_group_price_median(spark, sf_dir):
         t = stats[f"g{n}"].select("country", f"g{n}", F.col("m").alias(f"price_avg{n}"),
                                   F.col("s").alias(f"price_std{n}"))
         t = t.join(meds[f"g{n}"].withColumnRenamed("_m", f"price_mdn{n}"), ["country", f"g{n}"], "left")
-        out = out.join(bounded(t), ["country", f"g{n}"], "left")
+        out = out.join(side(t, stats.small and meds.small), ["country", f"g{n}"], "left")
     cols = [f"price_{s}{n}" for n in (1, 2, 3, 4) for s in ("avg", "mdn", "std")]
     return out.select("sku_id", *[r(k).alias(k) for k in cols])
 

@@ -101,3 +101,14 @@ def test_exact_median_matches_pandas(spark):
     got = {r["g"]: r["m"] for r in G.exact_median(df.where(~F.isnan("x")), "g", "x", "m").collect()}
     want = pdf.dropna().groupby("g")["x"].median().to_dict()
     assert got == pytest.approx(want)
+
+
+def test_exact_median_sets_with_null_keys(spark):
+    pdf = pd.DataFrame({"a": ["x", "x", "y", None, "y", "x"], "b": [1, 2, 1, 2, 2, 1],
+                        "v": [1.0, 5.0, 2.0, 9.0, 4.0, 3.0]})
+    df = spark.createDataFrame(pdf, "a string, b long, v double")
+    out = G.exact_median_sets(df, {"sa": ["a"], "sab": ["a", "b"]}, "v")
+    got_a = {r["a"]: r["_m"] for r in out["sa"].collect()}
+    got_ab = {(r["a"], r["b"]): r["_m"] for r in out["sab"].collect()}
+    assert got_a == pdf.dropna().groupby("a")["v"].median().to_dict()
+    assert got_ab == pdf.dropna().groupby(["a", "b"])["v"].median().to_dict()
