@@ -394,10 +394,14 @@ def a9_group_nunique(spark, sf_dir):
     exact, by two-step distinct."""
     c = C(spark, sf_dir)
     rows = c.select("sku_id", *[F.coalesce(F.col(k), F.lit("NA")).alias(f"k{i}") for i, k in enumerate(CATS, 1)])
+    # one scan: the distinct (k1, k2, k3) triples, written once; every pair's
+    # distinct-children count is a small roll-up of that table
+    triples = materialize(rows.select("k1", "k2", "k3").distinct())
+    small = fits_broadcast(triples)
     out = rows
     for a, b in A9_PAIRS:
-        t = G.count_distinct_children(rows, f"k{a}", f"k{b}", f"category_lvl_{a}{b}_nunique")
-        out = out.join(bounded(t), f"k{a}", "left")
+        t = G.count_distinct_children(triples, f"k{a}", f"k{b}", f"category_lvl_{a}{b}_nunique")
+        out = out.join(side(t, small), f"k{a}", "left")
     return out.select("sku_id", *[F.col(f"category_lvl_{a}{b}_nunique").cast("long") for a, b in A9_PAIRS])
 
 
