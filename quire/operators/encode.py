@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.groups import value_counts
-from quire.operators.joins import bounded
+from quire.operators.joins import bounded, fits_broadcast, materialize, side
 from quire.operators.ordered import ordered_index
 
 
@@ -29,6 +29,26 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(bounded(label_codes(df, col, out)), col, "left")
 
 
+def label_encode_many(df: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
+    """G1 for several string columns at once: one scan expands each row into
+    (column, value) pairs, one distributed index ranks the distinct pairs,
+    and each column's codes are its ranks minus the column's first rank
+    (one row per column). The written code table is measured once."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("string").alias("_v"))
+                                for c in cols]))
+    vals = df.select(pairs.alias("_p")).select("_p._col", "_p._v").where(F.col("_v").isNotNull()).distinct()
+    idx = ordered_index(vals, [F.col("_col"), F.col("_v")], "_i")
+    starts = idx.groupBy("_col").agg(F.min("_i").alias("_s"))
+    codes = materialize(idx.join(F.broadcast(starts), "_col")
+                        .select("_col", "_v", (F.col("_i") - F.col("_s")).alias("_code")))
+    small = fits_broadcast(codes)
+    out = df
+    for c in cols:
+        t = codes.where(F.col("_col") == c).select(F.col("_v").alias(c), F.col("_code").alias(f"{c}{suffix}"))
+        out = out.join(side(t, small), c, "left")
+    return out
+
+
 def collapse_rare(df: DataFrame, col: str, min_count: int, other: str = "Others",
                   out: str | None = None) -> DataFrame:
     """Values seen fewer than ``min_count`` times become ``other``."""

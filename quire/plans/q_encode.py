@@ -21,8 +21,7 @@ def g1_label_encode(spark, sf_dir):
     """Label codes of the three categories ('NA' for nulls): rank of the
     value among the sorted distinct values, from 0."""
     c = C(spark, sf_dir).select("sku_id", *[F.coalesce(F.col(k), F.lit("NA")).alias(k) for k in CATS])
-    for k in CATS:
-        c = EN.label_encode(c, k, f"{k}_code")
+    c = EN.label_encode_many(c, CATS)
     return c.select("sku_id", *[f"{k}_code" for k in CATS])
 
 

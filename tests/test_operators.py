@@ -112,3 +112,10 @@ def test_exact_median_sets_with_null_keys(spark):
     got_ab = {(r["a"], r["b"]): r["_m"] for r in out["sab"].collect()}
     assert got_a == pdf.dropna().groupby("a")["v"].median().to_dict()
     assert got_ab == pdf.dropna().groupby(["a", "b"])["v"].median().to_dict()
+
+
+def test_label_encode_many_per_column_ranks(spark):
+    df = spark.createDataFrame([("b", "z"), ("a", "y"), ("c", "y"), ("a", None)], "p string, q string")
+    out = EN.label_encode_many(df, ["p", "q"]).collect()
+    assert {(r["p"], r["p_code"]) for r in out} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r["q"], r["q_code"]) for r in out} == {("y", 0), ("z", 1), (None, None)}
