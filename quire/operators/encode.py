@@ -61,20 +61,17 @@ def collapse_rare(df: DataFrame, col: str, min_count: int, other: str = "Others"
 def one_hot_long(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """One-hot blocks of several label-encoded columns side by side, in
     long form (key, column_name, index): index = code + width of the blocks
-    before it, i.e. the column of the 1 in the stacked sparse matrix."""
-    parts, offset = [], None
-    for c in cols:
-        codes = bounded(label_codes(df, c, "_code"))
-        base = F.lit(0).cast("long") if offset is None else offset
-        part = (df.select(key, c).join(codes, c)
-                .select(key, F.lit(c).alias("column_name"), (F.col("_code") + base).alias("index")))
-        parts.append(part)
-        # block width as a scalar sub-query (one value, never collected)
-        offset = base + codes.select(F.count(F.lit(1))).scalar()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    before it, i.e. the column of the 1 in the stacked sparse matrix.
+
+    Ranking the distinct (column position, value) pairs once gives exactly
+    that index; rows are expanded into their pairs and joined to it."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_pos"), F.lit(c).alias("column_name"),
+                                         F.col(c).cast("string").alias("_v")) for i, c in enumerate(cols)]))
+    rows = df.select(key, pairs.alias("_p")).select(key, "_p._pos", "_p.column_name", "_p._v") \
+        .where(F.col("_v").isNotNull())
+    idx = materialize(ordered_index(rows.select("_pos", "_v").distinct(), [F.col("_pos"), F.col("_v")], "index"))
+    return (rows.join(side(idx, fits_broadcast(idx)), ["_pos", "_v"])
+            .select(key, "column_name", "index"))
 
 
 def _stats(train: DataFrame, col: str, label: str) -> DataFrame:
