@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import decontaminate as benchmark
+from quire.llm import packing
 from quire.llm import quality_rules as quality
 from quire.llm import simhash
+from quire.llm import url_filter as urls
 from quire.sources.tables import table
 
+#: The rules that the url query applies.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+             ("com/de/", "block")]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -33,3 +43,67 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its SimHash and the component of near copies it is in."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = """
+with item_words as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null),
+doc_words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
+item_windows as (
+  select distinct item_id, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as win, least(13, len(w)) as size
+  from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from item_words where len(w) > 0)),
+sizes as (select distinct size from item_windows),
+doc_windows as (
+  select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from doc_words, sizes where len(w) >= size)),
+hits as (select d.doc_id, d.i, d.size, t.item_id from doc_windows d join item_windows t using (win, size)),
+covered as (select doc_id, count(*) as n_hit from (
+  select distinct doc_id, p from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, i, size from hits)))
+  group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc_words left join covered using (doc_id) left join found using (doc_id)
+"""
+
+
+@query(DECONTAMINATION_SQL)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows and the verdict."""
+    out = benchmark.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+URL_SQL = """
+with parts as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+address as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts),
+rules(rule, host, path, verdict) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+best as (
+  select a.page_id, a.host, a.path, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict
+  from address a left join rules r
+    on (a.host = r.host or ends_with(a.host, '.' || r.host)) and starts_with(a.path, r.path)
+  group by all)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from best
+"""
+
+
+@query(URL_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url with the rule that fits it and the verdict."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", *urls.RESULTS)
