@@ -10,6 +10,7 @@ from quire.llm import decontaminate as benchmark
 from quire.llm import packing
 from quire.llm import quality_rules as quality
 from quire.llm import simhash
+from quire.llm import substring_dedup as substrings
 from quire.llm import url_filter as urls
 from quire.sources.tables import table
 
@@ -107,3 +108,28 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url with the rule that fits it and the verdict."""
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", *urls.RESULTS)
+
+
+SUBSTRING_SQL = """
+with doc_words as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+windows as (
+  select doc_id, i, array_to_string(w[i:i + 12], ' ') as win
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from doc_words where len(w) >= 13)),
+firsts as (select win, min(doc_id) as least from windows group by win),
+gone as (select distinct doc_id, p from (
+  select doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (win) where least < doc_id)),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from doc_words),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n
+         from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from doc_words left join kept using (doc_id)
+"""
+
+
+@query(SUBSTRING_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that repeat passages of earlier ones."""
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace("clean_text", r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
