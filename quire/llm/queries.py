@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontaminate as benchmark
 from quire.llm import packing
+from quire.llm import quality_classifier, toxicity
 from quire.llm import quality_rules as quality
 from quire.llm import simhash
 from quire.llm import substring_dedup as substrings
@@ -133,3 +134,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.trim(F.regexp_replace("clean_text", r"[\x20\x09-\x0D]+", " "))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the probability that it is toxic."""
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *toxicity.RESULTS)
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the probability that it is of good quality."""
+    out = quality_classifier.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                           table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality_classifier.RESULTS)
