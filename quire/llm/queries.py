@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import chat, html_text
 from quire.llm import decontaminate as benchmark
 from quire.llm import packing
 from quire.llm import quality_classifier, toxicity
@@ -149,3 +150,29 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_classifier.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                            table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality_classifier.RESULTS)
+
+
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", *html_text.RESULTS)
+
+
+CHAT_SQL = """
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as nth,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as said
+  from (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
+        from conversations where conv_id is not null)),
+prefixes as (select conv_id, nth, string_agg(said, '') over (partition by conv_id order by nth) as p,
+                    max(nth) over (partition by conv_id) as n from turns),
+whole as (select p, min(conv_id) as conv_id, max(n) as n_turns, count(*) as n_copies from prefixes where nth = n group by p)
+select conv_id, n_turns, n_copies, p as rendered
+from whole where p not in (select p from prefixes where nth < n)
+"""
+
+
+@query(CHAT_SQL)
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
