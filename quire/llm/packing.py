@@ -11,9 +11,6 @@ among those of their length.
 
 from __future__ import annotations
 
-import re
-import sys
-import types
 import zlib
 from bisect import bisect_right
 
@@ -29,81 +26,63 @@ WINDOW = 1024
 #: Middle lengths of three-piece combinations are multiples of this.
 GRID = 32
 SWEEPS = 30
-#: Words whose ids a Python worker keeps before it starts anew.
-CACHE_WORDS = 600_000
-
-
-def _worker_state() -> dict:
-    """A dictionary that lasts as long as the Python worker."""
-    return sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
-
-
-class Encoder:
-    """Token ids (little-endian 32-bit) of texts, word by word.
-
-    The byte-level pre-tokeniser always cuts before a space that a visible
-    character follows, and around a line break between visible characters,
-    so the parts can be encoded on their own and kept."""
-
-    LOOSE_SPACE = re.compile(r" (?!\S)")
-    CUT = re.compile(r" (?=\S)")
-    INNER_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        state = _worker_state()
-        self.spaced, self.bare = state.setdefault(("spaced", path), {}), state.setdefault(("bare", path), {})
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        words = [w for w in words if w not in known]
-        if words:
-            got = self.model.encode_batch_fast([before + w for w in words], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, got))
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > CACHE_WORDS:
-            self.spaced.clear()
-            self.bare.clear()
-        cut = [self.CUT.split(t) if self.LOOSE_SPACE.search(t) else t.split(" ") for t in batch]
-        spaced, bare = self.spaced, self.bare
-        unknown = {w for parts in cut for w in parts if w not in spaced}
-        broken = {w: self.INNER_BREAK.split(w) for w in unknown if "\n" in w}
-        heads = {parts[0] for parts in cut}
-        self._learn(spaced, {broken[w][0] if w in broken else w for w in unknown}, " ")
-        self._learn(bare, heads | {x for parts in broken.values() for x in ["\n", *parts[1:]]}, "")
-        pieced = {w: bare["\n"].join([spaced[p[0]], *(bare[x] for x in p[1:])]) for w, p in broken.items()}
-        out = []
-        for parts in cut:
-            try:
-                ids = [spaced[w] for w in parts]
-            except KeyError:
-                ids = [spaced[w] if w in spaced else pieced[w] for w in parts]
-            ids[0] = bare[parts[0]]
-            out.append(b"".join(ids))
-        return out
+# Fixed value: how the byte-level pre-tokeniser cuts a text.
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_names() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: visible
+    Latin-1 characters are themselves, the other bytes follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def encoder(path: str):
+    """A function from texts to arrays of token ids.
+
+    The file is read by tokenizers. If it is a byte-level BPE whose ids follow
+    the order of its merges, tiktoken runs the same merges, several times
+    faster; any other file is run by tokenizers. Special tokens' strings are
+    ordinary text."""
+    import json
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    form = json.loads(model.to_str())
+    bpe, cut = form["model"], form["pre_tokenizer"] or {}
+    merged = [bpe["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in bpe.get("merges", ())]
+    plain = (bpe["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not form["normalizer"]
+             and not cut.get("add_prefix_space") and merged == sorted(set(merged), key=lambda x: (x is None, x)))
+    if not plain:
+        return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4")
+    names = byte_names()
+    ranks = {bytes(names[c] for c in token): i for token, i in bpe["vocab"].items() if all(c in names for c in token)}
+    special = {t["content"].encode() for t in form["added_tokens"]}
+    ranks = {token: i for token, i in ranks.items() if token not in special}
+    fast = tiktoken.Encoding("merges", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
 def _pieces(path: str, end_id: int, window: int, with_ids: bool):
     def run(batches):
-        encoder, task = Encoder(path), TaskContext.get().partitionId()
+        encode, task = encoder(path), TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
         for b in slices(batches):
             rows, cols, ids = [], [[] for _ in range(5)], []
-            for i, got in enumerate(encoder.encode([t or "" for t in b.column("text").to_pylist()])):
-                got += end_id.to_bytes(4, "little")
-                total = len(got) // 4
-                for start in range(0, total, window):
-                    own = got[4 * start:4 * (start + window)]
-                    length = len(own) // 4
+            for i, text in enumerate(b.column("text").to_pylist()):
+                got = np.append(encode(text or ""), np.array([end_id], "<u4"))
+                for start in range(0, len(got), window):
+                    own = got[start:start + window]
                     rows.append(i)
-                    for c, v in zip(cols, (start, length, zlib.crc32(own), total, ranks[length])):
+                    for c, v in zip(cols, (start, len(own), zlib.crc32(own), len(got), ranks[len(own)])):
                         c.append(v)
-                    ranks[length] += 1
+                    ranks[len(own)] += 1
                     if with_ids:
-                        ids.append(np.frombuffer(own, "<u4"))
+                        ids.append(own)
             out = [b.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols),
                    pa.array([task] * len(rows), pa.int32())]
             out += [lists(ids, pa.int64())] if with_ids else []
