@@ -64,10 +64,12 @@ def array_stats(values: Column, prefix: str) -> dict[str, Column]:
     dv = F.transform(values, lambda x: x.cast("double"))
     total = F.aggregate(dv, F.lit(0.0), lambda a, x: a + x)
     mean = total / n
-    # sum of squares keeps the lambda free of outer aggregates (no per-element re-evaluation)
+    # the values are whole numbers, so n * sum(x^2) - sum(x)^2 is exact and nothing cancels;
+    # the lambda stays free of outer aggregates (no per-element re-evaluation)
     sq = F.aggregate(dv, F.lit(0.0), lambda a, x: a + x * x)
-    var = F.greatest(sq / n - mean * mean, F.lit(0.0))
-    srt = F.array_sort(dv)
+    dn = n.cast("double")
+    var = (dn * sq - total * total) / (dn * dn)
+    srt = F.sort_array(dv)
     stats = {
         f"{prefix}_min": F.array_min(dv),
         f"{prefix}_max": F.array_max(dv),

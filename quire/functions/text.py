@@ -308,9 +308,10 @@ def word_length_stats(c) -> dict[str, Column]:
     n = F.size(lens).cast("double")
     total = F.aggregate(lens, F.lit(0.0), lambda acc, x: acc + x)
     mean = total / n
-    # sum of squares keeps the lambda free of outer aggregates (no per-element re-evaluation)
+    # lengths are whole numbers, so n * sum(x^2) - sum(x)^2 is exact and nothing cancels;
+    # the lambda stays free of outer aggregates (no per-element re-evaluation)
     sq = F.aggregate(lens, F.lit(0.0), lambda acc, x: acc + x * x)
-    var = F.greatest(sq / n - mean * mean, F.lit(0.0))
+    var = (n * sq - total * total) / (n * n)
     return {
         "word_len_min": F.array_min(lens),
         "word_len_max": F.array_max(lens),

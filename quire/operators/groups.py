@@ -135,17 +135,6 @@ def exact_avg(x, scale: int = 6) -> F.Column:
     return F.avg(col(x).cast(f"decimal(24, {scale})")).cast("double")
 
 
-def exact_std(x) -> F.Column:
-    """Sample std from exact fixed-point moment sums (n, sum x, sum x^2):
-    the sums do not depend on partitioning, only the last step is double."""
-    d = col(x).cast("decimal(18, 6)")
-    n = F.count(col(x)).cast("double")
-    s1 = F.sum(d).cast("double")
-    s2 = F.sum(d * d).cast("double")
-    var = (s2 - s1 * s1 / n) / (n - F.lit(1.0))
-    return F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
-
-
 def length_stats_aggs(x: F.Column, prefix: str) -> dict[str, F.Column]:
     """Min / max / mean / median / sample std of a measure."""
     return {

@@ -27,11 +27,15 @@ def max_broadcast_bytes(spark) -> int:
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
-    """(rows, approximate bytes) of a table in one aggregate; the bytes are
-    the JSON length of each row, an over-estimate of its in-memory size for
-    text and a fair one for numbers."""
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).alias("b")).first()
+    """(rows, approximate bytes) of a table in one aggregate: 16 bytes for
+    each value, the length of strings, and 16 for each element of arrays."""
+    def width(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        return F.size(name) * 16 if kind.startswith(("array", "map")) else F.lit(0)
+
+    sizes = [F.coalesce(width(n, k).cast("long"), F.lit(0)) + 16 for n, k in df.dtypes]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(sizes[1:], sizes[0])).alias("b")).first()
     return int(row["n"]), int(row["b"] or 0)
 
 
@@ -56,8 +60,10 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def side(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast hint for a side table whose parent table was measured."""
-    return F.broadcast(df) if small else df
+    """Broadcast hint for a side table: at once if the table it is made of
+    was measured to be small, else by its own measure. A table of a few groups
+    is broadcast however many rows its parent has."""
+    return F.broadcast(df) if small else bounded(df)
 
 
 def bounded(small: DataFrame, max_rows: int | None = None, cheap: bool = False) -> DataFrame:

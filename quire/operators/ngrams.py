@@ -56,14 +56,14 @@ def word_ngrams(tokens: Column, n_min: int, n_max: int) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _run_starts(s: Column) -> Column:
+def run_starts(s: Column) -> Column:
     """1-based positions where a sorted array ``s`` (a column) starts a run."""
     n = F.size(s)
     return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                     lambda i: (n > 0) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))))
 
 
-def _runs(s: Column, starts: Column) -> Column:
+def runs(s: Column, starts: Column) -> Column:
     """(term, tf) structs from a sorted array and its run starts (columns)."""
     n = F.size(s)
     m = F.size(starts)
@@ -83,9 +83,9 @@ def term_counts(df: DataFrame, key: str, terms: Column, unique_key: bool = True)
     expression inside a lambda would re-evaluate it per element.
     Without a unique key the exploded terms are aggregated by (key, term)."""
     if unique_key:
-        return (df.select(key, F.array_sort(terms).alias("_s"))
-                .select(key, "_s", _run_starts(F.col("_s")).alias("_st"))
-                .select(key, F.explode(_runs(F.col("_s"), F.col("_st"))).alias("_e"))
+        return (df.select(key, F.sort_array(terms).alias("_s"))
+                .select(key, "_s", run_starts(F.col("_s")).alias("_st"))
+                .select(key, F.explode(runs(F.col("_s"), F.col("_st"))).alias("_e"))
                 .select(key, F.col("_e.term").alias("term"), F.col("_e.tf").alias("tf")))
     return (df.select(key, F.explode(terms).alias("term"))
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))

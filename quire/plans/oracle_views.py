@@ -21,7 +21,7 @@ select concat_ws('-', cast(l_orderkey as varchar), cast(l_linenumber as varchar)
 from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey""",
     "d": """
 select concat('D', lpad(cast(d.doc_id as varchar), 9, '0'), lang) as sku_id, lang as country,
-       substr(split_part(text, chr(10), 1), 1, 200) as title,
+       split_part(text, chr(10), 1) as title,
        lang as category_lvl_1, source as category_lvl_2, concat('q ', cast(n_chars % 7 as varchar)) as category_lvl_3,
        text as short_description, cast(n_chars as double) as price,
        quality as conciseness, 1 - toxic as clarity,

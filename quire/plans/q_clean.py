@@ -107,20 +107,24 @@ def p9_sku_slices(spark, sf_dir):
         "sku_id", *[X.py_slice("sku_id", a, b).alias(n) for n, (a, b) in SKU_SLICES.items()])
 
 
-@query("p10_category_token_at", oracle=views("c") + r"""
-select sku_id,
-""" + ",\n".join(
-    f"  coalesce(string_split(regexp_replace(coalesce({c}, 'NA'), '[&/,]', '', 'g'), ' ')[{i + 1}], 'NA') as {c}_{i}"
-    for c in CATS for i in range(2)) + "\nfrom c")
+@query("p10_category_token_at", oracle=views("c") + ",\n" + ",\n".join(
+    f"t{n} as (select sku_id, string_split(regexp_replace(coalesce({c}, 'NA'), '[&/,]', '', 'g'), ' ') as w from c)"
+    for n, c in enumerate(CATS)) + "\n" + " union all ".join(
+    f"select sku_id, {n + 1} as level, cast(i as int) as pos, coalesce(w[i + 1], 'NA') as token "
+    f"from t{n}, (select unnest(range(0, max(len(w)))) as i from t{n})" for n in range(len(CATS))))
 def p10_category_token_at(spark, sf_dir):
-    """i-th space token of each category (after the punctuation strip),
-    'NA' when missing; the label encoding is G1."""
+    """Space tokens of each category (after the punctuation strip) at every
+    position up to the longest category's, 'NA' when missing, in long form;
+    the label encoding is G1."""
     c = C(spark, sf_dir)
-    cols = []
-    for k in CATS:
-        stripped = X.strip_category_punct(F.coalesce(F.col(k), F.lit("NA")))
-        cols += [X.token_at(stripped, i).alias(f"{k}_{i}") for i in range(2)]
-    return c.select("sku_id", *cols)
+    out = None
+    for n, k in enumerate(CATS):
+        words = c.select("sku_id", X.words_space(X.strip_category_punct(F.coalesce(F.col(k), F.lit("NA")))).alias("w"))
+        longest = c.select(F.max(F.size(X.words_space(X.strip_category_punct(F.coalesce(F.col(k), F.lit("NA"))))))).scalar()
+        part = (words.select("sku_id", "w", F.explode(F.sequence(F.lit(0), longest - 1)).alias("pos"))
+                .select("sku_id", F.lit(n + 1).alias("level"), "pos", F.coalesce(F.get("w", F.col("pos")), F.lit("NA")).alias("token")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("p11_title_word_at", oracle=views("d") + r"""

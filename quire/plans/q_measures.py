@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators import ngrams as NG
 from quire.functions import readability as RD
 from quire.functions.unicode_blocks import bucket_rows, values_sql
 from quire.operators.joins import bounded
@@ -116,17 +117,16 @@ def t9_unicode_block_histogram(spark, sf_dir):
     """Per document and Unicode block: character count and share of the
     text (long form: blocks with no character are absent).
 
-    Characters are exploded once and equi-joined on ``code_point >> 4``
-    with the 4,096-row bucket table (broadcast, size fixed by the rule)."""
-    d = D(spark, sf_dir).select("sku_id", "short_description")
+    Counted inside the row: the code points are sorted and their runs taken,
+    so a row leaves as one count per distinct ``code_point >> 4``, which meets
+    the 4,096-row bucket table (broadcast, size fixed by the rule). Only the
+    counts of a row's few distinct buckets are summed by block."""
+    d = D(spark, sf_dir).select("sku_id", F.length("short_description").alias("n"), X.chars("short_description").alias("cs"))
     buckets = F.broadcast(spark.createDataFrame(bucket_rows(), "bucket int, block string"))
-    # per-row values are computed before the explode, so the generator only
-    # carries (sku_id, n) and never re-evaluates a whole-text expression per character
-    ch = (d.select("sku_id", F.length("short_description").alias("n"), X.chars("short_description").alias("cs"))
-          .select("sku_id", "n", F.explode("cs").alias("c"))
-          .select("sku_id", "n", F.shiftright(F.ascii("c"), 4).alias("bucket")))
-    return (ch.join(buckets, "bucket")
-            .groupBy("sku_id", "block", "n").agg(F.count(F.lit(1)).alias("cnt"))
+    d = d.select("sku_id", "n", F.transform("cs", lambda c: F.shiftright(F.ascii(c), 4)).alias("cs"))
+    found = NG.term_counts(d.select(F.struct("sku_id", "n").alias("row"), "cs"), "row", F.col("cs"))
+    return (found.select("row.sku_id", "row.n", F.col("term").alias("bucket"), "tf").join(buckets, "bucket")
+            .groupBy("sku_id", "block", "n").agg(F.sum("tf").alias("cnt"))
             .select("sku_id", "block", "cnt", r(F.col("cnt") / F.col("n")).alias("freq")))
 
 
@@ -263,19 +263,15 @@ def t18_common_word_pairs(spark, sf_dir):
     """Number of equal (title word, description word) pairs, lower case:
     sum over words of count_in_title * count_in_description.
 
-    Description words are exploded and kept only when they occur in the
-    row's title word set, so the per-word join is on (sku_id, word) counts
-    and never the quadratic pair loop."""
-    d = D(spark, sf_dir).select("sku_id", F.lower("title").alias("t"), F.lower("short_description").alias("s"))
-    tw = d.select("sku_id", F.explode(X.words_space("t")).alias("w")).groupBy("sku_id", "w").agg(
-        F.count(F.lit(1)).alias("na"))
-    dw = (d.select("sku_id", F.array_distinct(X.words_space("t")).alias("tset"), X.words_space("s").alias("sw"))
-          .select("sku_id", "tset", F.explode("sw").alias("w"))
-          .where(F.array_contains("tset", F.col("w")))
-          .groupBy("sku_id", "w").agg(F.count(F.lit(1)).alias("nb")))
-    per = tw.join(dw, ["sku_id", "w"]).groupBy("sku_id").agg(F.sum(F.col("na") * F.col("nb")).alias("equ1"))
-    return (d.select("sku_id").join(per, "sku_id", "left")
-            .select("sku_id", F.coalesce("equ1", F.lit(0)).cast("long").alias("equ1")))
+    Counted inside the row: each side's words become (word, count) runs, the
+    title's runs a map, and the description's counts are weighted with it."""
+    d = D(spark, sf_dir).select("sku_id", F.sort_array(X.words_space(F.lower("title"))).alias("t"),
+                                F.sort_array(X.words_space(F.lower("short_description"))).alias("s"))
+    d = d.select("sku_id", "t", "s", NG.run_starts(F.col("t")).alias("ts"), NG.run_starts(F.col("s")).alias("ss"))
+    d = d.select("sku_id", F.map_from_entries(NG.runs(F.col("t"), F.col("ts"))).alias("t"),
+                 NG.runs(F.col("s"), F.col("ss")).alias("s"))
+    pairs = F.aggregate("s", F.lit(0).cast("long"), lambda n, e: n + e["tf"] * F.coalesce(F.try_element_at("t", e["term"]), F.lit(0)))
+    return d.select("sku_id", F.coalesce(pairs, F.lit(0)).cast("long").alias("equ1"))
 
 
 def _norm_cat_sql(c: str) -> str:

@@ -18,13 +18,19 @@ from quire.sources import io as IO
 
 
 @query("s1_read_listings", oracle=views("c") + """
-select country, sku_id, title, category_lvl_1, category_lvl_2, category_lvl_3, price, product_type from c""")
+select country, sku_id, title, category_lvl_1, category_lvl_2, category_lvl_3, price, product_type,
+  case when length(sku_id) % 3 = 0 then '' when length(sku_id) % 3 = 1 then null
+       else '  "' || title || '",' || chr(10) || ' two lines ' end as short_description from c""")
 def s1_read_listings(spark, sf_dir):
     """Catalog listings written as header-less 9-column CSV and read back
-    with the fixed schema."""
+    with the fixed schema; descriptions are null, empty, or hold quotes,
+    commas, a line break and spaces at both ends."""
     path = output_folder(spark, "listings-csv")
-    IO.write_listings_csv(C(spark, sf_dir).withColumn("short_description", F.lit(None).cast("string")), path)
-    return IO.read_listings(spark, path).drop("short_description")
+    size = F.length("sku_id") % 3
+    odd = F.concat(F.lit('  "'), "title", F.lit('",\n two lines '))
+    IO.write_listings_csv(C(spark, sf_dir).withColumn(
+        "short_description", F.when(size == 0, "").when(size == 2, odd)), path)
+    return IO.read_listings(spark, path)
 
 
 @query("s2_read_labels", oracle=views("d") + """
@@ -116,15 +122,15 @@ def s8_write_feature_block(spark, sf_dir):
 
 
 @query("s10_write_submission", oracle=views("p") + """
-select cast(round(avg(pred), 6) as varchar) as pred from p group by sku_id""")
+select sku_id, cast(round(avg(pred), 6) as varchar) as pred from p group by sku_id""")
 def s10_write_submission(spark, sf_dir):
-    """Averaged scores written one per line without header and read back as
-    text."""
+    """Averaged scores written with their keys, in key order, without header
+    and read back as text."""
     from quire.operators.metrics import average_sets
-    avg = average_sets(P(spark, sf_dir), "sku_id").select(r("pred").cast("string").alias("pred"))
+    avg = average_sets(P(spark, sf_dir), "sku_id").select("sku_id", r("pred").cast("string").alias("pred"))
     path = output_folder(spark, "submission")
     IO.write_submission(avg, path)
-    return spark.read.text(path).select(F.col("value").alias("pred"))
+    return spark.read.schema("sku_id string, pred string").csv(path)
 
 
 @query("s11_export_corpus_text", oracle=views("d") + """

@@ -15,17 +15,25 @@ from quire.schema import LISTING
 RECORD_SEP = "\u001e"
 
 
-def read_listings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Header-less CSV (or Parquet) with the 9 listing columns."""
+# How listings are written as CSV: spaces at both ends stay, and a null is
+# told from an empty string, which is written as "". Text that is the null
+# mark itself reads back as null.
+CSV_FORM = {"header": "false", "escape": '"', "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N"}
+
+
+def read_listings(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+    """Header-less CSV (or Parquet) with the 9 listing columns.
+
+    ``multi_line=False`` reads files whose fields hold no line breaks; Spark
+    can then split a large file among tasks."""
     if fmt == "parquet":
         return spark.read.schema(LISTING).parquet(path)
-    return (spark.read.schema(LISTING).option("header", "false").option("multiLine", "true")
-            .option("escape", '"').csv(path))
+    return spark.read.schema(LISTING).options(**CSV_FORM, multiLine=str(multi_line).lower()).csv(path)
 
 
 def write_listings_csv(df: DataFrame, path: str) -> None:
-    (df.select(*LISTING.fieldNames()).write.mode("overwrite").option("header", "false")
-     .option("escape", '"').csv(path))
+    df.select(*LISTING.fieldNames()).write.mode("overwrite").options(**CSV_FORM).csv(path)
 
 
 def read_labels(spark: SparkSession, path: str, key: str = "sku_id") -> DataFrame:
@@ -58,7 +66,7 @@ def read_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFr
 def read_ranked_terms(spark: SparkSession, path: str, term_start: int = 17) -> DataFrame:
     """Fixed-width lines 'index weight term': the term starts at column
     ``term_start`` (1-based) and is left-stripped."""
-    return spark.read.text(path).select(F.ltrim(F.substring("value", term_start, 1 << 20)).alias("term"))
+    return spark.read.text(path).select(F.ltrim(F.substr("value", F.lit(term_start))).alias("term"))
 
 
 def format_ranked_terms(df: DataFrame, index: str, weight: str, term: str) -> DataFrame:
@@ -87,7 +95,7 @@ def read_sparse_block(spark: SparkSession, path: str, key: str = "sku_id") -> Da
     """Long-form sparse block -> one row per key with sorted indices and
     values (the arrays of a sparse vector; each group is one row's terms)."""
     lf = spark.read.parquet(path)
-    per = lf.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_e"))
+    per = lf.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "value"))).alias("_e"))
     return per.select(key, F.transform("_e", lambda e: e["index"]).alias("indices"),
                       F.transform("_e", lambda e: e["value"]).alias("values"))
 
@@ -102,9 +110,10 @@ def write_feature_block(df: DataFrame, path: str, split_col: str = "split") -> N
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
 
 
-def write_submission(df: DataFrame, path: str, col: str = "pred") -> None:
-    """One score per line, no header."""
-    df.select(col).write.mode("overwrite").option("header", "false").csv(path)
+def write_submission(df: DataFrame, path: str, col: str = "pred", key: str = "sku_id") -> None:
+    """Key and score per line, no header, in the order of the key: part
+    files follow each other by a range-partitioned sort."""
+    df.select(key, col).orderBy(key).write.mode("overwrite").option("header", "false").csv(path)
 
 
 def corpus_records(df: DataFrame, title: str = "title", desc: str = "short_description") -> DataFrame:

@@ -36,7 +36,7 @@ def test_entropy_drops_null_children_but_counts_them_in_parent(spark):
 
 def test_one_row_group_std_is_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0)], "k string, x double")
-    st = {r["k"]: r["s"] for r in G.group_stats(df, "k", {"s": G.exact_std("x")}).collect()}
+    st = {r["k"]: r["s"] for r in G.group_stats(df, "k", {"s": F.stddev_samp("x")}).collect()}
     assert st["a"] is None and st["b"] == pytest.approx(2 ** 0.5)
 
 
@@ -119,3 +119,31 @@ def test_label_encode_many_per_column_ranks(spark):
     out = EN.label_encode_many(df, ["p", "q"]).collect()
     assert {(r["p"], r["p_code"]) for r in out} == {("a", 0), ("b", 1), ("c", 2)}
     assert {(r["q"], r["q_code"]) for r in out} == {("y", 0), ("z", 1), (None, None)}
+
+
+def test_std_of_large_prices(spark):
+    rows = [("a", 1e9 + i % 4) for i in range(200)] + [("b", 2e12), ("b", 2e12 + 3)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    st = {r["k"]: r["s"] for r in G.group_stats(df, "k", {"s": F.stddev_samp("x")}).collect()}
+    assert st["a"] == pytest.approx(1.1208, abs=1e-4) and st["b"] == pytest.approx(3 / 2 ** 0.5)
+
+
+def test_listings_round_trip(spark, tmp_path):
+    from quire.schema import LISTING
+    from quire.sources import io as IO
+    odd = ["  lead trail  ", "", None, 'say "hi", then\nnext "line"', "a,b", " \n "]
+    rows = [tuple((odd[(i + j) % len(odd)] if f.dataType.simpleString() == "string" else float(i)) for j, f in enumerate(LISTING.fields))
+            for i in range(len(odd))]
+    from pyspark.sql.types import StructField, StructType
+    df = spark.createDataFrame(rows, StructType([StructField(f.name, f.dataType) for f in LISTING.fields]))
+    IO.write_listings_csv(df, str(tmp_path / "x"))
+    key = lambda r: tuple((v is not None, str(v)) for v in r)
+    assert sorted(map(key, IO.read_listings(spark, str(tmp_path / "x")).collect())) == sorted(map(key, df.collect()))
+
+
+def test_submission_is_ordered_and_keyed(spark, tmp_path):
+    from quire.sources import io as IO
+    df = spark.createDataFrame([(f"k{i:03d}", i / 10) for i in range(200)], "sku_id string, pred double").repartition(5)
+    IO.write_submission(df, str(tmp_path / "s"))
+    lines = [x for f in sorted((tmp_path / "s").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x.split(",")[0] for x in lines] == sorted(r["sku_id"] for r in df.collect())
