@@ -161,11 +161,12 @@ def crosstab_wide(df: DataFrame, row_key: str, col_key: str, values: list[str])
 def mine_attributes(df: DataFrame, items_col: str, text_col: str, min_count: int = 2) -> DataFrame:
     """Attribute names mined from list items.
 
-    Each row contributes its items, or its whole text when it has no list;
+    Each row contributes its items, or its whole text when it has no ``<li``
+    (a list without a well-formed item contributes nothing);
     ``' : '`` becomes ``': '``; items with ``:`` after position 0 give the
     key ``lower(text before the first ':')``; keys seen at least
     ``min_count`` times are returned with their counts."""
-    pieces = F.when(F.size(F.col(items_col)) > 0, F.col(items_col)).otherwise(
+    pieces = F.when(F.contains(F.col(text_col), F.lit("<li")), F.col(items_col)).otherwise(
         F.array(F.coalesce(F.col(text_col), F.lit("NA"))))
     it = df.select(F.explode(pieces).alias("_it")).select(F.replace(F.col("_it"), F.lit(" : "), F.lit(": ")).alias("_it"))
     keyed = it.where(F.instr("_it", ":") > 1).select(F.lower(F.substring_index("_it", ":", 1)).alias("att"))

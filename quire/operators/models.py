@@ -8,20 +8,23 @@ of re-running the feature plan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       NaiveBayes, RandomForestClassifier)
+                                       RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.joins import materialize
+from quire.operators.joins import bounded, materialize
 
-EstimatorFactory = Callable[[int], Estimator]
+#: (seed, rows it is fitted on) -> estimator
+EstimatorFactory = Callable[[int, int], Estimator]
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", add_const: bool = False) -> DataFrame:
@@ -43,89 +46,129 @@ def positive_score(model_output: DataFrame, out: str = "pred") -> DataFrame:
 
 def oof_predict(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_col: str,
                 n_folds: int, make: EstimatorFactory, seed: int = 0,
-                features: str = "features") -> tuple[DataFrame, DataFrame | None]:
+                features: str = "features", is_written: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """M2: for each fold k fit on the other folds, predict fold k (out of
     fold) and the test rows. Returns (key, fold, pred) for the training rows
-    and (key, pred) test predictions averaged over the fold models."""
-    train = materialize(train.select(key, label, fold_col, features))
+    and (key, pred) test predictions averaged over the fold models.
+
+    Both tables are written once, as keys and vectors, so no fold computes
+    features again; ``is_written`` says that the caller did so."""
+    if not is_written:
+        train, test = write_tables(train, test, key, label, fold_col, features)
+    sizes = {r[fold_col]: r["n"] for r in train.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     oof, tst = [], []
     for k in range(n_folds):
-        model = make(seed).fit(train.where(F.col(fold_col) != k))
+        model = make(seed, sum(sizes.values()) - sizes.get(k, 0)).fit(train.where(F.col(fold_col) != k))
         oof.append(positive_score(model.transform(train.where(F.col(fold_col) == k))).select(key, fold_col, "pred"))
         if test is not None:
             tst.append(positive_score(model.transform(test)).select(key, F.lit(k).alias("_k"), "pred"))
-    oof_df = oof[0]
-    for p in oof[1:]:
-        oof_df = oof_df.unionByName(p)
+    oof_df = reduce(DataFrame.unionByName, oof)
     if not tst:
         return oof_df, None
-    tst_df = tst[0]
-    for p in tst[1:]:
-        tst_df = tst_df.unionByName(p)
-    return oof_df, tst_df.groupBy(key).agg(F.avg("pred").alias("pred"))
+    return oof_df, reduce(DataFrame.unionByName, tst).groupBy(key).agg(F.avg("pred").alias("pred"))
+
+
+def write_tables(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_col: str,
+                 features: str = "features") -> tuple[DataFrame, DataFrame | None]:
+    """The score tables (key, label, fold, vector) and (key, vector), written."""
+    return (materialize(train.select(key, label, fold_col, features)),
+            None if test is None else materialize(test.select(key, features)))
 
 
 def bagged(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_col: str, n_folds: int,
-           make: EstimatorFactory, seeds: list[int]) -> DataFrame:
-    """M3: out-of-fold predictions averaged over several seeds."""
-    runs = [oof_predict(train, test, key, label, fold_col, n_folds, make, s)[0] for s in seeds]
-    allp = runs[0]
-    for p in runs[1:]:
-        allp = allp.unionByName(p)
-    return allp.groupBy(key).agg(F.avg("pred").alias("pred"))
+           make: EstimatorFactory, seeds: list[int]) -> tuple[DataFrame, DataFrame | None]:
+    """M3: (key, pred) out of fold and (key, pred) of the test rows, averaged
+    over several seeds; the tables are written once for all seeds."""
+    train, test = write_tables(train, test, key, label, fold_col)
+    runs = [oof_predict(train, test, key, label, fold_col, n_folds, make, s, is_written=True) for s in seeds]
+
+    def mean(parts):
+        return reduce(DataFrame.unionByName, [p.select(key, "pred") for p in parts]).groupBy(key).agg(F.avg("pred").alias("pred"))
+    return mean([r[0] for r in runs]), None if test is None else mean([r[1] for r in runs])
+
+
+def multinomial_nb(weights: DataFrame, labels: DataFrame, key: str, label: str, smoothing: float = 1.0) -> DataFrame:
+    """(key, label, prob), multinomial naive Bayes of long-form
+    (key, term, weight) features, fitted on the rows of ``labels`` (key,
+    label) and scored on them. Any vocabulary: every term's class weights are
+    one grouped sum, no term is hashed, dropped or gathered on the driver."""
+    known = labels.where(F.col(label).isNotNull()).select(key, label)
+    of_class = materialize(weights.join(known, key).groupBy("term", label).agg(F.sum("weight").alias("w")))
+    totals = of_class.groupBy(label).agg(F.sum("w").alias("total"))
+    vocabulary = of_class.agg(F.countDistinct("term")).scalar()
+    rows = known.agg(F.count(F.lit(1))).scalar()
+    classes = (known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).join(totals, label, "left")
+               .select(label, F.ln(F.col("n") / rows).alias("prior"),
+                       F.ln(F.coalesce("total", F.lit(0.0)) + F.lit(smoothing) * vocabulary).alias("norm")))
+    mass = known.join(weights.groupBy(key).agg(F.sum("weight").alias("mass")), key, "left").select(
+        key, F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    # a term that a class never has counts ln(smoothing); the sum adds what present terms have beyond that
+    extra = of_class.select("term", label, (F.ln(F.col("w") + smoothing) - math.log(smoothing)).alias("more"))
+    found = (weights.join(bounded(extra), "term").groupBy(key, label)
+             .agg(F.sum(F.col("weight") * F.col("more")).alias("more")))
+    every = classes.agg(F.collect_list(F.struct(label, "prior", "norm"))).scalar()
+    score = (mass.select(key, "mass", F.inline(every)).join(found, [key, label], "left")
+             .withColumn("s", F.col("prior") + F.col("mass") * (math.log(smoothing) - F.col("norm"))
+                         + F.coalesce("more", F.lit(0.0))))
+    own = Window.partitionBy(key)
+    score = score.withColumn("e", F.exp(F.col("s") - F.max("s").over(own)))
+    return score.select(key, label, (F.col("e") / F.sum("e").over(own)).alias("prob"))
 
 
 # ------------------------------------------------------------------ estimators
-def logistic(label: str, n_train: int, l1: bool = False) -> EstimatorFactory:
-    """M4 / M5: L2 (C = 1 per row, i.e. regParam = 1/n) or L1 logistic."""
-    return lambda seed: LogisticRegression(labelCol=label, featuresCol="features", maxIter=100,
-                                           regParam=1.0 / max(n_train, 1), elasticNetParam=1.0 if l1 else 0.0)
+def logistic(label: str, c: float = 1.0) -> EstimatorFactory:
+    """M4: L2 logistic regression; the penalty 1 / (2 c) on the sum of squares
+    of the unscaled weights stands against the summed loss of the rows that
+    are fitted, so Spark's regParam for mean loss is 1 / (c n)."""
+    return lambda seed, n: LogisticRegression(labelCol=label, featuresCol="features", maxIter=200, tol=1e-9,
+                                              standardization=False, regParam=1.0 / (c * max(n, 1)))
 
 
-def naive_bayes(label: str) -> EstimatorFactory:
-    """M6: multinomial naive Bayes (non-negative features)."""
-    return lambda seed: NaiveBayes(labelCol=label, featuresCol="features", modelType="multinomial")
+def l1_logistic(label: str, alpha: float = 0.0001) -> EstimatorFactory:
+    """M5: L1 logistic regression with penalty ``alpha`` on mean loss and
+    unscaled weights."""
+    return lambda seed, n: LogisticRegression(labelCol=label, featuresCol="features", maxIter=100,
+                                              standardization=False, regParam=alpha, elasticNetParam=1.0)
 
 
-def ridge(label: str, alpha: float, n_train: int, y_std: float) -> EstimatorFactory:
+def ridge(label: str, y_std: float, alpha: float = 1.0) -> EstimatorFactory:
     """M7: ridge with penalty alpha on the sum of squares. Spark scales the
     label by its std, hence regParam = alpha / n * std(y)."""
-    return lambda seed: LinearRegression(labelCol=label, featuresCol="features", solver="normal",
-                                         elasticNetParam=0.0, standardization=False,
-                                         regParam=alpha / max(n_train, 1) * y_std)
+    return lambda seed, n: LinearRegression(labelCol=label, featuresCol="features", solver="normal",
+                                            elasticNetParam=0.0, standardization=False,
+                                            regParam=alpha / max(n, 1) * y_std)
 
 
-def gbt_classifier(label: str, max_iter: int = 20, depth: int = 4, step: float = 0.1,
-                   validation: str | None = None) -> EstimatorFactory:
+def gbt_classifier(label: str, max_iter: int = 200, depth: int = 4, step: float = 0.05,
+                   validation: str | None = None, tol: float = 0.001) -> EstimatorFactory:
     """Boosted trees; with ``validation`` the fit stops early on
-    the rows flagged by that column."""
-    def make(seed):
-        extra = {"validationIndicatorCol": validation, "validationTol": 0.001} if validation else {}
-        return GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
-                             stepSize=step, seed=seed, **extra)
-    return make
+    the rows flagged by that column, when a tree betters their loss by less
+    than ``tol`` (Spark's rule; it has no patience of several rounds)."""
+    extra = {"validationIndicatorCol": validation, "validationTol": tol} if validation else {}
+    return lambda seed, n: GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
+                                         stepSize=step, seed=seed, **extra)
 
 
-def gbt_regressor(label: str, max_iter: int = 20, depth: int = 4) -> EstimatorFactory:
+def gbt_regressor(label: str, max_iter: int = 700, depth: int = 5, step: float = 0.03) -> EstimatorFactory:
     """M9: boosted regression trees (predictions clipped by the caller)."""
-    return lambda seed: GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
-                                     seed=seed)
+    return lambda seed, n: GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
+                                        stepSize=step, seed=seed)
 
 
-def random_forest(label: str, trees: int = 50, depth: int = 8, impurity: str = "entropy") -> EstimatorFactory:
+def random_forest(label: str, trees: int = 500, depth: int = 18, impurity: str = "entropy") -> EstimatorFactory:
     """Random forest (extra-random splits have no Spark equivalent)."""
-    return lambda seed: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees,
-                                               maxDepth=depth, impurity=impurity, seed=seed)
+    return lambda seed, n: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees,
+                                                  maxDepth=depth, impurity=impurity, seed=seed)
 
 
 def mlp(label: str, n_features: int, hidden: int = 128, max_iter: int = 5) -> EstimatorFactory:
     """One hidden layer, L-BFGS."""
-    return lambda seed: MultilayerPerceptronClassifier(labelCol=label, featuresCol="features",
-                                                       layers=[n_features, hidden, 2], solver="l-bfgs",
-                                                       maxIter=max_iter, seed=seed)
+    return lambda seed, n: MultilayerPerceptronClassifier(labelCol=label, featuresCol="features",
+                                                          layers=[n_features, hidden, 2], solver="l-bfgs",
+                                                          maxIter=max_iter, seed=seed)
 
 
-def importance_select(train: DataFrame, label: str, names: list[str], trees: int = 100,
+def importance_select(train: DataFrame, label: str, names: list[str], trees: int = 500,
                       depth: int = 6, seed: int = 0) -> tuple[list[int], list[float]]:
     """Indices of the features whose forest importance is at least the
     mean importance, and all importances (one small vector on the driver)."""

@@ -38,6 +38,15 @@ select concat('D', lpad(cast(d.doc_id as varchar), 9, '0'), lang) as sku_id, m a
        cast(doc_id % 10 as int) as fold,
        cast((doc_id * (7 + 4 * m) + n_chars) % 1000 as double) / 1000.0 as pred
 from documents d, (values (1), (2), (3)) k(m)""",
+    "p2": """
+select concat('D', lpad(cast(d.doc_id as varchar), 9, '0'), lang) as sku_id, m as model,
+       cast(doc_id % 10 as int) as fold,
+       cast((doc_id * (5 + 6 * m) + 3 * n_chars) % 1000 as double) / 1000.0 as pred
+from documents d, (values (1), (2), (3)) k(m)""",
+    "t": """
+select concat('V', cast(conv_id as varchar)) as sku_id,
+       '<ul>' || string_agg('<li>' || role || ' : ' || text || '</li>', '' order by turn, role, text) || '</ul>' as short_description
+from conversations group by conv_id""",
     "tt": """
 select sku_id, unnest(regexp_split_to_array(trim(regexp_replace(lower(regexp_replace(title, '[^a-zA-Z]', ' ', 'g')), ' +', ' ', 'g')), ' ')) as word
 from d where trim(regexp_replace(title, '[^a-zA-Z]', ' ', 'g')) <> ''""",

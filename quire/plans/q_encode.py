@@ -128,10 +128,13 @@ CLARITY_WEIGHTS = {0: 1.0, 1: 0.923623177 / 0.943362}
 
 
 @query("m13_sample_weights", oracle=views("d") + """
-select sku_id, round(wc / avg(wc) over (), 6) as w_conciseness from (
-  select sku_id, case conciseness when 0 then 1.0 when 1 then 0.9614 end as wc from d where conciseness is not null)""")
+select sku_id, round(wc / avg(wc) over (), 6) as w_conciseness, round(wk / avg(wk) over (), 6) as w_clarity from (
+  select sku_id, case conciseness when 0 then 1.0 when 1 then 0.9614 end as wc,
+         case clarity when 0 then 1.0 when 1 then 0.923623177::double / 0.943362::double end as wk
+  from d where conciseness is not null and clarity is not null)""")
 def m13_sample_weights(spark, sf_dir):
-    """Class weights divided by their mean over the labelled rows."""
-    d = D(spark, sf_dir).where(F.col("conciseness").isNotNull())
+    """Class weights of both labels divided by their mean over the labelled rows."""
+    d = D(spark, sf_dir).where("conciseness is not null and clarity is not null")
     out = class_weights(d, "conciseness", CONCISENESS_WEIGHTS, "w_conciseness")
-    return out.select("sku_id", r("w_conciseness").alias("w_conciseness"))
+    out = class_weights(out, "clarity", CLARITY_WEIGHTS, "w_clarity")
+    return out.select("sku_id", r("w_conciseness").alias("w_conciseness"), r("w_clarity").alias("w_clarity"))

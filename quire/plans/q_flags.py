@@ -11,6 +11,7 @@ from quire.operators.ordered import top_k
 from quire.plans.common import C, D, H
 from quire.plans.oracle_views import views
 from quire.plans.registry import query
+from quire.sources.fixtures import conversation_listings
 from quire.sources import lexicons as LX
 
 PYWS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
@@ -150,7 +151,7 @@ ITEMS_SQL = ("list_transform(regexp_extract_all({0}, '(?is)<li(?:\\s[^>]*)?>(.*?
 
 def mined_sql(src: str = "h") -> str:
     return f"""
-, its as (select case when contains(short_description, '<li') and len({ITEMS_SQL.replace('{0}', 'short_description')}) > 0
+, its as (select case when contains(short_description, '<li')
                       then {ITEMS_SQL.replace('{0}', 'short_description')} else [short_description] end as l from {src}),
 flat as (select replace(unnest(l), ' : ', ': ') as it from its),
 mined as (select lower(split_part(it, ':', 1)) as att, count(*) as cnt from flat where strpos(it, ':') > 1
@@ -158,15 +159,18 @@ mined as (select lower(split_part(it, ':', 1)) as att, count(*) as cnt from flat
 
 
 def descriptions(spark, sf_dir):
-    """Listing descriptions of the page (H) and document (D) views."""
+    """Listing descriptions of the page (H), document (D) and conversation
+    (T) views; the last list ``role : text`` items."""
     return (H(spark, sf_dir).select("sku_id", "short_description")
-            .unionByName(D(spark, sf_dir).select("sku_id", "short_description")))
+            .unionByName(D(spark, sf_dir).select("sku_id", "short_description"))
+            .unionByName(conversation_listings(spark, sf_dir)))
 
 
-DESC_SQL = "desc_all as (select sku_id, short_description from h union all select sku_id, short_description from d)"
+DESC_SQL = ("desc_all as (select sku_id, short_description from h union all select sku_id, short_description from d "
+            "union all select sku_id, short_description from t)")
 
 
-@query("f11_attribute_presence_flags", oracle=views("h", "d") + ", " + DESC_SQL + mined_sql("desc_all") + f"""
+@query("f11_attribute_presence_flags", oracle=views("h", "d", "t") + ", " + DESC_SQL + mined_sql("desc_all") + f"""
 , top as (select att from mined order by cnt desc, att limit {TOP_ATTRIBUTES})
 select sku_id, att from desc_all join top on contains(lower(short_description), att)""")
 def f11_attribute_presence_flags(spark, sf_dir):

@@ -452,9 +452,8 @@ def a12_title_length_entropy(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- A13
-@query("a13_mine_attributes", oracle=views("h", "d") + ", " + (
-    "desc_all as (select sku_id, short_description from h union all select sku_id, short_description from d)")
-    + __import__("quire.plans.q_flags", fromlist=["mined_sql"]).mined_sql("desc_all")
+@query("a13_mine_attributes", oracle=views("h", "d", "t") + ", "
+    + __import__("quire.plans.q_flags", fromlist=["DESC_SQL"]).DESC_SQL + __import__("quire.plans.q_flags", fromlist=["mined_sql"]).mined_sql("desc_all")
     + "\nselect att, cast(cnt as bigint) as count from mined")
 def a13_mine_attributes(spark, sf_dir):
     """Attribute names mined from list items (or whole descriptions

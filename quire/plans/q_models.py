@@ -1,10 +1,10 @@
 """Queries: models, feature selection, SVD and category probabilities
-(M2-M12, M14, M24, G6, N9). No exact SQL oracle exists for fitted models;
-``tests/test_models.py`` checks their properties."""
+(M2-M12, M14, M24, G6, N9). Iteratively fitted models have no SQL oracle;
+``tests/test_models.py`` checks their properties. The queries pass smaller
+sizes (rounds, trees, depths) than the operators' defaults."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors as MLlibVectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
@@ -14,8 +14,10 @@ from quire.functions import text as X
 from quire.operators import models as MD
 from quire.operators.folds import stratified_folds
 from quire.operators.joins import materialize
-from quire.operators.ngrams import char_ngrams, word_ngrams
+from quire.operators.ngrams import char_ngrams, df_filter, n_rows, term_counts, tfidf, word_ngrams
+from quire.operators.ordered import ordered_index
 from quire.plans.common import D, r
+from quire.plans.oracle_views import views
 from quire.plans.registry import query
 
 LABEL = "conciseness"
@@ -38,52 +40,48 @@ def feature_columns():
     }
 
 
-def model_tables(spark, sf_dir):
+def model_tables(spark, sf_dir, label=LABEL):
     """(train with folds, test, feature names): labelled rows get the
     stratified folds, unlabelled rows are the test part."""
     d = D(spark, sf_dir)
     feats = feature_columns()
-    rows = d.select("sku_id", LABEL, *[v.alias(k) for k, v in feats.items()])
-    folds = stratified_folds(d, "sku_id", LABEL, N_FOLDS, 2017).select("sku_id", "fold")
+    rows = d.select("sku_id", label, *[v.alias(k) for k, v in feats.items()])
+    folds = stratified_folds(d, "sku_id", label, N_FOLDS, 2017).select("sku_id", "fold")
     train = MD.assemble(rows.join(folds, "sku_id"), list(feats))
-    test = MD.assemble(rows.where(F.col(LABEL).isNull()), list(feats))
-    return materialize(train), test, list(feats)
+    test = MD.assemble(rows.where(F.col(label).isNull()), list(feats))
+    return materialize(train), materialize(test), list(feats)
 
 
-def _n(df) -> int:
-    return df.count()
-
-
-def _oof_query(spark, sf_dir, make_factory, clip: bool = False):
-    train, test, names = model_tables(spark, sf_dir)
-    make = make_factory(train, names)
-    oof, tst = MD.oof_predict(train, test, "sku_id", LABEL, "fold", N_FOLDS, make)
+def _oof_query(spark, sf_dir, make_factory, label=LABEL):
+    train, test, names = model_tables(spark, sf_dir, label)
+    oof, tst = MD.oof_predict(train, test, "sku_id", label, "fold", N_FOLDS, make_factory(label), is_written=True)
     out = oof.select("sku_id", F.col("fold").cast("int"), "pred").unionByName(
         tst.select("sku_id", F.lit(-1).alias("fold"), "pred"))
-    if clip:
-        out = out.withColumn("pred", F.least(F.greatest("pred", F.lit(0.0)), F.lit(1.0)))
     return out.select("sku_id", "fold", r("pred").alias("pred"))
 
 
 @query("m2_out_of_fold_predict")
 def m2_out_of_fold_predict(spark, sf_dir):
-    """Out-of-fold logistic predictions for labelled rows (their fold) and
-    fold-averaged predictions for unlabelled rows (fold -1)."""
-    return _oof_query(spark, sf_dir, lambda tr, names: MD.logistic(LABEL, _n(tr)))
+    """For both labels, out-of-fold logistic predictions for labelled rows
+    (their fold) and fold-averaged predictions for unlabelled rows (fold -1)."""
+    parts = [_oof_query(spark, sf_dir, MD.logistic, label).withColumn("label", F.lit(label)) for label in (LABEL, "clarity")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("m3_seed_bagging")
 def m3_seed_bagging(spark, sf_dir):
-    """Random-forest out-of-fold predictions averaged over three seeds."""
-    train, _, _ = model_tables(spark, sf_dir)
-    out = MD.bagged(train, None, "sku_id", LABEL, "fold", N_FOLDS, MD.random_forest(LABEL, trees=20, depth=5),
-                    [111, 222, 333])
-    return out.select("sku_id", r("pred").alias("pred"))
+    """Random-forest predictions averaged over three seeds: out of fold for
+    labelled rows, over all fold models for the others."""
+    train, test, _ = model_tables(spark, sf_dir)
+    oof, tst = MD.bagged(train, test, "sku_id", LABEL, "fold", N_FOLDS, MD.random_forest(LABEL, trees=20, depth=5),
+                         [111, 222, 333])
+    out = oof.withColumn("part", F.lit("train")).unionByName(tst.withColumn("part", F.lit("test")))
+    return out.select("sku_id", "part", r("pred").alias("pred"))
 
 
 def _fit_all(spark, sf_dir, factory, clip=False):
     train, test, names = model_tables(spark, sf_dir)
-    model = factory(train, names)(7).fit(train)
+    model = factory(train, names)(7, train.count()).fit(train)
     out = MD.positive_score(model.transform(train.unionByName(test.withColumn("fold", F.lit(-1)))))
     if clip:
         out = out.withColumn("pred", F.least(F.greatest("pred", F.lit(0.0)), F.lit(1.0)))
@@ -93,23 +91,40 @@ def _fit_all(spark, sf_dir, factory, clip=False):
 @query("m4_logistic_regression")
 def m4_logistic_regression(spark, sf_dir):
     """L2 logistic regression fitted on all labelled rows, scored on all rows."""
-    return _fit_all(spark, sf_dir, lambda tr, names: MD.logistic(LABEL, _n(tr)))
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.logistic(LABEL))
 
 
 @query("m5_l1_logistic")
 def m5_l1_logistic(spark, sf_dir):
     """L1-penalised logistic regression."""
-    return _fit_all(spark, sf_dir, lambda tr, names: MD.logistic(LABEL, _n(tr), l1=True))
-
-
-@query("m6_naive_bayes")
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.l1_logistic(LABEL))
+
+
+NB_SQL = """
+{pre}_cls as (select y, count(*) as n from {pre}_y group by y),
+{pre}_ct as (select term, y, sum(weight) as w from {pre}_w join {pre}_y using (sku_id) group by term, y),
+{pre}_norm as (select y, ln(n / (select count(*) from {pre}_y)) as prior,
+                      (select coalesce(sum(w), 0) from {pre}_ct t where t.y = c.y)
+                      + (select count(distinct term) from {pre}_ct) as norm from {pre}_cls c),
+{pre}_s as (select sku_id, y, prior + coalesce((select sum(x.weight * ln((coalesce(t.w, 0) + 1) / norm))
+                from {pre}_w x left join {pre}_ct t on t.term = x.term and t.y = k.y where x.sku_id = r.sku_id), 0) as s
+            from (select sku_id from {pre}_y) r, {pre}_norm k),
+{pre}_p as (select sku_id, y, exp(s - max(s) over (partition by sku_id)) as e from {pre}_s),
+{pre}_prob as (select sku_id, y, e / sum(e) over (partition by sku_id) as prob from {pre}_p)"""
+TOKEN_SQL = "regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Mn}}\\p{{Nd}}_]{{2,}}')".replace("{{", "{").replace("}}", "}")
+
+
+@query("m6_naive_bayes", oracle=views("d") + f""",
+m_y as (select sku_id, conciseness as y from d where conciseness is not null),
+m_w as (select sku_id, term, count(*) as weight from (select sku_id, unnest({TOKEN_SQL}) as term from d
+        where conciseness is not null) group by sku_id, term),""" + NB_SQL.replace("{pre}", "m") + """
+select sku_id, round(prob, 6) as pred from m_prob where y = 1""")
 def m6_naive_bayes(spark, sf_dir):
-    """Multinomial naive Bayes on the (non-negative) word counts of the title."""
-    d = D(spark, sf_dir)
-    labelled = d.where(F.col(LABEL).isNotNull()).select("sku_id", LABEL, X.tokenise_words("title").alias("tok"))
-    tf = HashingTF(inputCol="tok", outputCol="features", numFeatures=1 << 12).transform(labelled)
-    model = MD.naive_bayes(LABEL)(0).fit(tf)
-    return MD.positive_score(model.transform(tf)).select("sku_id", r("pred").alias("pred"))
+    """Multinomial naive Bayes on the word counts of the title."""
+    d = D(spark, sf_dir).where(F.col(LABEL).isNotNull()).select("sku_id", LABEL, X.tokenise_words("title").alias("tok"))
+    weights = term_counts(d, "sku_id", F.col("tok")).select("sku_id", "term", F.col("tf").cast("double").alias("weight"))
+    out = MD.multinomial_nb(materialize(weights), d, "sku_id", LABEL)
+    return out.where(F.col(LABEL) == 1).select("sku_id", r("prob").alias("pred"))
 
 
 @query("m7_ridge_regression")
@@ -117,14 +132,14 @@ def m7_ridge_regression(spark, sf_dir):
     """Ridge regression (alpha = 1) of the label on the features."""
     def factory(tr, names):
         stats = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(LABEL).cast("double")).alias("s")).first()
-        return MD.ridge(LABEL, 1.0, stats["n"], stats["s"] or 1.0)
+        return MD.ridge(LABEL, stats["s"] or 1.0)
     return _fit_all(spark, sf_dir, factory)
 
 
 @query("m8_gbt_classifier")
 def m8_gbt_classifier(spark, sf_dir):
     """Gradient-boosted trees, out of fold."""
-    return _oof_query(spark, sf_dir, lambda tr, names: MD.gbt_classifier(LABEL, max_iter=10, depth=3))
+    return _oof_query(spark, sf_dir, lambda label: MD.gbt_classifier(label, max_iter=10, depth=3))
 
 
 @query("m9_gbt_regressor_clipped")
@@ -162,37 +177,66 @@ def m14_early_stopping(spark, sf_dir):
     rows plus the number of trees actually built."""
     train, _, _ = model_tables(spark, sf_dir)
     data = train.withColumn("is_val", F.col("fold") == 0)
-    model = MD.gbt_classifier(LABEL, max_iter=60, depth=3, validation="is_val")(5).fit(data)
+    model = MD.gbt_classifier(LABEL, max_iter=60, depth=3, validation="is_val")(5, 0).fit(data)
     out = MD.positive_score(model.transform(data))
     return out.select("sku_id", r("pred").alias("pred"), F.lit(model.getNumTrees).alias("n_trees"))
 
 
-@query("m24_assemble_features")
+def _feature_sql() -> str:
+    from quire.plans import q_measures  # noqa: F401  its oracles give the measures
+    from quire.plans.registry import REGISTRY
+    names = ("t1_char_len", "t2_word_len_ws", "t5_digit_count", "t6_case_counts", "t7_special_char_count",
+             "t17_has_duplicate_words", "t16_shape_nunique")
+    joined = " join ".join(f"({REGISTRY[n].oracle}) q{i}" + (" using (sku_id)" if i else "") for i, n in enumerate(names))
+    plain = ("title_len", "title_word_len", "title_digits", "title_upper", "title_special", "title_has_duplicates",
+             "title_shape_nunique")
+    values = [f"cast({c} as double)" for c in plain] + [f"round(ln(1 + {c}), 6)" for c in ("desc_len", "desc_word_len", "desc_digits")]
+    return f"select sku_id, [{', '.join(values)}, 1.0::double] as features from {joined}"
+
+
+@query("m24_assemble_features", oracle=_feature_sql())
 def m24_assemble_features(spark, sf_dir):
     """Ordered feature blocks assembled into one vector with a trailing
     constant 1.0 (shown as an array)."""
     d = D(spark, sf_dir)
     feats = feature_columns()
     rows = d.select("sku_id", *[v.alias(k) for k, v in feats.items()])
-    return MD.assemble(rows, list(feats), add_const=True).select(
-        "sku_id", vector_to_array("features").alias("features"))
-
-
-@query("g6_category_membership_probabilities")
+    out = MD.assemble(rows, list(feats), add_const=True).select("sku_id", vector_to_array("features").alias("features"))
+    return out.select("sku_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+def _category_sql(level: int) -> str:
+    p = f"g{level}"
+    return f""",
+{p}_y as (select sku_id, category_lvl_{level} as y from d where category_lvl_{level} is not null),
+{p}_w as (select * from w),""" + NB_SQL.replace("{pre}", p)
+
+
+@query("g6_category_membership_probabilities", oracle=views("d") + f""",
+toks as (select sku_id, {TOKEN_SQL} as t from d),
+grams as (select sku_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) as term from toks),
+tc as (select sku_id, term, count(*) as tf from grams group by sku_id, term),
+df as (select term, count(*) as df from tc group by term
+       having count(*) >= 2 and count(*) <= 0.9 * (select count(*) from d)),
+raw as (select sku_id, term, tf * (ln((1.0 + (select count(*) from d)) / (1.0 + df)) + 1.0) as x from tc join df using (term)),
+w as (select sku_id, term, x / sqrt(sum(x * x) over (partition by sku_id)) as weight from raw)"""
+       + _category_sql(1) + _category_sql(2) + """
+select 1 as level, sku_id, y as category, round(prob, 5) as prob from g1_prob
+union all select 2, sku_id, y, round(prob, 5) from g2_prob""")
 def g6_category_membership_probabilities(spark, sf_dir):
-    """Class probabilities of category 1 from TF-IDF of title word 1-2-grams
-    (min_df 2, max_df 0.9) with multinomial naive Bayes, long form
-    (sku_id, class, prob); scored in-sample."""
-    from pyspark.ml.feature import StringIndexer
-    d = (D(spark, sf_dir).select("sku_id", "category_lvl_1", X.tokenise_words("title").alias("tk"))
-         .select("sku_id", "category_lvl_1", word_ngrams(F.col("tk"), 1, 2).alias("grams")))
-    d = StringIndexer(inputCol="category_lvl_1", outputCol="y", stringOrderType="alphabetAsc").fit(d).transform(d)
-    cv = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, maxDF=0.9).fit(d)
-    tf = cv.transform(d)
-    tfidf = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    model = MD.naive_bayes("y")(0).fit(tfidf)
-    out = model.transform(tfidf).select("sku_id", F.posexplode(vector_to_array("probability")).alias("class", "prob"))
-    return out.select("sku_id", F.col("class").cast("int"), r("prob").alias("prob"))
+    """Class probabilities of categories 1 and 2 from the TF-IDF (smooth idf,
+    unit rows) of title word 1-2-grams (min_df 2, max_df 0.9) with multinomial
+    naive Bayes, long form (level, sku_id, category, prob); scored in-sample."""
+    d = D(spark, sf_dir)
+    grams = (d.select("sku_id", X.tokenise_words("title").alias("tk"))
+             .select("sku_id", word_ngrams(F.col("tk"), 1, 2).alias("grams")))
+    n = n_rows(d)
+    tc = materialize(df_filter(materialize(term_counts(grams, "sku_id", F.col("grams"))), n, 2, 0.9))
+    weights = materialize(tfidf(tc, "sku_id", n))
+    parts = [MD.multinomial_nb(weights, d.select("sku_id", k), "sku_id", k).select(
+        F.lit(level).alias("level"), "sku_id", F.col(k).alias("category"), F.round("prob", 5).alias("prob"))
+        for level, k in ((1, "category_lvl_1"), (2, "category_lvl_2"))]
+    return parts[0].unionByName(parts[1])
 
 
 SVD_K = 15
@@ -200,17 +244,25 @@ SVD_K = 15
 
 @query("n9_truncated_svd")
 def n9_truncated_svd(spark, sf_dir):
-    """15 leading singular directions of the hashed character 1-3-gram TF-IDF
-    of the titles; each listing's coordinates (rows of U * S)."""
-    d = D(spark, sf_dir).select("sku_id", char_ngrams("title", 1, 3).alias("grams"))
-    d = d.withColumn("row", F.xxhash64("sku_id"))
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 12).transform(d)
-    tfidf = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf).select("row", "sku_id", "features")
-    tfidf = materialize(tfidf)
-    rows = tfidf.rdd.map(lambda x: IndexedRow(x["row"], MLlibVectors.fromML(x["features"])))
-    svd = IndexedRowMatrix(rows).computeSVD(SVD_K, computeU=True)
+    """15 leading singular directions of the character 2-5-gram TF-IDF (N4
+    weights; grams of at least 3 rows) of the titles; each listing's
+    coordinates (rows of U * S). Rows and grams are numbered by ordered
+    indexes, so neither is hashed."""
+    d = D(spark, sf_dir)
+    n = n_rows(d)
+    tc = materialize(term_counts(d.select("sku_id", char_ngrams("title", 2, 5).alias("grams")), "sku_id", F.col("grams")))
+    weights = materialize(tfidf(materialize(df_filter(tc, n, 3, 1.0)), "sku_id", n))
+    grams = materialize(ordered_index(weights.select("term").distinct(), ["term"], name="col"))
+    listings = materialize(ordered_index(d.select("sku_id"), ["sku_id"], name="row"))
+    width = grams.count()
+    long = weights.join(grams, "term").join(listings, "sku_id")
+    rows = long.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "weight"))).alias("e")).select(
+        "row", "e.col", "e.weight")
+    matrix = IndexedRowMatrix(rows.rdd.map(lambda x: IndexedRow(x["row"], MLlibVectors.sparse(width, x["col"], x["weight"]))),
+                              numCols=width)
+    svd = matrix.computeSVD(min(SVD_K, width), computeU=True)
     s = svd.s.toArray().tolist()
     u = svd.U.rows.map(lambda ir: (ir.index, [float(v) * s[i] for i, v in enumerate(ir.vector.toArray())])).toDF(
         ["row", "coords"])
-    out = tfidf.select("row", "sku_id").join(u, "row")
-    return out.select("sku_id", *[r(F.col("coords")[i]).alias(f"svd_{i}") for i in range(len(s))])
+    out = listings.join(u, "row", "left")
+    return out.select("sku_id", *[F.coalesce(r(F.col("coords")[i]), F.lit(0.0)).alias(f"svd_{i}") for i in range(len(s))])

@@ -10,6 +10,7 @@ from quire.operators import stack as ST
 from quire.plans.common import D, P, r
 from quire.plans.oracle_views import views
 from quire.plans.registry import query
+from quire.sources.fixtures import predictions
 
 MODELS = [1, 2, 3]
 EXPECTED_MEAN = {"conciseness": 0.6585, "clarity": 0.923623177}
@@ -54,18 +55,17 @@ def m15_stack_matrix(spark, sf_dir):
     return D(spark, sf_dir).select("sku_id", "conciseness").join(wide, "sku_id")
 
 
-@query("m16_stack_both_labels", oracle=views("d", "p") + """
+@query("m16_stack_both_labels", oracle=views("d", "p", "p2") + """
 select d.sku_id, d.conciseness, d.clarity, w.m1 as c_m1, w.m2 as c_m2, w.m3 as c_m3,
-  round(1 - w.m1, 6) as k_m1, round(1 - w.m2, 6) as k_m2
+  k.m1 as k_m1, k.m2 as k_m2, k.m3 as k_m3
 from d join (select sku_id, max(case when model = 1 then pred end) as m1, max(case when model = 2 then pred end) as m2,
+                    max(case when model = 3 then pred end) as m3 from p2 group by sku_id) k using (sku_id) join (select sku_id, max(case when model = 1 then pred end) as m1, max(case when model = 2 then pred end) as m2,
                     max(case when model = 3 then pred end) as m3 from p group by sku_id) w using (sku_id)""")
 def m16_stack_both_labels(spark, sf_dir):
-    """Stacking block for both labels: conciseness model columns and a
-    second model family (here the complements) attached by key."""
+    """Stacking block for both labels: the conciseness models' columns and
+    the clarity models' columns attached by key."""
     wide = ST.stack_matrix(P(spark, sf_dir), "sku_id", "model", MODELS, prefix="c_m")
-    other = ST.stack_matrix(P(spark, sf_dir).withColumn("pred", F.lit(1.0) - F.col("pred")),
-                            "sku_id", "model", MODELS[:2], prefix="k_m")
-    other = other.select("sku_id", r("k_m1").alias("k_m1"), r("k_m2").alias("k_m2"))
+    other = ST.stack_matrix(predictions(spark, sf_dir, label="clarity"), "sku_id", "model", MODELS, prefix="k_m")
     return (D(spark, sf_dir).select("sku_id", "conciseness", "clarity")
             .join(wide, "sku_id").join(other, "sku_id"))
 
@@ -102,14 +102,21 @@ def m19_average_folds(spark, sf_dir):
     return MT.average_sets(P(spark, sf_dir), "sku_id").select("sku_id", r("pred").alias("pred"))
 
 
-@query("m20_rescale_to_mean", oracle=views("p") + f"""
-select sku_id, round(least(greatest(a + ({EXPECTED_MEAN['conciseness']} - avg(a) over ()), 0.0), 1.0), 6) as pred
-from (select sku_id, avg(pred) as a from p group by sku_id)""")
+def _rescaled_sql(view: str, label: str) -> str:
+    return (f"select sku_id, round(least(greatest(a + ({EXPECTED_MEAN[label]} - avg(a) over ()), 0.0), 1.0), 6) as {label} "
+            f"from (select sku_id, avg(pred) as a from {view} group by sku_id)")
+
+
+@query("m20_rescale_to_mean", oracle=views("p", "p2") + "select * from (" + _rescaled_sql("p", "conciseness")
+       + ") join (" + _rescaled_sql("p2", "clarity") + ") using (sku_id)")
 def m20_rescale_to_mean(spark, sf_dir):
-    """Averaged predictions shifted to the expected mean, clipped to [0, 1]."""
-    avg = MT.average_sets(P(spark, sf_dir), "sku_id")
-    out = MT.rescale_to_mean(avg, "pred", EXPECTED_MEAN["conciseness"])
-    return out.select("sku_id", r("pred").alias("pred"))
+    """Averaged predictions of both labels shifted to their expected means,
+    clipped to [0, 1]."""
+    out = []
+    for label, mean in EXPECTED_MEAN.items():
+        avg = MT.average_sets(predictions(spark, sf_dir, label=label), "sku_id")
+        out.append(MT.rescale_to_mean(avg, "pred", mean).select("sku_id", r("pred").alias(label)))
+    return out[0].join(out[1], "sku_id")
 
 
 LABELLED = views("d", "p") + ", lp as (select p.model, p.fold, d.conciseness as y, p.pred from d join p using (sku_id) " \

@@ -77,10 +77,22 @@ def html_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str, models=(1, 2, 3)) -> DataFrame:
-    """P: long-form level-1 predictions (sku_id, model, fold, pred).
+def conversation_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T: one listing per conversation; the description lists its turns as
+    ``role : text`` items."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.struct("turn", "role", "text").alias("t"),
+        F.concat(F.lit("<li>"), "role", F.lit(" : "), "text", F.lit("</li>")).alias("item"))
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("t", "item"))).alias("items"))
+    return listed.select(F.concat(F.lit("V"), F.col("conv_id").cast("string")).alias("sku_id"),
+                         F.concat(F.lit("<ul>"), F.array_join("items.item", ""), F.lit("</ul>")).alias("short_description"))
+
+
+def predictions(spark: SparkSession, sf_dir: str, models=(1, 2, 3), label: str = "conciseness") -> DataFrame:
+    """P: long-form level-1 predictions (sku_id, model, fold, pred) of a label.
 
     The model dimension is generated per row (``explode``), not joined."""
+    a, b, c = {"conciseness": (7, 4, 1), "clarity": (5, 6, 3)}[label]
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     m = F.col("model")
     return (docs.select("*", F.explode(F.array(*[F.lit(x) for x in models])).alias("model"))
@@ -88,7 +100,7 @@ def predictions(spark: SparkSession, sf_dir: str, models=(1, 2, 3)) -> DataFrame
                 F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.col("lang")).alias("sku_id"),
                 m.alias("model"),
                 (F.col("doc_id") % 10).cast("int").alias("fold"),
-                (((F.col("doc_id") * (F.lit(7) + F.lit(4) * m) + F.col("n_chars")) % 1000).cast("double")
+                (((F.col("doc_id") * (F.lit(a) + F.lit(b) * m) + F.col("n_chars") * c) % 1000).cast("double")
                  / F.lit(1000.0)).alias("pred")))
 
 
