@@ -10,7 +10,8 @@ smaller ids' passages; matching statistics of at least a window give the
 words to remove, and new passages extend the automaton.
 
 The automata stay where their shards are instead of being broadcast: their
-total size has no bound but the corpus.
+total size has no bound but the corpus. Exact copies are found first, by
+digest: they are repeats as a whole, and only the first of them is matched.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import quoted, ready, slices, texts, unpacked
+from quire.llm.common import quoted, ready, slices, texts, unpacked, written
 
 WINDOW = 13
 #: Words of an anchor.
@@ -35,14 +36,36 @@ REMEMBERED = 200_000
 RESULTS = ["n_words", "n_removed", "removed", "clean_text"]
 
 
-def anchors_of(words: list[bytes], window: int, group: int) -> np.ndarray:
-    """The anchor of each window: the least mixed hash among its groups."""
+#: A number for each byte (0 for white space) and for each place in a word.
+_BYTES = np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_BYTES[[9, 10, 11, 12, 13, 32]] = 0
+_PLACES = np.random.default_rng(13).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of a text, in whole-array steps. The
+    hashes only choose anchors: a collision costs work, never a result."""
+    flat = np.frombuffer(raw, np.uint8)
+    value = _BYTES[flat]
+    word = value > 0
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    place = np.arange(starts[0], len(flat))
+    place -= np.repeat(starts, np.diff(np.append(starts, len(flat))))
+    value = value[starts[0]:] * (_PLACES[place & 63] + (place >> 6).astype(np.uint64))
+    return starts, np.add.reduceat(value, starts - starts[0])
+
+
+def anchors_of(h: np.ndarray, window: int, group: int) -> np.ndarray:
+    """The anchor of each window, from its words' hashes: the least mixed
+    hash among its groups."""
     spread = window - group + 1
-    n = len(words) - window + 1
-    if n < 1:
+    if len(h) < window:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    g = np.zeros(len(words) - group + 1, np.uint64)
+    g = np.zeros(len(h) - group + 1, np.uint64)
     for j in range(group):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[j:j + len(g)]
     g ^= g >> np.uint64(31)
@@ -56,10 +79,21 @@ def anchors_of(words: list[bytes], window: int, group: int) -> np.ndarray:
     return g
 
 
+def _anchored(column: pa.Array, window: int, group: int):
+    """For each text: its bytes, the starts of its words, its anchors."""
+    parts = texts(column)
+    starts, hashes = word_hashes(b"\n".join(parts))
+    begins = np.cumsum([0] + [len(p) + 1 for p in parts])
+    cuts = np.searchsorted(starts, begins)
+    for k, raw in enumerate(parts):
+        own = slice(cuts[k], cuts[k + 1])
+        yield raw, starts[own] - begins[k], anchors_of(hashes[own], window, group)
+
+
 def _anchor_rows(window: int, group: int, field: str):
     def run(batches):
         for b in slices(batches):
-            found = [np.unique(anchors_of(t.split(), window, group)) for t in texts(b.column("row").field(field))]
+            found = [np.unique(a) for _, _, a in _anchored(b.column("row").field(field), window, group)]
             ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64))],
                                              ["id", "anchor"])
@@ -74,14 +108,12 @@ def _passages(window: int, group: int, field: str, remembered: int):
         first: dict[bytes, int] = {}
         for b in slices(batches):
             out = [[] for _ in range(5)]
-            for doc, text, shared, hot in zip(b.column("id").to_pylist(), texts(b.column("row").field(field)),
-                                              b.column("shared").to_pylist(), b.column("hot").to_pylist()):
-                if not shared and not hot:
-                    continue
-                words = text.split()
-                anchors = anchors_of(words, window, group)
+            anchored = _anchored(b.column("row").field(field), window, group)
+            for doc, (raw, places, anchors), shared, hot in zip(b.column("id").to_pylist(), anchored,
+                                                                b.column("shared").to_pylist(), b.column("hot").to_pylist()):
                 if not len(anchors):
                     continue
+                places = np.append(places, len(raw))
                 many = np.array(hot or [], np.int64).view(np.uint64)
                 split = np.isin(anchors, many)
                 known = split | np.isin(anchors, np.array(shared or [], np.int64).view(np.uint64))
@@ -90,7 +122,7 @@ def _passages(window: int, group: int, field: str, remembered: int):
                 starts = np.flatnonzero(new)
                 ends = np.append(starts[1:], len(anchors))
                 for s, e in zip(starts[known[starts]].tolist(), ends[known[starts]].tolist()):
-                    own = b" ".join(words[s:e + window - 1])
+                    own = b" ".join(raw[places[s]:places[e + window - 1]].split())
                     digest = hashlib.blake2b(own, digest_size=16).digest()
                     least = first.get(digest)
                     if least is not None and least < doc:
@@ -221,7 +253,7 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return raw[keep].tobytes()
 
 
-def _cleaned(field: str):
+def _cleaned(window: int, field: str):
     def run(batches):
         for b in slices(batches):
             n_words, removed, clean = [], [], []
@@ -229,7 +261,7 @@ def _cleaned(field: str):
                 n = len(text.split())
                 n_words.append(n)
                 gone = np.zeros(n, bool)
-                for s in spans or ():
+                for s in (spans or ()) if n >= window else ():
                     gone[s["low"]:s["high"]] = True
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2).tolist()
                 removed.append([{"low": x, "high": y} for x, y in edges])
@@ -242,6 +274,16 @@ def _cleaned(field: str):
     return run
 
 
+def _copies(digests: DataFrame) -> DataFrame:
+    """(id,): documents whose whole text a smaller id has too, from (id,
+    digest); an id with several texts is no copy. Written, as it is small."""
+    single = (digests.groupBy("id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"))
+              .filter("digest = other").select("id", "digest"))
+    single = written(single, "digests")
+    firsts = single.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return written(single.join(firsts, "digest").filter("id > least").select("id"), "copies")
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
                     group: int = GROUP, hot_docs: int = HOT_DOCS, remembered: int = REMEMBERED) -> DataFrame:
     """The rows of ``docs`` with RESULTS: words, words removed, the maximal
@@ -254,11 +296,15 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with a null id removes nothing and loses nothing. An empty table gives an
     empty table. Results replace input columns of their names."""
     ready(docs.sparkSession)
-    work = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(doc_id).cast("long").alias("id"))
-    anchors = work.filter("id is not null").mapInArrow(_anchor_rows(window, group, text), "id long, anchor long")
-    shared = (anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"),
-                                            F.count(F.lit(1)).alias("n"))
-              .filter("low < high").select("anchor", (F.col("n") > hot_docs).alias("many")))
+    everything = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"),
+                             quoted(doc_id).cast("long").alias("id"))
+    # all joins with the texts deal the same rows by id, so that Spark shuffles the texts once
+    work = everything.filter("id is not null")
+    copies = _copies(work.select("id", F.unhex(F.md5(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary"))).alias("digest")))
+    firsts = work.join(copies, "id", "left_anti")
+    anchors = firsts.mapInArrow(_anchor_rows(window, group, text), "id long, anchor long")
+    shared = (anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+              .select("anchor", (F.col("n") > hot_docs).alias("many")))
     of_doc = anchors.join(shared, "anchor").groupBy("id").agg(
         F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("shared"),
         F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("hot"))
@@ -266,8 +312,11 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _passages(window, group, text, remembered), "key long, id long, start int, n int, words binary")
     spans = (passages.repartition("key").sortWithinPartitions("key", F.col("words").isNull(), "id", "start")
              .mapInArrow(_matched(window), "id long, low int, high int")
+             .union(copies.select("id", F.lit(0), F.lit(2**31 - 1)))
              .groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     row = work.schema["row"].dataType.simpleString()
-    cleaned = work.join(spans, "id", "left").select("row", "spans").mapInArrow(
-        _cleaned(text), f"row {row}, n_words long, n_removed long, removed array<struct<low:int,high:int>>, clean_text string")
+    spanned = work.join(spans, "id", "left").select("row", "spans").union(
+        everything.filter("id is null").select("row", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans")))
+    cleaned = spanned.mapInArrow(
+        _cleaned(window, text), f"row {row}, n_words long, n_removed long, removed array<struct<low:int,high:int>>, clean_text string")
     return unpacked(cleaned, docs.columns, RESULTS)
