@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, packed, quoted, ready, slices, texts, unpacked
-from quire.llm.labelled import learnable, sample_texts
+from quire.llm.labelled import keyed, learnable, sample_texts
 
 #: Bounds of the samples: different texts of each kind, and their bytes.
 POSITIVE_ROWS, UNLABELLED_ROWS, SAMPLE_BYTES = 3000, 6000, 8 << 20
@@ -127,8 +127,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     ready(docs.sparkSession)
     good = learnable(docs, labels, doc_id, text, label).filter(F.col("label") == 1)
     picked = [np.array([features(t.encode()) for t in sample]) for sample in (
-        sample_texts(good, "id", "text", positive_rows, sample_bytes),
-        sample_texts(docs, doc_id, text, unlabelled_rows, sample_bytes))]
+        sample_texts(docs, good, doc_id, text, positive_rows, sample_bytes),
+        sample_texts(docs, keyed(docs, doc_id, text), doc_id, text, unlabelled_rows, sample_bytes))]
     size = len(features(b""))
     if min(map(len, picked)) < 4:
         mean, spread, weights = np.zeros(size), np.ones(size), np.zeros(size + 1)

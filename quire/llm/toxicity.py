@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are trained: one on windows of ordinary texts, one
 on the toxic texts' words that ordinary texts hardly have. Every window of a
-text is compressed with the ordinary dictionary alone and with both; the
+text is compressed with the ordinary dictionary alone and with both, the
+toxic one first, so that it serves only where it has the longer match; the
 bytes saved tell how much of it only toxic text explains. The savings of a
 whole text, summed above a threshold, are calibrated to a probability on
 labelled texts that neither dictionary has seen.
@@ -96,9 +97,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60
     return w
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, list[float]]:
+def fit(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None) -> tuple[bytes, bytes, list[float]]:
     """Dictionaries from all texts, and weights: every third of the texts is
-    scored with dictionaries of the other two."""
+    scored with dictionaries of the other two. The intercept is moved from
+    the samples' odds to ``odds``, those of all labelled rows."""
     if not toxic or not ordinary:
         return b" ", b" ", [float(np.log((len(toxic) + 1) / (len(ordinary) + 1)))] + [0.0] * 11
     x, y = [], []
@@ -106,15 +108,17 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, list[f
         own = [[t for i, t in enumerate(part) if i % 3 == k] for part in (toxic, ordinary)]
         rest = [[t for i, t in enumerate(part) if i % 3 != k] for part in (toxic, ordinary)]
         content = train_dictionaries(*rest)
-        plain, both = compressor(content[0]), compressor(content[0] + content[1])
+        plain, both = compressor(content[0]), compressor(content[1] + content[0])
         x += [features(t, plain, both) for part in own for t in part]
         y += [1.0] * len(own[0]) + [0.0] * len(own[1])
-    return *train_dictionaries(toxic, ordinary), calibrate(np.array(x), np.array(y)).tolist()
+    weights = calibrate(np.array(x), np.array(y))
+    weights[0] += np.log(odds * len(ordinary) / len(toxic)) if odds else 0.0
+    return *train_dictionaries(toxic, ordinary), weights.tolist()
 
 
 def _scored(model: tuple[bytes, bytes, list[float]]):
     def run(batches):
-        plain, both = compressor(model[0]), compressor(model[0] + model[1])
+        plain, both = compressor(model[0]), compressor(model[1] + model[0])
         weights = np.array(model[2])
         for b in slices(batches):
             x = np.array([features(t, plain, both) for t in texts(b.column("text"))]).reshape(-1, len(weights))
@@ -138,9 +142,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     of their names."""
     ready(docs.sparkSession)
     known = learnable(docs, labels, doc_id, text, label)
-    picked = [[t.encode() for t in sample_texts(known.filter(F.col("label") == v), "id", "text", n, sample_bytes)]
+    picked = [[t.encode() for t in sample_texts(docs, known.filter(F.col("label") == v), doc_id, text, n, sample_bytes)]
               for v, n in ((1, toxic_rows), (0, ordinary_rows))]
-    model = docs.sparkSession.sparkContext.broadcast(fit(*picked))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
+    model = docs.sparkSession.sparkContext.broadcast(fit(*picked, odds))
     work = packed(docs, text=quoted(text), held_out=held_out(quoted(doc_id)))
     row = work.select("row").schema["row"].dataType.simpleString()
     scored = work.mapInArrow(_from(model), f"row {row}, held_out boolean, score double, predicted int")

@@ -76,7 +76,7 @@ def test_toxicity_learns_words():
     toxic = [f"{PROSE[:40 + i % 9]} {'vile' if i % 2 else 'hideous'} {PROSE[40:]} {i}".encode() for i in range(60)]
     content = toxicity.train_dictionaries(toxic, ordinary)
     assert b"hideous" in content[1] and b"quick" not in content[1] and b"quick" in content[0]
-    plain_, both = toxicity.compressor(content[0]), toxicity.compressor(content[0] + content[1])
+    plain_, both = toxicity.compressor(content[0]), toxicity.compressor(content[1] + content[0])
     bad, good = (toxicity.features(t.encode(), plain_, both)[2] for t in ("you hideous hideous one and that", "you are the fox and that"))
     assert bad > good
 
