@@ -67,7 +67,7 @@ def ready(spark: SparkSession) -> None:
     """The shared folder is known and Arrow batches stay small in bytes."""
     checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
-                   str(min(4096, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+                   str(min(1024, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
