@@ -16,6 +16,10 @@ from quire.llm.queries import TOKENIZER
 from quire.sources.tables import table
 
 
+#: Size up to which ids are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
 def _with_text(out: DataFrame, columns: list[str]) -> DataFrame:
     """The documents' columns with the cleaned text, and n_chars to match."""
     size = {"n_chars": F.length("clean_text").cast("long"), "text": F.col("clean_text")}
@@ -29,13 +33,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group the document with the smallest id stays, on
-    one row if rows repeat it. Rows with a null id are in no group and stay."""
-    found = simhash.near_duplicates(docs)
-    kept = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*map(quoted, docs.columns)).union(docs.filter("doc_id is null"))
+    one row if rows repeat it. Rows with a null id are in no group and stay.
+
+    The ids that go are few next to the documents; they are broadcast while
+    they take at most BROADCAST_BYTES, else joined by id."""
+    found = written(simhash.near_duplicates(docs), "components")
+    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone-ids")
+    small = 16 * gone.count() <= BROADCAST_BYTES
+    out = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    stays = found.filter("doc_id = component_id")
+    if not stays.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(out.filter("doc_id is null"))
+    return out
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
