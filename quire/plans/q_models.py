@@ -1,7 +1,7 @@
 """Queries: models, feature selection, SVD and category probabilities
 (M2-M12, M14, M24, G6, N9). Iteratively fitted models have no SQL oracle;
-``tests/test_models.py`` checks their properties. The queries pass smaller
-sizes (rounds, trees, depths) than the operators' defaults."""
+``tests/test_models.py`` checks their properties. The queries fit the
+operators' default sizes (rounds, trees, depths)."""
 
 from __future__ import annotations
 
@@ -22,6 +22,9 @@ from quire.plans.registry import query
 
 LABEL = "conciseness"
 N_FOLDS = 10
+SEEDS = list(range(111, 1000, 111))
+#: Most rounds of the early-stopped trees.
+MAX_ROUNDS = 4000
 
 
 def feature_columns():
@@ -70,11 +73,10 @@ def m2_out_of_fold_predict(spark, sf_dir):
 
 @query("m3_seed_bagging")
 def m3_seed_bagging(spark, sf_dir):
-    """Random-forest predictions averaged over three seeds: out of fold for
+    """Random-forest predictions averaged over nine seeds: out of fold for
     labelled rows, over all fold models for the others."""
     train, test, _ = model_tables(spark, sf_dir)
-    oof, tst = MD.bagged(train, test, "sku_id", LABEL, "fold", N_FOLDS, MD.random_forest(LABEL, trees=20, depth=5),
-                         [111, 222, 333])
+    oof, tst = MD.bagged(train, test, "sku_id", LABEL, "fold", N_FOLDS, MD.random_forest(LABEL), SEEDS)
     out = oof.withColumn("part", F.lit("train")).unionByName(tst.withColumn("part", F.lit("test")))
     return out.select("sku_id", "part", r("pred").alias("pred"))
 
@@ -139,19 +141,19 @@ def m7_ridge_regression(spark, sf_dir):
 @query("m8_gbt_classifier")
 def m8_gbt_classifier(spark, sf_dir):
     """Gradient-boosted trees, out of fold."""
-    return _oof_query(spark, sf_dir, lambda label: MD.gbt_classifier(label, max_iter=10, depth=3))
+    return _oof_query(spark, sf_dir, MD.gbt_classifier)
 
 
 @query("m9_gbt_regressor_clipped")
 def m9_gbt_regressor_clipped(spark, sf_dir):
     """Boosted regression trees, predictions clipped to [0, 1]."""
-    return _fit_all(spark, sf_dir, lambda tr, names: MD.gbt_regressor(LABEL, max_iter=10, depth=3), clip=True)
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.gbt_regressor(LABEL), clip=True)
 
 
 @query("m10_random_forest")
 def m10_random_forest(spark, sf_dir):
     """Random forest with entropy impurity."""
-    return _fit_all(spark, sf_dir, lambda tr, names: MD.random_forest(LABEL, trees=50, depth=8))
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.random_forest(LABEL))
 
 
 @query("m11_multilayer_perceptron")
@@ -165,7 +167,7 @@ def m12_importance_select(spark, sf_dir):
     """Forest importances per feature, and whether the feature is kept
     (importance >= mean); the kept slice feeds later models."""
     train, _, names = model_tables(spark, sf_dir)
-    kept, imp = MD.importance_select(train, LABEL, names, trees=50)
+    kept, imp = MD.importance_select(train, LABEL, names)
     rows = [(n, float(v), int(i in kept), i) for i, (n, v) in enumerate(zip(names, imp))]
     table = spark.createDataFrame(rows, "feature string, importance double, kept int, index int")
     return table.select("feature", r("importance").alias("importance"), "kept", "index")
@@ -177,7 +179,7 @@ def m14_early_stopping(spark, sf_dir):
     rows plus the number of trees actually built."""
     train, _, _ = model_tables(spark, sf_dir)
     data = train.withColumn("is_val", F.col("fold") == 0)
-    model = MD.gbt_classifier(LABEL, max_iter=60, depth=3, validation="is_val")(5, 0).fit(data)
+    model = MD.gbt_classifier(LABEL, max_iter=MAX_ROUNDS, validation="is_val")(5, 0).fit(data)
     out = MD.positive_score(model.transform(data))
     return out.select("sku_id", r("pred").alias("pred"), F.lit(model.getNumTrees).alias("n_trees"))
 

@@ -125,3 +125,40 @@ def test_svd_columns_are_orthogonal(spark):
     gram = m.T @ m
     off = np.abs(gram - np.diag(np.diag(gram))).max()
     assert off < 1e-3 * gram.max() and (np.diff(np.diag(gram)) <= 1e-6).all()
+
+
+def test_queries_fit_the_published_sizes(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    from quire.plans import q_models as Q
+    made = {}
+
+    class Fitted(Exception):
+        pass
+
+    def keep(make, **more):
+        made["fit"], made["more"] = make(1, 100), more
+        raise Fitted
+
+    def size(fn):
+        with pytest.raises(Fitted):
+            fn(spark, SF_SMALL)
+        fit = made["fit"]
+        rounds = "numTrees" if fit.hasParam("numTrees") else "maxIter"
+        return fit.getOrDefault(rounds), fit.getOrDefault("maxDepth")
+
+    monkeypatch.setattr(Q, "model_tables", lambda *a: (MagicMock(), MagicMock(), ["a"]))
+    monkeypatch.setattr(MD, "oof_predict", lambda *a, **k: keep(a[6]))
+    monkeypatch.setattr(MD, "bagged", lambda *a, **k: keep(a[6], seeds=a[7]))
+    assert size(Q.m8_gbt_classifier) == (200, 4)
+    assert size(Q.m3_seed_bagging) == (500, 18)
+    assert made["more"]["seeds"] == [111, 222, 333, 444, 555, 666, 777, 888, 999]
+    monkeypatch.setattr(Q, "_fit_all", lambda s, d, factory, clip=False: keep(factory(None, ["a"])))
+    assert size(Q.m9_gbt_regressor_clipped) == (700, 5) and size(Q.m10_random_forest) == (500, 18)
+    real = MD.gbt_classifier
+    monkeypatch.setattr(MD, "gbt_classifier", lambda *a, **k: keep(real(*a, **k)))
+    assert size(Q.m14_early_stopping) == (4000, 4)
+    monkeypatch.setattr(MD, "importance_select", lambda *a, **k: keep(MD.random_forest("y", depth=6), given=(a[3:], k)))
+    with pytest.raises(Fitted):
+        Q.m12_importance_select(spark, SF_SMALL)
+    assert made["more"]["given"] == ((), {})
