@@ -60,7 +60,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: pieces of documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, added_tokens=True)
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("substring_dedup", substrings),

@@ -38,25 +38,31 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def encoder(path: str):
+def encoder(path: str, added_tokens: bool = False):
     """A function from texts to arrays of token ids.
 
     The file is read by tokenizers. If it is a byte-level BPE whose ids follow
     the order of its merges, tiktoken runs the same merges, several times
-    faster; any other file is run by tokenizers. Special tokens' strings are
-    ordinary text."""
+    faster; any other file is run by tokenizers. With ``added_tokens`` the
+    strings of the file's added tokens get their ids, as tokenizers does on
+    its own: texts are cut at them, the longest first, and tiktoken runs on
+    what lies between. Otherwise special tokens' strings are ordinary text."""
     import json
+    import re
 
     import tiktoken
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    model.encode_special_tokens = not added_tokens
     form = json.loads(model.to_str())
     bpe, cut = form["model"], form["pre_tokenizer"] or {}
     merged = [bpe["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in bpe.get("merges", ())]
     plain = (bpe["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not form["normalizer"]
              and not cut.get("add_prefix_space") and merged == sorted(set(merged), key=lambda x: (x is None, x)))
+    added = {t["content"]: t["id"] for t in form["added_tokens"] if t["content"]}
+    if added_tokens and any(t[k] for t in form["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        plain = False
     if not plain:
         return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4")
     names = byte_names()
@@ -64,12 +70,26 @@ def encoder(path: str):
     special = {t["content"].encode() for t in form["added_tokens"]}
     ranks = {token: i for token, i in ranks.items() if token not in special}
     fast = tiktoken.Encoding("merges", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
+    def between(text: str) -> np.ndarray:
+        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
-def _pieces(path: str, end_id: int, window: int, with_ids: bool):
+    if not (added_tokens and added):
+        return between
+    cuts = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+    def whole(text: str) -> np.ndarray:
+        parts = cuts.split(text)
+        if len(parts) == 1:
+            return between(text)
+        return np.concatenate([np.array([added[p]], "<u4") if i % 2 else between(p) for i, p in enumerate(parts)])
+
+    return whole
+
+
+def _pieces(path: str, end_id: int, window: int, with_ids: bool, added_tokens: bool):
     def run(batches):
-        encode, task = encoder(path), TaskContext.get().partitionId()
+        encode, task = encoder(path, added_tokens), TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
         for b in slices(batches):
             rows, cols, ids = [], [[] for _ in range(5)], []
@@ -188,19 +208,20 @@ def runs_of(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0,
-         window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+         window: int = WINDOW, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ``ids`` (array of long) if asked for.
 
     ``tokenizer`` is the path of a tokenizers file that every executor can
-    read. A null or empty text is the end id alone. Repeated rows are packed
+    read; ``added_tokens`` gives the strings of its added tokens their ids, as
+    tokenizers does by default. A null or empty text is the end id alone. Repeated rows are packed
     each; a null id is carried as it is. An empty table gives no piece."""
     spark = docs.sparkSession
     ready(spark)
     source = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, nth long, task int"
-    pieces = written(source.mapInArrow(_pieces(tokenizer, end_id, window, with_ids),
+    pieces = written(source.mapInArrow(_pieces(tokenizer, end_id, window, with_ids, added_tokens),
                                        schema + (", ids array<long>" if with_ids else "")), "pieces")
     # a piece's rank among those of its length: its place within the writing task, after all earlier tasks
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))

@@ -85,7 +85,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, added_tokens=True)
 
 
 URL_SQL = """

@@ -152,6 +152,38 @@ def test_round_trip(spark, docs):
     assert padding < 0.03 * sum(p["length"] for p in pieces)
 
 
+def test_added_tokens_get_their_ids(spark, docs, monkeypatch, tmp_path):
+    import json
+
+    from tokenizers import AddedToken, Tokenizer
+    tokenizer = Tokenizer.from_file(queries.TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x", "a  <|endoftext|>  b <|endoftext",
+             "no token <|endof text|>", "", *(t for t in ODD_TEXTS if t), PROSE + " <|endoftext|>" * 2000]
+    texts += [r["text"] + "<|endoftext|>" + r["text"] for r in docs.limit(20).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    monkeypatch.setattr(queries, "table", lambda *a: rows)
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    for out in (queries.op4_packing(spark, SF_SMALL), stage(spark, rows, SF_SMALL)):
+        got = out.collect()
+        assert {p["doc_id"] for p in got} == set(want)
+        for p in got:
+            ids = want[p["doc_id"]]
+            own = np.array(ids[p["start"]:p["start"] + p["length"]], "<u4")
+            assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(own.tobytes())
+    # overlapping added tokens, and one with a flag that only tokenizers knows
+    for more in (["<|end", "<|endoftext|>x", "ab"], [AddedToken("ab", lstrip=True)]):
+        own = Tokenizer.from_file(queries.TOKENIZER)
+        own.add_special_tokens(more)
+        path = str(tmp_path / f"{len(more)}.json")
+        own.save(path)
+        assert json.load(open(path))["added_tokens"]
+        encode = packing.encoder(path, added_tokens=True)
+        for t in [*texts, "cab ab <|endoftext|>x <|endx", " ab\n  ab"]:
+            assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(1)
     for n in (1, 7, 300, 20000):
