@@ -43,13 +43,13 @@ def g2_collapse_rare(spark, sf_dir):
 G3_COLS = ["category_lvl_1", "category_lvl_2", "category_lvl_3", "product_type"]
 
 
-def _g3_sql() -> str:
+def _g3_sql(src: str = "c", cols: list[str] = G3_COLS) -> str:
     parts, offset = [], "0"
-    for k in G3_COLS:
+    for k in cols:
         parts.append(f"select sku_id, '{k}' as column_name, cast(dense_rank() over (order by coalesce({k}, 'NA')) - 1 "
-                     f"+ {offset} as bigint) as index from c")
-        offset += f" + (select count(distinct coalesce({k}, 'NA')) from c)"
-    return views("c") + " union all ".join(parts)
+                     f"+ {offset} as bigint) as index from {src}")
+        offset += f" + (select count(distinct coalesce({k}, 'NA')) from {src})"
+    return views(src) + " union all ".join(parts)
 
 
 @query("g3_one_hot_block", oracle=_g3_sql())
@@ -61,6 +61,18 @@ def g3_one_hot_block(spark, sf_dir):
     return out.select("sku_id", "column_name", F.col("index").cast("long"))
 
 
+G3_DESC_COLS = CATS + ["short_description"]
+
+
+@query("g3_one_hot_block_description", oracle=_g3_sql("d", G3_DESC_COLS))
+def g3_one_hot_block_description(spark, sf_dir):
+    """One-hot blocks of categories and whole descriptions of the document
+    listings, long form as in g3_one_hot_block."""
+    d = D(spark, sf_dir).select("sku_id", *[F.coalesce(F.col(k), F.lit("NA")).alias(k) for k in G3_DESC_COLS])
+    out = EN.one_hot_long(d, "sku_id", G3_DESC_COLS)
+    return out.select("sku_id", "column_name", F.col("index").cast("long"))
+
+
 TRAIN_SQL = "split = 'trn' and clarity is not null"
 
 
@@ -111,6 +123,42 @@ def g5_leave_one_out_encode(spark, sf_dir):
     return out.select("sku_id", *[r(f"{k}_loo").alias(f"{k}_loo") for k in G5_COLS])
 
 
+def _loo_more_sql(label: str, cols: list[str]) -> str:
+    parts = []
+    for k in cols:
+        own = f"over (partition by {k})"
+        n, s = f"count(*) filter (is_tr) {own}", f"sum({label}) filter (is_tr) {own}"
+        parts.append(f"round(case when is_tr and {n} > 1 then ({s} - {label}) / ({n} - 1) when not is_tr and {n} > 0 "
+                     f"then {s} / {n} else avg({label}) filter (is_tr) over () end, 6) as {k}_loo")
+    return views("d") + f""", dd as (
+  select *, len(string_split(coalesce(title, 'NA'), ' ')) as title_len,
+         coalesce(category_lvl_1, 'NA') || cast(len(string_split(coalesce(title, 'NA'), ' ')) as varchar) as cat_title_len,
+         split = 'trn' and {label} is not null as is_tr from d)
+select sku_id, {', '.join(parts)} from dd"""
+
+
+def _loo_more(spark, sf_dir, label: str, cols: list[str]):
+    d = D(spark, sf_dir).withColumn("title_len", word_len_space(F.coalesce("title", F.lit("NA"))))
+    d = d.withColumn("cat_title_len", F.concat(F.coalesce("category_lvl_1", F.lit("NA")), F.col("title_len").cast("string")))
+    is_tr = (F.col("split") == "trn") & F.col(label).isNotNull()
+    out = d.select("sku_id", "split", label, *cols)
+    for k in cols:
+        out = EN.leave_one_out_encode(out, d.where(is_tr), k, label, f"{k}_loo", is_tr)
+    return out.select("sku_id", *[r(f"{k}_loo").alias(f"{k}_loo") for k in cols])
+
+
+@query("g5_leave_one_out_encode_cat_title_len", oracle=_loo_more_sql("clarity", ["cat_title_len"]))
+def g5_leave_one_out_encode_cat_title_len(spark, sf_dir):
+    """Leave-one-out clarity encoding of category 1 with the title length."""
+    return _loo_more(spark, sf_dir, "clarity", ["cat_title_len"])
+
+
+@query("g5_leave_one_out_encode_conciseness", oracle=_loo_more_sql("conciseness", G5_COLS))
+def g5_leave_one_out_encode_conciseness(spark, sf_dir):
+    """Leave-one-out conciseness encoding of categories and title length."""
+    return _loo_more(spark, sf_dir, "conciseness", G5_COLS)
+
+
 @query("m1_stratified_folds", oracle=views("d") + """
 select sku_id, conciseness,
   cast((row_number() over (partition by conciseness order by md5(sku_id || '2017'), sku_id) - 1) % 10 as int) as fold

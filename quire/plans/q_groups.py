@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import combo_key, convert_price, space_punctuation, word_len_space
+from quire.functions.text import clean_html, combo_key, convert_price, space_punctuation, word_len_space
 from quire.operators import groups as G
 from quire.operators.joins import attach, bounded, fits_broadcast, materialize, side
 from quire.plans.common import C, D, r
@@ -284,8 +284,8 @@ def a4_country_group_price_median(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- A5 / A6
-def _word_totals(spark, sf_dir, log: bool):
-    d = D(spark, sf_dir).withColumn("t", space_punctuation("title"))
+def _word_totals(spark, sf_dir, log: bool, text="title"):
+    d = D(spark, sf_dir).withColumn("t", space_punctuation(text))
     out = d.select("sku_id", *CATS)
     for n, k in enumerate(CATS, start=1):
         tot = G.group_word_totals(d.where(F.col(k).isNotNull()), k, "t", f"cat{n}")
@@ -295,12 +295,12 @@ def _word_totals(spark, sf_dir, log: bool):
     return out.select("sku_id", *[f(c).alias(c) for c in cols])
 
 
-def _word_totals_sql(log: bool) -> str:
+def _word_totals_sql(log: bool, text: str = "title") -> str:
     f = (lambda e: f"round(ln({e}), 6)") if log else (lambda e: f"cast({e} as bigint)")
     parts = []
     for n, k in enumerate(CATS, start=1):
         parts.append(f"""g{n} as (select {k}, {f('count(*)')} as cat{n}_words, {f('count(distinct w)')} as cat{n}_nunique
-   from (select {k}, unnest(string_split({P4_SQL.format('title')}, ' ')) as w from d where {k} is not null)
+   from (select {k}, unnest(string_split({P4_SQL.format(text)}, ' ')) as w from d where {k} is not null)
    group by {k})""")
     return views("d") + ", " + ",\n".join(parts) + "\nselect sku_id, " + ", ".join(
         f"cat{n}_{s}" for n in (1, 2, 3) for s in ("words", "nunique")) + " from d " + " ".join(
@@ -320,6 +320,25 @@ def a6_group_word_totals_log(spark, sf_dir):
     return _word_totals(spark, sf_dir, log=True)
 
 
+def _desc():
+    return clean_html(F.coalesce("short_description", F.lit("")))
+
+
+DESC_SQL = r"regexp_replace(coalesce(short_description, ''), '<[^\n]*?>', '', 'g')"
+
+
+@query("a5_group_word_totals_description", oracle=_word_totals_sql(False, DESC_SQL))
+def a5_group_word_totals_description(spark, sf_dir):
+    """Total and distinct description words of each category."""
+    return _word_totals(spark, sf_dir, log=False, text=_desc())
+
+
+@query("a6_group_word_totals_log_description", oracle=_word_totals_sql(True, DESC_SQL))
+def a6_group_word_totals_log_description(spark, sf_dir):
+    """Natural log of the category totals of description words."""
+    return _word_totals(spark, sf_dir, log=True, text=_desc())
+
+
 # --------------------------------------------------------------------- A7 / A8
 STAT_NAMES = ("min", "max", "mean", "median", "std")
 
@@ -360,6 +379,15 @@ def a7_group_length_stats(spark, sf_dir):
     return _length_stats(rows, A7_SETS)
 
 
+@query("a7_group_length_stats_description", oracle=_length_stats_sql("d", P4_SQL.format(DESC_SQL), A7_SETS))
+def a7_group_length_stats_description(spark, sf_dir):
+    """Min / max / mean / median / sample std of description word counts by
+    each category."""
+    d = D(spark, sf_dir)
+    rows = d.select("sku_id", *CATS, word_len_space(space_punctuation(_desc())).alias("wc"))
+    return _length_stats(rows, A7_SETS)
+
+
 A8_SETS = {"cat1_word_cnt": ["category_lvl_1", "category_lvl_2"],
            "cat2_word_cnt": ["category_lvl_2", "category_lvl_3"],
            "cat3_word_cnt": ["category_lvl_3", "category_lvl_1"],
@@ -535,6 +563,24 @@ def a17_value_counts(spark, sf_dir):
     return out
 
 
+A17_KEY_PARTS = {"sku_id_2": "substr(sku_id, length(sku_id) - 1, 2)", "sku_id57": "substr(sku_id, 6, 2)",
+                 "sku_id_53": "substr(sku_id, length(sku_id) - 4, 1)"}
+
+
+@query("a17_value_counts_key_parts", oracle=views("c") + " " + " union all ".join(
+    f"select '{n}' as column_name, {e} as value, count(*) as count from c group by {e}"
+    for n, e in A17_KEY_PARTS.items()))
+def a17_value_counts_key_parts(spark, sf_dir):
+    """Frequencies of the key's last two characters, of its sixth and seventh
+    and of the fifth from its end (long form)."""
+    key = F.col("sku_id")
+    c = C(spark, sf_dir).select(F.substring(key, -2, 2).alias("sku_id_2"), F.substring(key, 6, 2).alias("sku_id57"),
+                                F.substring(key, -5, 1).alias("sku_id_53"))
+    parts = [G.value_counts(c, n).select(F.lit(n).alias("column_name"), F.col(n).alias("value"), "count")
+             for n in A17_KEY_PARTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --------------------------------------------------------------------- A18 / A19
 def _word_positions(d):
     from quire.functions.text import words_ws, ws_token_at

@@ -316,6 +316,29 @@ def t21_length_band_flags_chars(spark, sf_dir):
     return D(spark, sf_dir).select("sku_id", *[v.alias(k) for k, v in X.band_flags(n, X.CHAR_BANDS, "title_clen_band").items()])
 
 
+DESC_SQL = r"lower(regexp_replace(coalesce(short_description, ''), '<[^\n]*?>', '', 'g'))"
+
+
+def _desc():
+    return F.lower(X.clean_html(F.coalesce("short_description", F.lit(""))))
+
+
+@query("t20_length_band_flags_words_description", oracle=views("d") + "select sku_id, " + _band_sql(
+    f"len(string_split({DESC_SQL}, ' '))", X.WORD_BANDS, "desc_len_band") + " from d")
+def t20_length_band_flags_words_description(spark, sf_dir):
+    """Word-count bands of the description."""
+    n = X.word_len_space(_desc())
+    return D(spark, sf_dir).select("sku_id", *[v.alias(k) for k, v in X.band_flags(n, X.WORD_BANDS, "desc_len_band").items()])
+
+
+@query("t21_length_band_flags_chars_description", oracle=views("d") + "select sku_id, " + _band_sql(
+    f"length({DESC_SQL})", X.CHAR_BANDS, "desc_clen_band") + " from d")
+def t21_length_band_flags_chars_description(spark, sf_dir):
+    """Character-count bands of the description."""
+    n = F.length(_desc())
+    return D(spark, sf_dir).select("sku_id", *[v.alias(k) for k, v in X.band_flags(n, X.CHAR_BANDS, "desc_clen_band").items()])
+
+
 @query("t22_length_histogram_bin", oracle=views("d") + """
 , m as (select max(len(string_split(title, ' '))) as mw, max(length(title)) as mc from d)
 select sku_id,

@@ -165,7 +165,8 @@ def m11_multilayer_perceptron(spark, sf_dir):
 @query("m12_importance_select")
 def m12_importance_select(spark, sf_dir):
     """Forest importances per feature, and whether the feature is kept
-    (importance >= mean); the kept slice feeds later models."""
+    (importance >= mean). No query fits a model on the kept slice yet;
+    ``models.slice_features`` cuts it."""
     train, _, names = model_tables(spark, sf_dir)
     kept, imp = MD.importance_select(train, LABEL, names)
     rows = [(n, float(v), int(i in kept), i) for i, (n, v) in enumerate(zip(names, imp))]

@@ -34,3 +34,12 @@ def test_query_matches_oracle(spark, name):
     dcols = [d[0] for d in cur.description]
     want = sorted(tuple(r[dcols.index(c)] for c in cols) for r in cur.fetchall())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["a5_group_word_totals_description", "a6_group_word_totals_log_description",
+                                  "a7_group_length_stats_description", "a17_value_counts_key_parts",
+                                  "t20_length_band_flags_words_description", "t21_length_band_flags_chars_description",
+                                  "g3_one_hot_block_description", "g5_leave_one_out_encode_cat_title_len",
+                                  "g5_leave_one_out_encode_conciseness"])
+def test_description_and_label_parts_match_their_oracles(spark, name):
+    test_query_matches_oracle(spark, name)
