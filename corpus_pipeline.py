@@ -33,7 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group the document with the smallest id stays, on
-    one row if rows repeat it. Rows with a null id are in no group and stay.
+    one row if rows repeat it, the first by the text's digest and then by
+    the other columns. Rows with a null id are in no group and stay.
 
     The ids that go are few next to the documents; they are broadcast while
     they take at most BROADCAST_BYTES, else joined by id."""
@@ -43,7 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
     stays = found.filter("doc_id = component_id")
     if not stays.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(out.filter("doc_id is null"))
+        row = F.struct(*map(quoted, docs.columns))
+        first = F.min_by(row, F.struct(F.sha2(F.col("text").cast("binary"), 256), F.to_json(row))).alias("row")
+        out = (out.filter("doc_id is not null").groupBy("doc_id").agg(first).select("row.*")
+               .union(out.filter("doc_id is null")))
     return out
 
 

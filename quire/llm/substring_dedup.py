@@ -100,6 +100,11 @@ def _anchor_rows(window: int, group: int, field: str):
     return run
 
 
+def of_text(raw: bytes) -> int:
+    """What tells the texts of one id apart: 64 bits, as a Spark long."""
+    return int.from_bytes(xxhash.xxh64_digest(raw), "big", signed=True)
+
+
 def _passages(window: int, group: int, field: str, remembered: int):
     """The passages around shared anchors. A passage that a smaller document
     of this task holds too is answered here; it travels without its words
@@ -107,7 +112,7 @@ def _passages(window: int, group: int, field: str, remembered: int):
     def run(batches):
         first: dict[bytes, int] = {}
         for b in slices(batches):
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             anchored = _anchored(b.column("row").field(field), window, group)
             for doc, (raw, places, anchors), shared, hot in zip(b.column("id").to_pylist(), anchored,
                                                                 b.column("shared").to_pylist(), b.column("hot").to_pylist()):
@@ -119,26 +124,27 @@ def _passages(window: int, group: int, field: str, remembered: int):
                 known = split | np.isin(anchors, np.array(shared or [], np.int64).view(np.uint64))
                 new = np.ones(len(anchors), bool)
                 new[1:] = (anchors[1:] != anchors[:-1]) | split[1:]
-                starts = np.flatnonzero(new)
+                starts, own_text = np.flatnonzero(new), of_text(raw)
                 ends = np.append(starts[1:], len(anchors))
                 for s, e in zip(starts[known[starts]].tolist(), ends[known[starts]].tolist()):
                     own = b" ".join(raw[places[s]:places[e + window - 1]].split())
                     digest = hashlib.blake2b(own, digest_size=16).digest()
                     least = first.get(digest)
                     if least is not None and least < doc:
-                        row = (xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True)), doc, s, e - s, None)
+                        row = (xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True)), doc, s, e - s, None, own_text)
                     else:
                         if len(first) >= remembered:
                             first.clear()
                         first[digest] = doc
                         key = int.from_bytes(digest[:8], "little") if split[s] else int(anchors[s])
-                        row = (key, doc, s, e - s, own)
+                        row = (key, doc, s, e - s, own, own_text)
                     for c, v in zip(out, row):
                         c.append(v)
             key = np.array(out[0], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                              pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
-                                             ["key", "id", "start", "n", "words"])
+                                              pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()),
+                                              pa.array(out[5], pa.int64())],
+                                             ["key", "id", "start", "n", "words", "of"])
     return run
 
 
@@ -219,10 +225,10 @@ def _matched(window: int):
         key = doc = None
         automaton, pending = Automaton(), []
         for b in slices(batches, 2048):
-            ids, lows, highs = [], [], []
-            for k, d, start, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+            ids, ofs, lows, highs = [], [], [], []
+            for k, d, start, n, raw, of in zip(*(c.to_pylist() for c in b.columns)):
                 if raw is None:
-                    ids.append(d), lows.append(start), highs.append(start + n + window - 1)
+                    ids.append(d), ofs.append(of), lows.append(start), highs.append(start + n + window - 1)
                     continue
                 if k != key:
                     key, doc, automaton, pending = k, d, Automaton(), []
@@ -233,11 +239,11 @@ def _matched(window: int):
                 words = raw.split(b" ")
                 hits = [x >= window for x in automaton.statistics(words)[window - 1:]]
                 for low, high in spans_of(hits, start, window):
-                    ids.append(d), lows.append(low), highs.append(high)
+                    ids.append(d), ofs.append(of), lows.append(low), highs.append(high)
                 if not all(hits):
                     pending.append(words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lows, pa.int32()),
-                                              pa.array(highs, pa.int32())], ["id", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ofs, pa.int64()), pa.array(lows, pa.int32()),
+                                              pa.array(highs, pa.int32())], ["id", "of", "low", "high"])
     return run
 
 
@@ -261,8 +267,10 @@ def _cleaned(window: int, field: str):
                 n = len(text.split())
                 n_words.append(n)
                 gone = np.zeros(n, bool)
+                own_text = of_text(text) if spans and n >= window else None
                 for s in (spans or ()) if n >= window else ():
-                    gone[s["low"]:s["high"]] = True
+                    if s["of"] is None or s["of"] == own_text:
+                        gone[s["low"]:s["high"]] = True
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2).tolist()
                 removed.append([{"low": x, "high": y} for x, y in edges])
                 clean.append((cut(text, gone) if edges else text).decode())
@@ -292,7 +300,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A word is removed if it is covered by a window of ``window`` words whose
     sequence also starts in a document with a smaller id; windows are judged
     on the input. Null, empty and short texts have no window. Rows that
-    repeat an id are one document and don't remove each other's words. A row
+    repeat an id are one document and don't remove each other's words; each of
+    its texts loses its own repeats only. A row
     with a null id removes nothing and loses nothing. An empty table gives an
     empty table. Results replace input columns of their names."""
     ready(docs.sparkSession)
@@ -309,14 +318,14 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("shared"),
         F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("hot"))
     passages = work.join(of_doc, "id").select("id", "row", "shared", "hot").mapInArrow(
-        _passages(window, group, text, remembered), "key long, id long, start int, n int, words binary")
+        _passages(window, group, text, remembered), "key long, id long, start int, n int, words binary, of long")
     spans = (passages.repartition("key").sortWithinPartitions("key", F.col("words").isNull(), "id", "start")
-             .mapInArrow(_matched(window), "id long, low int, high int")
-             .union(copies.select("id", F.lit(0), F.lit(2**31 - 1)))
-             .groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+             .mapInArrow(_matched(window), "id long, of long, low int, high int")
+             .union(copies.select("id", F.lit(None).cast("long"), F.lit(0), F.lit(2**31 - 1)))
+             .groupBy("id").agg(F.collect_list(F.struct("of", "low", "high")).alias("spans")))
     row = work.schema["row"].dataType.simpleString()
     spanned = work.join(spans, "id", "left").select("row", "spans").union(
-        everything.filter("id is null").select("row", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans")))
+        everything.filter("id is null").select("row", F.lit(None).cast("array<struct<of:bigint,low:int,high:int>>").alias("spans")))
     cleaned = spanned.mapInArrow(
         _cleaned(window, text), f"row {row}, n_words long, n_removed long, removed array<struct<low:int,high:int>>, clean_text string")
     return unpacked(cleaned, docs.columns, RESULTS)

@@ -287,6 +287,30 @@ def test_substrings(spark, docs, hot, remembered):
         assert r["n_words"] - r["n_removed"] == len(want[r["doc_id"]])
 
 
+def test_texts_of_one_id_keep_their_own_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    shared, lone = " ".join(words), " ".join(f"u{i}" for i in range(60))
+    late = " ".join([f"v{i}" for i in range(30)] + words[:20] + ["z"] * 5)
+    rows = spark.createDataFrame([(1, shared), (2, shared + " end"), (2, lone), (2, lone), (3, late), (3, lone + " tail"),
+                                  (4, late)], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): (r["n_removed"], r["clean_text"].split()) for r in substring_dedup.substring_dedup(rows).collect()}
+    assert got[2, lone] == (0, lone.split()) and got[2, shared + " end"] == (60, ["end"])
+    assert got[3, late] == (20, late.split()[:30] + ["z"] * 5) and got[3, lone + " tail"] == (60, ["tail"])
+    assert got[1, shared][0] == 0 and got[4, late] == (55, [])
+
+
+def test_near_dedup_keeps_the_same_row_of_an_id(spark):
+    rows = [(7, PROSE, "b"), (7, "some other text " * 9, "a"), (7, PROSE, "a"), (8, "x y z " * 30, "c")]
+    rows = [(d, t, "en", s, len(t)) for d, t, s in rows]
+    kept = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        out = corpus_pipeline.near_dedup(spark, df, SF_SMALL)
+        assert out.columns == df.columns
+        kept.add(tuple(sorted(tuple(r) for r in out.collect())))
+    assert len(kept) == 1 and [r[0] for r in kept.pop()] == [7, 8]
+
+
 def test_automaton():
     rng = np.random.default_rng(3)
     held = [[b"%d" % w for w in rng.integers(0, 4, 30)] for _ in range(6)]
