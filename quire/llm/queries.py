@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, html_text
+from quire.llm import bwt_dedup, chat, html_text
+from quire.llm import collocations as phrases
 from quire.llm import decontaminate as benchmark
 from quire.llm import packing
 from quire.llm import quality_classifier, toxicity
@@ -14,6 +15,7 @@ from quire.llm import quality_rules as quality
 from quire.llm import simhash
 from quire.llm import substring_dedup as substrings
 from quire.llm import url_filter as urls
+from quire.llm import whitening
 from quire.sources.tables import table
 
 #: The rules that the url query applies.
@@ -176,3 +178,75 @@ from whole where p not in (select p from prefixes where nth < n)
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal conversation, rendered."""
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the four leading components, whitened."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error",
+                      F.posexplode(F.arrays_zip("whitened", "explained"))).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error")
+
+
+PHRASE_SQL = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+words as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+total as (select lang, sum(len(w))::bigint as n from words group by lang),
+grams as (
+  select lang, w[i:i + m - 1] as g from (
+    select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from words, (select unnest([1, 2, 3, 4]) as m))),
+f as (select lang, g, count(*) as a from grams group by lang, g),
+cand as (select lang, g, a from f where len(g) > 1 and a >= 30),
+cuts as (select lang, g, a, k, g[1:k] as first, g[k + 1:] as rest from (select *, unnest(range(1, len(g))) as k from cand)),
+scored as (
+  select c.lang, c.g, c.a, k, x.a as l, y.a as r, ((2000000::hugeint * c.a) // (x.a + y.a))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.g = c.first join f y on y.lang = c.lang and y.g = c.rest),
+worst as (select *, row_number() over (partition by lang, g order by score, k) as nth from scored),
+parts as (
+  select lang, a, g[s:s + m - 1] as g from (
+    select lang, a, g, m, unnest(range(1, len(g) - m + 2)) as s from cand, (select unnest([2, 3]) as m) where m < len(g))),
+longer as (select lang, g, max(a) as most from parts group by lang, g),
+held as (
+  select w.lang, array_to_string(w.g, ' ') as phrase, w.a, l, r, score
+  from worst w left join longer using (lang, g) where nth = 1 and (most is null or 100 * most < 80 * w.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from held)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
+"""
+
+
+@query(PHRASE_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+BYTES_SQL = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+  select doc_id, i, substr(h, 2 * i + 1, 100) as w from (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as i from t)),
+firsts as (select w, min(doc_id) as least from windows group by w),
+hits as (select distinct doc_id, i from windows join firsts using (w) where least < doc_id),
+steps as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 50, true)::int as fresh from hits),
+runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from steps),
+spans as (select doc_id, min(i) as low, max(i) + 50 as high from runs group by doc_id, run),
+between_spans as (
+  select doc_id, coalesce(lag(high) over (partition by doc_id order by low), 0) as s, low as e from spans
+  union all select t.doc_id, coalesce(max(high), 0), any_value(length(h)) // 2 from t left join spans using (doc_id) group by t.doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' order by s) as k
+         from between_spans join t using (doc_id) group by doc_id),
+sums as (select doc_id, sum(high - low)::bigint as n_removed, count(*) as n_spans from spans group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(k)) as kept_sha256
+from t join kept using (doc_id) left join sums using (doc_id)
+"""
+
+
+@query(BYTES_SQL)
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the bytes that repeat strings of earlier ones."""
+    out = bwt_dedup.bwt_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
