@@ -26,12 +26,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import quoted, ready, texts, unpacked
 
 WINDOW = 50
 #: Bytes of an anchor.
-GROUP = 20
+GROUP = 30
 #: Text of one part of the documents, and of the anchors that one task compares.
 PART_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
@@ -254,11 +255,12 @@ def _stretches(window: int, group: int, field: str, bits: int):
                 new[1:] = ((k[1:] != k[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (owner[at][1:] != owner[at][:-1])
                            | (use[1:] != use[:-1]) | (kind[at][1:] != kind[at][:-1]))
                 cut = np.flatnonzero(new)
+                of = {x: of_text(own[x][1]) for x in np.unique(k).tolist()}
                 for s, e in zip(cut.tolist(), np.append(cut[1:], len(k)).tolist()):
                     raw, low, high = own[int(k[s])][1], int(start[s]), int(start[e - 1] + n[e - 1])
                     for c in range(int(use[s])) if mine[s] else [int(use[s])]:
                         shard = xxhash.xxh64_intdigest(b"%d %d" % (owner[at[s]], c)) - (1 << 63)
-                        out.append((shard, int(mine[s]), int(doc[s]), of_text(raw), part, low, high - low, int(kind[at[s]]),
+                        out.append((shard, int(mine[s]), int(doc[s]), of[int(k[s])], part, low, high - low, int(kind[at[s]]),
                                     raw[low:high + window - 1]))
             if len(out) > 4096:
                 tables.append(_emitted(out))
@@ -268,21 +270,30 @@ def _stretches(window: int, group: int, field: str, bits: int):
 
 
 # ------------------------------------------------------------------ the transform
+def _sorted(keys: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys); keys that leave room carry their place, so that
+    values are sorted, which is faster than sorting places."""
+    bits = np.uint64(len(keys).bit_length())
+    if key_bits + int(bits) > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort((keys << bits) | np.arange(len(keys), dtype=np.uint64))
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
+
+
 def sorted_suffixes(sym: np.ndarray, depth: int) -> np.ndarray:
     """Cyclic suffixes in the order of their first ``depth`` symbols or more
-    (symbols under 512), by doubling from seven packed symbols."""
-    packed = np.zeros(len(sym), np.uint64)
-    for j in range(7):
+    (symbols under 512), by doubling from four packed symbols."""
+    packed, bits, reach = np.zeros(len(sym), np.uint64), len(sym).bit_length(), 4
+    for j in range(reach):
         packed = (packed << np.uint64(9)) | np.roll(sym, -j).astype(np.uint64)
-    reach = 7
+    order, values = _sorted(packed, 36)
     while True:
-        order = np.argsort(packed)
-        values = packed[order]
         rank = np.empty(len(sym), np.uint64)
         rank[order] = np.cumsum(np.append(False, values[1:] != values[:-1])).astype(np.uint64)
         if reach >= depth or rank[order[-1]] == len(sym) - 1:
             return order
-        packed = (rank << np.uint64(32)) | np.roll(rank, -reach)
+        order, values = _sorted((rank << np.uint64(bits)) | np.roll(rank, -reach), 2 * bits)
         reach *= 2
 
 
@@ -316,9 +327,8 @@ def boundaries(sym: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
             which = np.repeat(np.arange(len(low)), size)
             runs = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
             begin, end = np.maximum(run_start[runs], low[which]), np.minimum(run_end[runs], high[which])
-            key = (which << 9) | bwt[begin]
-            by = np.argsort(key, kind="stable")
-            edge = np.append(True, key[by][1:] != key[by][:-1])
+            by, key = _sorted((which.astype(np.uint64) << np.uint64(9)) | bwt[begin], len(low).bit_length() + 9)
+            edge = np.append(True, key[1:] != key[:-1])
             lows.append(rank[begin[by[edge]]])
             highs.append(rank[end[by[np.append(edge[1:], True)]]])
         low, high = np.concatenate(lows), np.concatenate(highs)
@@ -397,28 +407,38 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _row_spans(flags: list[np.ndarray]):
+    """(row, start, end) of the runs of true flags of each row."""
+    sizes = np.array([len(f) + 1 for f in flags])
+    begin = np.cumsum(sizes) - sizes
+    found = spans(np.concatenate([x for f in flags for x in (f, [False])]))
+    rows = np.searchsorted(begin, [s for s, _ in found], "right") - 1
+    return [(r, s - at, e - at) for (s, e), r, at in zip(found, rows.tolist(), begin[rows].tolist())]
+
+
 def _round_one(window: int, group: int, shard: int):
     """Stretches against their owner's: repeats come out without a body,
     windows still open with one, keyed by their anchor (whole windows by
     their own hash where the anchor is hot)."""
     def run(batches):
         for rows, found in _sharded(batches, window, shard, lambda r: r["ref"]):
-            out = []
-            for r, f in zip(rows, found):
-                if r["ref"]:
-                    continue
-                same = (0, r["id"], r["of"], r["part"])
-                spread = xxhash.xxh64_intdigest(b"%d" % r["id"]) - (1 << 63)
-                out += [(spread, *same, r["start"] + s, e - s, r["kind"], None) for s, e in spans(f)]
-                for s, e in spans(~f) if r["kind"] != PAIR else ():
-                    body = r["body"][s:e + window - 1]
-                    if r["kind"] == HOT:
-                        keys = gram_hashes(np.frombuffer(body, np.uint8), window).view(np.int64).tolist()
-                        out += [(k, *same, r["start"] + s + i, 1, HOT, body[i:i + window]) for i, k in enumerate(keys)]
-                    else:
-                        for _, at, n, anchor in anchor_runs([body], window, group):
-                            out += [(k, *same, r["start"] + s + i, m, MANY, body[i:i + m + window - 1])
-                                    for k, i, m in zip(anchor.view(np.int64).tolist(), at.tolist(), n.tolist())]
+            keep = [i for i, r in enumerate(rows) if not r["ref"]]
+            rows, found = [rows[i] for i in keep], [found[i] for i in keep]
+            if not rows:
+                continue
+            same = [(0, r["id"], r["of"], r["part"]) for r in rows]
+            out = [(xxhash.xxh64_intdigest(b"%d" % rows[i]["id"]) - (1 << 63), *same[i], rows[i]["start"] + s, e - s, rows[i]["kind"], None)
+                   for i, s, e in _row_spans(found)]
+            left = [(i, s, rows[i]["body"][s:e + window - 1]) for i, s, e in _row_spans([~f for f in found])
+                    if rows[i]["kind"] != PAIR]
+            for i, s, body in left:
+                if rows[i]["kind"] == HOT:
+                    keys = gram_hashes(np.frombuffer(body, np.uint8), window).view(np.int64).tolist()
+                    out += [(k, *same[i], rows[i]["start"] + s + j, 1, HOT, body[j:j + window]) for j, k in enumerate(keys)]
+            left = [x for x in left if rows[x[0]]["kind"] != HOT]
+            for k, at, n, anchor in anchor_runs([body for _, _, body in left], window, group):
+                for (i, s, body), key, j, m in zip((left[x] for x in k.tolist()), anchor.view(np.int64).tolist(), at.tolist(), n.tolist()):
+                    out.append((key, *same[i], rows[i]["start"] + s + j, m, MANY, body[j:j + m + window - 1]))
             yield from _emitted(out).to_batches()
     return run
 
@@ -440,7 +460,7 @@ def _round_two(window: int, shard: int):
                 yield _spans_of(closed.pop().to_pylist(), window)
         for rows, found in _sharded(still_open(), window, shard, lambda r: True):
             yield from of_round_one()
-            yield _spans_of([r | {"start": r["start"] + s, "n": e - s} for r, f in zip(rows, found) for s, e in spans(f)], window)
+            yield _spans_of([rows[i] | {"start": rows[i]["start"] + s, "n": e - s} for i, s, e in _row_spans(found)], window)
         yield from of_round_one()
     return run
 
@@ -504,7 +524,6 @@ def bwt_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
     bits = max(4, (size // bucket_bytes).bit_length())
     work = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(doc_id).cast("long").alias("id")) \
         .select("row", "id", F.pmod(F.xxhash64("id", F.col("row").getField(text)), F.lit(parts)).cast("int").alias("part"))
-    row = work.schema["row"].dataType.simpleString()
     packed = "n int, body binary"
     held = work.groupBy("part").applyInArrow(_part_anchors(window, group, text, bits), f"bucket int, part int, {packed}")
     shared = held.groupBy("bucket").applyInArrow(_shared_anchors(hot_docs, parts_of_owner), f"part int, bucket int, {packed}")
@@ -513,7 +532,8 @@ def bwt_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
              .mapInArrow(_round_one(window, group, shard), _ROW_SQL))
     gone = (first.repartition("key").sortWithinPartitions("key", "id")
             .mapInArrow(_round_two(window, shard), "part int, id long, of long, low long, high long"))
+    results = T.StructType.fromDDL(
+        "n_bytes long, n_removed long, n_spans long, removed array<struct<low:bigint,high:bigint>>, kept binary")
     cleaned = work.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(
-        _cleaned(window, text),
-        f"row {row}, n_bytes long, n_removed long, n_spans long, removed array<struct<low:bigint,high:bigint>>, kept binary")
+        _cleaned(window, text), T.StructType([work.schema["row"], *results.fields]))
     return unpacked(cleaned, docs.columns, RESULTS)
