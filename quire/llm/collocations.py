@@ -22,6 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ MAX_GROUPS = 4096
 #: Bits of the filter of frequent words.
 FILTER_BITS = 1 << 25
 #: Bytes of text that are counted at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 RESULTS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 #: Between the words of a key: below any byte of a word, so that a prefix
@@ -134,26 +135,47 @@ def suffix_counts(numbers: np.ndarray, depth: int, starts: np.ndarray) -> tuple[
     return distinct, np.bincount(code, minlength=len(distinct))
 
 
-def _suffixes(depth: int, bitmap: bytes, heavy: set | None):
+def _joined(words: list[bytes], rows: np.ndarray) -> pa.Array:
+    """The keys of rows of word numbers; 0 is no word."""
+    pool = pa.array([None, *words[1:]], pa.binary())
+    return pc.binary_join_element_wise(*(pool.take(pa.array(c)) for c in rows.T), SEP.encode(), null_handling="skip")
+
+
+def _suffixes(depth: int, bitmap: bytes, heavy: set | None, borders: list[tuple[bytes, bytes]] | None = None):
     """Counts of the suffixes of each chunk, cut off at ``depth``; with
-    ``heavy``, of those that start with one of these (lang, key) alone."""
+    ``heavy``, of those that start with one of these (lang, key) alone; with
+    ``borders``, with the group of their prefix."""
     firsts = None if heavy is None else {(lang, key.split(SEP)[0].encode()) for lang, key in heavy}
     bits = 8 * len(bitmap)
 
+    def group_of(lang: bytes, key: bytes) -> int:
+        return max(0, bisect_right(borders, (lang, key)) - 1)
+
     def run(batches):
         for lang, text in _chunks(batches):
             numbers, words = _numbered(text)
-            at = [filter_bit(lang, w, bits) for w in words]
-            frequent = np.array([n > 0 and bool(bitmap[b >> 3] >> (b & 7) & 1) for n, b in enumerate(at)])
+            at = np.array([filter_bit(lang, w, bits) for w in words])
+            frequent = (np.frombuffer(bitmap, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
+            frequent[0] = False
             numbers = np.where(frequent[numbers], numbers, 0)
             begin = frequent if firsts is None else frequent & np.array([(lang, w) in firsts for w in words])
             distinct, counts = suffix_counts(numbers, depth, np.flatnonzero(begin[numbers]))
-            rows = [[words[x] for x in row if x] for row in distinct.tolist()]
-            keys = [SEP.encode().join(r) for r in rows]
+            keys = _joined(words, distinct)
             if heavy is not None:
-                keep = [(lang, SEP.encode().join(r[:depth - 1]).decode()) in heavy for r in rows]
-                keys, counts = [k for k, ok in zip(keys, keep) if ok], counts[np.array(keep, bool)]
-            yield _table(lang, keys, counts)
+                keep = pa.array([(lang, k.decode()) in heavy for k in _joined(words, distinct[:, :depth - 1]).to_pylist()], pa.bool_())
+                keys, counts = keys.filter(keep), counts[keep.to_numpy(zero_copy_only=False)]
+            out = [pa.array([lang] * len(keys), pa.string()), keys.cast(pa.string()), pa.array(counts, pa.int64())]
+            if borders is not None:
+                # one group for all suffixes of a first word, but where a border lies among them
+                used = np.unique(distinct[:, 0])
+                low, high = np.zeros((2, len(words)), np.int64)
+                low[used] = [group_of(lang.encode(), words[w]) for w in used]
+                high[used] = [group_of(lang.encode(), words[w] + b"\x01\xff") for w in used]
+                group = low[distinct[:, 0]]
+                split = np.flatnonzero(group != high[distinct[:, 0]])
+                group[split] = [group_of(lang.encode(), k) for k in keys.take(pa.array(split)).to_pylist()]
+                out.insert(0, pa.array(group, pa.int32()))
+            yield pa.RecordBatch.from_arrays(out, ["grp", "lang", "key", "n"][4 - len(out):])
     return run
 
 
@@ -173,16 +195,6 @@ def _borders(budget: int):
     return run
 
 
-def _grouped(depth: int, bitmap: bytes, borders: list[tuple[bytes, bytes]]):
-    """Suffix counts with the group of their prefix."""
-    def run(batches):
-        for b in _suffixes(depth, bitmap, None)(batches):
-            lang = b.column("lang")[0].as_py().encode() if b.num_rows else b""
-            group = [max(0, bisect_right(borders, (lang, k)) - 1) for k in b.column("key").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *b.columns], ["grp", *b.schema.names])
-    return run
-
-
 def _subtrees(depth: int, min_count: int, heavy: set):
     """Nodes of the subtrees from sorted suffixes: a node begins where the
     first words change, and its frequency is the sum of its leaves. Heavy
@@ -192,15 +204,18 @@ def _subtrees(depth: int, min_count: int, heavy: set):
         for b in batches:
             out = []
             words, n = b.column("words").to_numpy(), b.column("n").to_numpy()
-            langs = b.column("lang").to_pylist()
             for d in range(depth):
                 rows = np.flatnonzero(words > d)
                 if not len(rows):
                     continue
-                keys = b.column(f"p{d + 1}").take(pa.array(rows)).to_pylist()
-                at = [0] + [i for i in range(1, len(rows)) if keys[i] != keys[i - 1] or langs[rows[i]] != langs[rows[i - 1]]]
-                sums = np.add.reduceat(n[rows], at).tolist()
-                nodes = [(langs[rows[i]], keys[i], s) for i, s in zip(at, sums)]
+                keys, langs = (b.column(c).take(pa.array(rows)) for c in (f"p{d + 1}", "lang"))
+                new = pc.or_(*(pc.not_equal(c.slice(1), c.slice(0, len(rows) - 1)) for c in (keys, langs)))
+                at = np.append(0, np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1)
+                sums = np.add.reduceat(n[rows], at)
+                # the first and the last node may go on in other batches
+                show = np.union1d(np.flatnonzero(sums >= min_count), [0, len(at) - 1])
+                own = pa.array(at[show])
+                nodes = list(zip(langs.take(own).to_pylist(), keys.take(own).to_pylist(), sums[show].tolist()))
                 if open_[d] and open_[d][:2] == nodes[0][:2]:
                     nodes[0] = (*nodes[0][:2], nodes[0][2] + open_[d][2])
                 elif open_[d]:
@@ -271,7 +286,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", depth
                      .mapInArrow(_borders(budget), "lang string, key string").collect())
 
     above = {(x[0], x[1]) for x in heavy}
-    suffixes = work.mapInArrow(_grouped(depth, bitmap, borders), "grp int, " + _KEY_SQL)
+    suffixes = work.mapInArrow(_suffixes(depth, bitmap, None, borders), "grp int, " + _KEY_SQL)
     leaves = suffixes.repartitionById(max(1, len(borders)), F.col("grp")).sortWithinPartitions("lang", "key")
     cut = [F.substring_index("key", SEP, d).alias(f"p{d}") for d in range(1, depth + 1)]
     nodes = leaves.select("lang", "n", F.size(F.split("key", SEP)).alias("words"), *cut).mapInArrow(
