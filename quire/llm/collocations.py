@@ -7,8 +7,8 @@ order share a group while their occurrences fit its budget. Every suffix of
 a piece, cut off at the depth, goes to the group of its prefix; a group's
 suffixes are sorted and form the subtrees below its prefixes, whose nodes
 are the phrases and whose leaf totals add up to their frequencies. Groups
-know nothing of each other; prefixes above them have their counts from the
-partitioning.
+know nothing of each other; single words and prefixes above the groups have
+their counts from the partitioning.
 
 Only words that are frequent enough themselves can be part of a candidate.
 They are kept in a bitmap of fixed size, hashed: a rare word that shares a
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import quoted, ready, texts, written
+from quire.llm.common import conf, quoted, ready, slices, texts, written
 
 DEPTH = 4
 MIN_COUNT = 30
@@ -43,6 +43,8 @@ MAX_GROUPS = 4096
 FILTER_BITS = 1 << 25
 #: Bytes of text that are counted at once.
 CHUNK = 4 << 20
+#: Sorted suffixes of an Arrow batch.
+LEAVES = 1 << 14
 RESULTS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 #: Between the words of a key: below any byte of a word, so that a prefix
@@ -69,7 +71,7 @@ def _pieces(raw: bytes) -> bytes:
 def _chunks(batches):
     """(lang, text) with whole pieces only, of about CHUNK bytes."""
     held, size = defaultdict(list), defaultdict(int)
-    for b in batches:
+    for b in slices(batches):
         for lang, raw in zip(b.column("lang").to_pylist(), texts(b.column("text"))):
             raw = _pieces(raw)
             while raw:
@@ -142,7 +144,8 @@ def _joined(words: list[bytes], rows: np.ndarray) -> pa.Array:
 
 
 def _suffixes(depth: int, bitmap: bytes, heavy: set | None, borders: list[tuple[bytes, bytes]] | None = None):
-    """Counts of the suffixes of each chunk, cut off at ``depth``; with
+    """Counts of the suffixes of two words and more of each chunk, cut off at
+    ``depth``; with
     ``heavy``, of those that start with one of these (lang, key) alone; with
     ``borders``, with the group of their prefix."""
     firsts = None if heavy is None else {(lang, key.split(SEP)[0].encode()) for lang, key in heavy}
@@ -159,7 +162,7 @@ def _suffixes(depth: int, bitmap: bytes, heavy: set | None, borders: list[tuple[
             frequent[0] = False
             numbers = np.where(frequent[numbers], numbers, 0)
             begin = frequent if firsts is None else frequent & np.array([(lang, w) in firsts for w in words])
-            distinct, counts = suffix_counts(numbers, depth, np.flatnonzero(begin[numbers]))
+            distinct, counts = suffix_counts(numbers, depth, np.flatnonzero(begin[numbers] & (np.append(numbers[1:], 0) > 0)))
             keys = _joined(words, distinct)
             if heavy is not None:
                 keep = pa.array([(lang, k.decode()) in heavy for k in _joined(words, distinct[:, :depth - 1]).to_pylist()], pa.bool_())
@@ -195,35 +198,54 @@ def _borders(budget: int):
     return run
 
 
+def shared_words(keys: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its number of words, and how many of its first words the
+    key before it has too."""
+    lists = pc.split_pattern(keys, SEP)
+    start = lists.offsets.to_numpy()
+    size, words = np.diff(start), lists.values
+    shared, same = np.zeros(len(keys), np.int64), np.append(False, np.ones(len(keys) - 1, bool))
+    for d in range(depth):
+        same &= size > d
+        same[1:] &= size[:-1] > d
+        at = np.flatnonzero(same)
+        same[at] = pc.equal(words.take(pa.array(start[at] + d)), words.take(pa.array(start[at - 1] + d))).to_numpy(zero_copy_only=False)
+        shared[same] = d + 1
+    return size, shared
+
+
 def _subtrees(depth: int, min_count: int, heavy: set):
-    """Nodes of the subtrees from sorted suffixes: a node begins where the
-    first words change, and its frequency is the sum of its leaves. Heavy
-    prefixes stand above several groups and are left out."""
+    """Nodes of two words and more of the subtrees from sorted suffixes: a
+    node begins where its words change, and its frequency is the sum of its
+    leaves. Heavy prefixes stand above several groups and are left out."""
     def run(batches):
-        open_: list[tuple | None] = [None] * depth
+        open_: dict[str, list[tuple | None]] = defaultdict(lambda: [None] * depth)
         for b in batches:
             out = []
-            words, n = b.column("words").to_numpy(), b.column("n").to_numpy()
-            for d in range(depth):
-                rows = np.flatnonzero(words > d)
-                if not len(rows):
-                    continue
-                keys, langs = (b.column(c).take(pa.array(rows)) for c in (f"p{d + 1}", "lang"))
-                new = pc.or_(*(pc.not_equal(c.slice(1), c.slice(0, len(rows) - 1)) for c in (keys, langs)))
-                at = np.append(0, np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1)
-                sums = np.add.reduceat(n[rows], at)
-                # the first and the last node may go on in other batches
-                show = np.union1d(np.flatnonzero(sums >= min_count), [0, len(at) - 1])
-                own = pa.array(at[show])
-                nodes = list(zip(langs.take(own).to_pylist(), keys.take(own).to_pylist(), sums[show].tolist()))
-                if open_[d] and open_[d][:2] == nodes[0][:2]:
-                    nodes[0] = (*nodes[0][:2], nodes[0][2] + open_[d][2])
-                elif open_[d]:
-                    nodes.insert(0, open_[d])
-                open_[d] = nodes.pop()
-                out += [(*x, d + 1) for x in nodes if x[2] >= min_count and x[:2] not in heavy]
+            for lang in b.column("lang").unique().to_pylist():
+                own = b.filter(pc.equal(b.column("lang"), lang))
+                keys, n = own.column("key"), own.column("n").to_numpy()
+                size, shared = shared_words(keys, depth)
+                for d in range(1, depth):
+                    rows = np.flatnonzero(size > d)
+                    if not len(rows):
+                        continue
+                    at = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1] + 1) | (shared[rows[1:]] <= d)))
+                    sums = np.add.reduceat(n[rows], at)
+                    # the first and the last node may go on in other batches
+                    show = np.union1d(np.flatnonzero(sums >= min_count), [0, len(at) - 1])
+                    nodes = [(lang, SEP.join(k.split(SEP)[:d + 1]), s) for k, s in
+                             zip(keys.take(pa.array(rows[at[show]])).to_pylist(), sums[show].tolist())]
+                    last = open_[lang][d]
+                    if last and last[1] == nodes[0][1]:
+                        nodes[0] = (lang, last[1], nodes[0][2] + last[2])
+                    elif last:
+                        nodes.insert(0, last)
+                    open_[lang][d] = nodes.pop()
+                    out += [(*x, d + 1) for x in nodes if x[2] >= min_count and x[:2] not in heavy]
             yield _nodes(out)
-        yield _nodes([(*x, d + 1) for d, x in enumerate(open_) if x and x[2] >= min_count and x[:2] not in heavy])
+        yield _nodes([(*x, d + 1) for own in open_.values() for d, x in enumerate(own)
+                      if x and x[2] >= min_count and x[:2] not in heavy])
     return run
 
 
@@ -287,14 +309,15 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", depth
 
     above = {(x[0], x[1]) for x in heavy}
     suffixes = work.mapInArrow(_suffixes(depth, bitmap, None, borders), "grp int, " + _KEY_SQL)
-    leaves = suffixes.repartitionById(max(1, len(borders)), F.col("grp")).sortWithinPartitions("lang", "key")
-    cut = [F.substring_index("key", SEP, d).alias(f"p{d}") for d in range(1, depth + 1)]
-    nodes = leaves.select("lang", "n", F.size(F.split("key", SEP)).alias("words"), *cut).mapInArrow(
-        _subtrees(depth, min_count, above), "lang string, key string, n long, depth int")
+    leaves = suffixes.repartitionById(max(1, len(borders)), F.col("grp")).sortWithinPartitions("key")
+    nodes = leaves.select("lang", "key", "n").mapInArrow(_subtrees(depth, min_count, above),
+                                                         "lang string, key string, n long, depth int")
+    nodes = nodes.unionByName(frequent.withColumn("depth", F.lit(1)))
     if heavy:
         nodes = nodes.unionByName(spark.createDataFrame(heavy, "lang string, key string, n long, depth int")
-                                  .filter(F.col("n") >= min_count))
-    return totals, written(nodes, "phrases")
+                                  .filter((F.col("n") >= min_count) & (F.col("depth") > 1)))
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(LEAVES)):
+        return totals, written(nodes, "phrases")
 
 
 def _phrase(key):
