@@ -117,6 +117,20 @@ def _word_counts(batches):
         yield _table(lang, words[1:], counts[1:])
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and for each entry which it is. Codes
+    that leave room are sorted together with their place."""
+    bits = len(codes).bit_length()
+    if int(codes.max(initial=0)).bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True)
+    both = np.sort((codes << bits) | np.arange(len(codes)))
+    values = both >> bits
+    new = np.append(True, values[1:] != values[:-1])[:len(codes)]
+    which = np.empty(len(codes), np.int64)
+    which[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return values[new], which
+
+
 def suffix_counts(numbers: np.ndarray, depth: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct suffixes at ``starts``, cut off after ``depth`` words or
     before a 0 (rows of word numbers, filled with 0), and their counts."""
@@ -127,12 +141,12 @@ def suffix_counts(numbers: np.ndarray, depth: int, starts: np.ndarray) -> tuple[
     code, distinct, width = None, None, int(numbers.max(initial=0)) + 1
     for at in range(0, depth, 2):
         pair = cols[at] * width + (cols[at + 1] if at + 1 < depth else 0)
-        own, rank = np.unique(pair, return_inverse=True)
+        own, rank = _distinct(pair)
         rows = np.stack([own // width, own % width], axis=1)
         if code is None:
             code, distinct = rank, rows
             continue
-        both, code = np.unique(code * len(own) + rank, return_inverse=True)
+        both, code = _distinct(code * len(own) + rank)
         distinct = np.concatenate([distinct[both // len(own)], rows[both % len(own)]], axis=1)
     return distinct, np.bincount(code, minlength=len(distinct))
 
@@ -149,20 +163,32 @@ def _suffixes(depth: int, bitmap: bytes, heavy: set | None, borders: list[tuple[
     ``heavy``, of those that start with one of these (lang, key) alone; with
     ``borders``, with the group of their prefix."""
     firsts = None if heavy is None else {(lang, key.split(SEP)[0].encode()) for lang, key in heavy}
-    bits = 8 * len(bitmap)
+    bits, map_ = 8 * len(bitmap), np.frombuffer(bitmap, np.uint8)
 
     def group_of(lang: bytes, key: bytes) -> int:
         return max(0, bisect_right(borders, (lang, key)) - 1)
 
+    def border_within(lang: bytes, word: bytes, group: int) -> bool:
+        after = borders[group + 1] if group + 1 < len(borders) else (None, b"")
+        return after[0] == lang and after[1].startswith(word + b"\x01")
+
     def run(batches):
         for lang, text in _chunks(batches):
             numbers, words = _numbered(text)
-            at = np.array([filter_bit(lang, w, bits) for w in words])
-            frequent = (np.frombuffer(bitmap, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
+            used = np.ones(len(words), bool)
+            if firsts is not None:  # words of no heavy prefix and after none are not looked at
+                begin = np.array([(lang, w) in firsts for w in words])[numbers]
+                used[:] = False
+                for d in range(depth):
+                    used[numbers[d:][begin[:len(numbers) - d]]] = True
+            looked = np.flatnonzero(used)
+            at = np.array([filter_bit(lang, words[i], bits) for i in looked.tolist()], np.int64)
+            frequent = np.zeros(len(words), bool)
+            frequent[looked] = (map_[at >> 3] >> (at & 7) & 1).astype(bool)
             frequent[0] = False
             numbers = np.where(frequent[numbers], numbers, 0)
-            begin = frequent if firsts is None else frequent & np.array([(lang, w) in firsts for w in words])
-            distinct, counts = suffix_counts(numbers, depth, np.flatnonzero(begin[numbers] & (np.append(numbers[1:], 0) > 0)))
+            start = numbers > 0 if firsts is None else begin & (numbers > 0)
+            distinct, counts = suffix_counts(numbers, depth, np.flatnonzero(start & (np.append(numbers[1:], 0) > 0)))
             keys = _joined(words, distinct)
             if heavy is not None:
                 keep = pa.array([(lang, k.decode()) in heavy for k in _joined(words, distinct[:, :depth - 1]).to_pylist()], pa.bool_())
@@ -170,13 +196,13 @@ def _suffixes(depth: int, bitmap: bytes, heavy: set | None, borders: list[tuple[
             out = [pa.array([lang] * len(keys), pa.string()), keys.cast(pa.string()), pa.array(counts, pa.int64())]
             if borders is not None:
                 # one group for all suffixes of a first word, but where a border lies among them
-                used = np.unique(distinct[:, 0])
-                low, high = np.zeros((2, len(words)), np.int64)
-                low[used] = [group_of(lang.encode(), words[w]) for w in used]
-                high[used] = [group_of(lang.encode(), words[w] + b"\x01\xff") for w in used]
-                group = low[distinct[:, 0]]
-                split = np.flatnonzero(group != high[distinct[:, 0]])
-                group[split] = [group_of(lang.encode(), k) for k in keys.take(pa.array(split)).to_pylist()]
+                first = np.unique(distinct[:, 0]).tolist()
+                low, cut = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+                code = lang.encode()
+                low[first] = [group_of(code, words[w]) for w in first]
+                cut[first] = [border_within(code, words[w], low[w]) for w in first]
+                group, split = low[distinct[:, 0]], np.flatnonzero(cut[distinct[:, 0]])
+                group[split] = [group_of(code, k) for k in keys.take(pa.array(split)).to_pylist()]
                 out.insert(0, pa.array(group, pa.int32()))
             yield pa.RecordBatch.from_arrays(out, ["grp", "lang", "key", "n"][4 - len(out):])
     return run
