@@ -1,28 +1,38 @@
 """Distributed models on Spark ML.
 
-The driver only orchestrates: each fold's fit and transform are Spark ML
-jobs over the partitioned data. The training table is checkpointed once
-before the fold loop so the ten fits read materialised features instead
-of re-running the feature plan.
+The driver only orchestrates: each fold's fit and transform are Spark jobs
+over the partitioned data. The training table is written once before the
+fold loop so the fits read materialised features instead of re-running the
+feature plan; folds and seeds are fitted side by side from a bounded pool of
+threads, boosted trees of all folds in the same jobs.
 """
 
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.operators.boosting import HistogramBooster
 from quire.operators.joins import bounded, materialize
 
+#: Fits that run side by side.
+THREADS = 8
+#: Rows of a training table in one partition.
+ROWS_PER_TASK = 20_000
+_running = threading.local()
+
 #: (seed, rows it is fitted on) -> estimator
 EstimatorFactory = Callable[[int, int], Estimator]
 
@@ -56,31 +66,65 @@ def oof_predict(train: DataFrame, test: DataFrame | None, key: str, label: str,
     if not is_written:
         train, test = write_tables(train, test, key, label, fold_col, features)
     sizes = {r[fold_col]: r["n"] for r in train.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    oof, tst = [], []
-    for k in range(n_folds):
-        model = make(seed, sum(sizes.values()) - sizes.get(k, 0)).fit(train.where(F.col(fold_col) != k))
-        oof.append(positive_score(model.transform(train.where(F.col(fold_col) == k))).select(key, fold_col, "pred"))
-        if test is not None:
-            tst.append(positive_score(model.transform(test)).select(key, F.lit(k).alias("_k"), "pred"))
-    oof_df = reduce(DataFrame.unionByName, oof)
-    if not tst:
+    fits = [make(seed, sum(sizes.values()) - sizes.get(k, 0)) for k in range(n_folds)]
+    together = fits[0].fit_folds(train, fold_col, n_folds) if hasattr(fits[0], "fit_folds") else None
+
+    def fold(k: int) -> tuple[DataFrame, DataFrame | None]:
+        model = together[k] if together else fits[k].fit(train.where(F.col(fold_col) != k))
+        own = positive_score(model.transform(train.where(F.col(fold_col) == k))).select(key, fold_col, "pred")
+        if test is None:
+            return materialize(own, "oof"), None
+        return materialize(own, "oof"), materialize(positive_score(model.transform(test)).select(key, F.lit(k).alias("_k"), "pred"), "oof")
+
+    parts = concurrently(train.sparkSession, [partial(fold, k) for k in range(n_folds)])
+    oof_df = reduce(DataFrame.unionByName, [p[0] for p in parts])
+    if test is None:
         return oof_df, None
-    return oof_df, reduce(DataFrame.unionByName, tst).groupBy(key).agg(F.avg("pred").alias("pred"))
+    return oof_df, reduce(DataFrame.unionByName, [p[1] for p in parts]).groupBy(key).agg(F.avg("pred").alias("pred"))
+
+
+def concurrently(spark: SparkSession, tasks: list[Callable], threads: int = THREADS) -> list:
+    """The results of ``tasks``, run from a bounded pool of threads that share
+    the session, each in a scheduler pool of its own: small jobs of
+    independent fits fill the executors together. Inside such a thread,
+    further tasks run one after the other."""
+    if getattr(_running, "inside", False) or len(tasks) < 2:
+        return [t() for t in tasks]
+
+    def run(i: int):
+        _running.inside = True
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % threads}")
+        try:
+            return tasks[i]()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            _running.inside = False
+    with ThreadPoolExecutor(min(threads, len(tasks))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), range(len(tasks))))
 
 
 def write_tables(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_col: str,
                  features: str = "features") -> tuple[DataFrame, DataFrame | None]:
     """The score tables (key, label, fold, vector) and (key, vector), written."""
-    return (materialize(train.select(key, label, fold_col, features)),
-            None if test is None else materialize(test.select(key, features)))
+    return (by_rows(materialize(train.select(key, label, fold_col, features))),
+            None if test is None else by_rows(materialize(test.select(key, features))))
+
+
+def by_rows(table: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """A written table in as few partitions as its rows ask for: a fit runs
+    hundreds of jobs over it, and each pays for every partition."""
+    n = table.count()
+    return table.coalesce(max(1, -(-n // rows)))
 
 
 def bagged(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_col: str, n_folds: int,
            make: EstimatorFactory, seeds: list[int]) -> tuple[DataFrame, DataFrame | None]:
     """M3: (key, pred) out of fold and (key, pred) of the test rows, averaged
-    over several seeds; the tables are written once for all seeds."""
+    over several seeds; the tables are written once for all seeds, and the
+    seeds are fitted side by side."""
     train, test = write_tables(train, test, key, label, fold_col)
-    runs = [oof_predict(train, test, key, label, fold_col, n_folds, make, s, is_written=True) for s in seeds]
+    runs = concurrently(train.sparkSession, [partial(oof_predict, train, test, key, label, fold_col, n_folds, make, s, is_written=True)
+                                             for s in seeds])
 
     def mean(parts):
         return reduce(DataFrame.unionByName, [p.select(key, "pred") for p in parts]).groupBy(key).agg(F.avg("pred").alias("pred"))
@@ -140,25 +184,25 @@ def ridge(label: str, y_std: float, alpha: float = 1.0) -> EstimatorFactory:
 
 
 def gbt_classifier(label: str, max_iter: int = 200, depth: int = 4, step: float = 0.05,
-                   validation: str | None = None, tol: float = 0.001) -> EstimatorFactory:
-    """Boosted trees; with ``validation`` the fit stops early on
-    the rows flagged by that column, when a tree betters their loss by less
-    than ``tol`` (Spark's rule; it has no patience of several rounds)."""
-    extra = {"validationIndicatorCol": validation, "validationTol": tol} if validation else {}
-    return lambda seed, n: GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
-                                         stepSize=step, seed=seed, **extra)
+                   validation: str | None = None, patience: int = 33, **more) -> EstimatorFactory:
+    """Boosted trees of first and second derivatives on histograms;
+    with ``validation`` the fit ends when the loss on the rows flagged by that
+    column has not fallen for ``patience`` rounds, and keeps the trees of its
+    best round."""
+    return lambda seed, n: HistogramBooster(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
+                                            stepSize=step, seed=seed, patience=patience, validationIndicatorCol=validation, **more)
 
 
-def gbt_regressor(label: str, max_iter: int = 700, depth: int = 5, step: float = 0.03) -> EstimatorFactory:
+def gbt_regressor(label: str, max_iter: int = 700, depth: int = 5, step: float = 0.03, **more) -> EstimatorFactory:
     """M9: boosted regression trees (predictions clipped by the caller)."""
-    return lambda seed, n: GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
-                                        stepSize=step, seed=seed)
+    return lambda seed, n: HistogramBooster(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=depth,
+                                            stepSize=step, seed=seed, objective="squared", **more)
 
 
 def random_forest(label: str, trees: int = 500, depth: int = 18, impurity: str = "entropy") -> EstimatorFactory:
     """Random forest (extra-random splits have no Spark equivalent)."""
     return lambda seed, n: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees,
-                                                  maxDepth=depth, impurity=impurity, seed=seed)
+                                                  maxDepth=depth, impurity=impurity, seed=seed, maxMemoryInMB=1024)
 
 
 def mlp(label: str, n_features: int, hidden: int = 128, max_iter: int = 5) -> EstimatorFactory:

@@ -52,7 +52,7 @@ def model_tables(spark, sf_dir, label=LABEL):
     folds = stratified_folds(d, "sku_id", label, N_FOLDS, 2017).select("sku_id", "fold")
     train = MD.assemble(rows.join(folds, "sku_id"), list(feats))
     test = MD.assemble(rows.where(F.col(label).isNull()), list(feats))
-    return materialize(train), materialize(test), list(feats)
+    return MD.by_rows(materialize(train)), MD.by_rows(materialize(test)), list(feats)
 
 
 def _oof_query(spark, sf_dir, make_factory, label=LABEL):
@@ -176,8 +176,9 @@ def m12_importance_select(spark, sf_dir):
 
 @query("m14_early_stopping")
 def m14_early_stopping(spark, sf_dir):
-    """Boosted trees stopped on a validation fold: scores of all labelled
-    rows plus the number of trees actually built."""
+    """Boosted trees of at most 4,000 rounds, stopped on a validation fold after
+    33 rounds without gain: scores of all labelled rows by the trees of the
+    best round, plus their number."""
     train, _, _ = model_tables(spark, sf_dir)
     data = train.withColumn("is_val", F.col("fold") == 0)
     model = MD.gbt_classifier(LABEL, max_iter=MAX_ROUNDS, validation="is_val")(5, 0).fit(data)
