@@ -24,7 +24,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators.boosting import HistogramBooster
+from quire.operators.boosting import HistogramBooster, mean_score
 from quire.operators.joins import bounded, materialize
 
 #: Fits that run side by side.
@@ -67,10 +67,11 @@ def oof_predict(train: DataFrame, test: DataFrame | None, key: str, label: str,
         train, test = write_tables(train, test, key, label, fold_col, features)
     sizes = {r[fold_col]: r["n"] for r in train.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     fits = [make(seed, sum(sizes.values()) - sizes.get(k, 0)) for k in range(n_folds)]
-    together = fits[0].fit_folds(train, fold_col, n_folds) if hasattr(fits[0], "fit_folds") else None
+    if isinstance(fits[0], HistogramBooster):
+        return _scored([fits[0].fit_folds(train, fold_col, n_folds)], train, test, key, fold_col, features)
 
     def fold(k: int) -> tuple[DataFrame, DataFrame | None]:
-        model = together[k] if together else fits[k].fit(train.where(F.col(fold_col) != k))
+        model = fits[k].fit(train.where(F.col(fold_col) != k))
         own = positive_score(model.transform(train.where(F.col(fold_col) == k))).select(key, fold_col, "pred")
         if test is None:
             return materialize(own, "oof"), None
@@ -83,6 +84,13 @@ def oof_predict(train: DataFrame, test: DataFrame | None, key: str, label: str,
     return oof_df, reduce(DataFrame.unionByName, [p[1] for p in parts]).groupBy(key).agg(F.avg("pred").alias("pred"))
 
 
+def _scored(runs, train, test, key, fold_col, features) -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold and test scores of boosted fold models, averaged over the
+    runs, in one pass over each table."""
+    oof = materialize(train.select(key, fold_col, mean_score(runs, features, fold_col).alias("pred")), "oof")
+    return oof, None if test is None else materialize(test.select(key, mean_score(runs, features).alias("pred")), "oof")
+
+
 def concurrently(spark: SparkSession, tasks: list[Callable], threads: int = THREADS) -> list:
     """The results of ``tasks``, run from a bounded pool of threads that share
     the session, each in a scheduler pool of its own: small jobs of
@@ -123,6 +131,10 @@ def bagged(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_
     over several seeds; the tables are written once for all seeds, and the
     seeds are fitted side by side."""
     train, test = write_tables(train, test, key, label, fold_col)
+    first = make(seeds[0], train.count())
+    if isinstance(first, HistogramBooster):
+        oof, tst = _scored(first.fit_runs(train, fold_col, n_folds, seeds), train, test, key, fold_col, "features")
+        return oof.select(key, "pred"), tst
     runs = concurrently(train.sparkSession, [partial(oof_predict, train, test, key, label, fold_col, n_folds, make, s, is_written=True)
                                              for s in seeds])
 

@@ -73,10 +73,11 @@ def m2_out_of_fold_predict(spark, sf_dir):
 
 @query("m3_seed_bagging")
 def m3_seed_bagging(spark, sf_dir):
-    """Random-forest predictions averaged over nine seeds: out of fold for
-    labelled rows, over all fold models for the others."""
+    """Boosted trees whose rounds see a seeded sample of 80 % of the rows and
+    half of the features, averaged over nine seeds: out of fold for labelled
+    rows, over all fold models for the others."""
     train, test, _ = model_tables(spark, sf_dir)
-    oof, tst = MD.bagged(train, test, "sku_id", LABEL, "fold", N_FOLDS, MD.random_forest(LABEL), SEEDS)
+    oof, tst = MD.bagged(train, test, "sku_id", LABEL, "fold", N_FOLDS, MD.gbt_classifier(LABEL, subsample=0.8, colsample=0.5), SEEDS)
     out = oof.withColumn("part", F.lit("train")).unionByName(tst.withColumn("part", F.lit("test")))
     return out.select("sku_id", "part", r("pred").alias("pred"))
 

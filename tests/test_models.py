@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quire.operators import models as MD
+from quire.operators.boosting import HistogramBooster
 from tests.conftest import SF_SMALL
 
 
@@ -97,6 +98,71 @@ def test_early_stopping_builds_fewer_trees(data):
     assert stopped.getNumTrees < 60
 
 
+def first_tree(x, y, cuts, depth, penalty=1.0, least=1.0, step=0.05):
+    """Margins after one round of logistic boosting from 0, row by row."""
+    bins = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], axis=1)
+
+    def grow(rows, d):
+        g, h = (0.5 - y[rows]).sum(), 0.25 * len(rows)
+        best = (0.0, None)
+        for f in range(x.shape[1]) if d < depth else ():
+            for b in range(32):
+                low = rows[bins[rows, f] <= b]
+                gl, hl = (0.5 - y[low]).sum(), 0.25 * len(low)
+                if hl >= least and h - hl >= least:
+                    gain = gl ** 2 / (hl + penalty) + (g - gl) ** 2 / (h - hl + penalty) - g ** 2 / (h + penalty)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (f, b))
+        if best[1] is None:
+            out[rows] = -step * g / (h + penalty)
+            return
+        f, b = best[1]
+        grow(rows[bins[rows, f] <= b], d + 1)
+        grow(rows[bins[rows, f] > b], d + 1)
+    out = np.zeros(len(y))
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_first_round_is_the_best_tree(data, parts):
+    df, x, y = data
+    model = HistogramBooster(labelCol="y", maxIter=1, maxDepth=3).fit(df.repartition(parts))
+    want = first_tree(x, y, model.cuts, 3)
+    got = {r["key"]: r["margin"] for r in model.transform(df).collect()}
+    assert len(model.cuts[0]) == 31 and np.allclose([got[f"k{i:03d}"] for i in range(400)], want, atol=1e-12)
+
+
+def test_fold_models_are_those_of_single_fits(data):
+    df, x, _ = data
+    make = lambda: HistogramBooster(labelCol="y", maxIter=25, maxDepth=2, subsample=0.7, colsample=0.7, seed=4)
+    runs = make().fit_runs(df, "fold", 5, [4, 9])
+    again = make().fit_folds(df, "fold", 5)
+    assert all(np.allclose(a.margin(x), b.margin(x)) for a, b in zip(runs[0], again))
+    assert not np.allclose(runs[0][0].margin(x), runs[1][0].margin(x)) and not np.allclose(runs[0][0].margin(x), runs[0][1].margin(x))
+
+
+def test_patience_keeps_the_best_round(data):
+    df, x, _ = data
+    flagged = df.withColumn("val", F.col("fold") == 0)
+    make = lambda patience: HistogramBooster(labelCol="y", maxIter=90, maxDepth=3, stepSize=0.3, patience=patience,
+                                             validationIndicatorCol="val").fit(flagged)
+    stopped, full = make(12), make(1000)
+    assert len(full.history) == 91 and np.allclose(stopped.history, full.history[:len(stopped.history)], rtol=1e-9)
+    best = int(np.argmin(full.history))
+    assert stopped.getNumTrees == full.getNumTrees == best and len(stopped.history) == best + 13 < 91
+    assert np.allclose(stopped.margin(x), full.margin(x), atol=1e-9)
+
+
+def test_tasks_run_side_by_side(spark):
+    import threading
+    import time
+    gate = threading.Barrier(3, timeout=20)
+    assert MD.concurrently(spark, [lambda i=i: (gate.wait(), i * i)[1] for i in range(3)]) == [0, 1, 4]
+    inner = lambda: MD.concurrently(spark, [time.time, time.time])
+    assert all(a <= b for a, b in MD.concurrently(spark, [inner, inner]))
+
+
 def test_selected_slice_feeds_a_model(data, spark):
     df, _, y = data
     kept, importances = MD.importance_select(df, "y", ["a", "b", "c"], trees=30)
@@ -151,7 +217,7 @@ def test_queries_fit_the_published_sizes(spark, monkeypatch):
     monkeypatch.setattr(MD, "oof_predict", lambda *a, **k: keep(a[6]))
     monkeypatch.setattr(MD, "bagged", lambda *a, **k: keep(a[6], seeds=a[7]))
     assert size(Q.m8_gbt_classifier) == (200, 4)
-    assert size(Q.m3_seed_bagging) == (500, 18)
+    assert size(Q.m3_seed_bagging) == (200, 4)
     assert made["more"]["seeds"] == [111, 222, 333, 444, 555, 666, 777, 888, 999]
     monkeypatch.setattr(Q, "_fit_all", lambda s, d, factory, clip=False: keep(factory(None, ["a"])))
     assert size(Q.m9_gbt_regressor_clipped) == (700, 5) and size(Q.m10_random_forest) == (500, 18)
