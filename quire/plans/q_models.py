@@ -11,6 +11,7 @@ from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators import blocks as BL
 from quire.operators import models as MD
 from quire.operators.folds import stratified_folds
 from quire.operators.joins import materialize
@@ -55,8 +56,56 @@ def model_tables(spark, sf_dir, label=LABEL):
     return MD.by_rows(materialize(train)), MD.by_rows(materialize(test)), list(feats)
 
 
-def _oof_query(spark, sf_dir, make_factory, label=LABEL):
-    train, test, names = model_tables(spark, sf_dir, label)
+#: Listings that a title word of the sparse blocks needs.
+BLOCK_MIN_DF = 3
+HOT = ["category_lvl_1", "category_lvl_2"]
+
+
+def feature_blocks(d):
+    """The blocks that linear models stand on, in order: row-local measures,
+    one-hot categories, TF-IDF of title words, a constant."""
+    n = n_rows(d)
+    words = term_counts(d.select("sku_id", X.tokenise_words("title").alias("tok")), "sku_id", F.col("tok"))
+    weights = tfidf(materialize(df_filter(materialize(words), n, BLOCK_MIN_DF, 1.0)), "sku_id", n)
+    return [BL.measure_block(d, "sku_id", feature_columns()), BL.one_hot_block(d, "sku_id", HOT),
+            weights.withColumnRenamed("weight", "value"), BL.constant_block(d, "sku_id")]
+
+
+def sparse_vectors(d, columns):
+    """(columns of ``columns``, features): a sparse vector for each listing."""
+    stacked = BL.stack_blocks(feature_blocks(d), "sku_id")
+    index = BL.block_columns(stacked)
+    return BL.block_vectors(d.select(*columns), BL.block_entries(stacked, index, "sku_id"), "sku_id", index.count())
+
+
+def sparse_tables(spark, sf_dir, labels):
+    """For each label (train with folds, test) on the sparse blocks; the
+    vectors are built once for all labels."""
+    d = D(spark, sf_dir)
+    vectors = sparse_vectors(d, ["sku_id", *labels])
+    out = {}
+    for label in labels:
+        folds = stratified_folds(d, "sku_id", label, N_FOLDS, 2017).select("sku_id", "fold")
+        out[label] = (MD.by_rows(materialize(vectors.join(folds, "sku_id"))), MD.by_rows(materialize(vectors.where(F.col(label).isNull()))))
+    return out
+
+
+def _blocks_sql() -> str:
+    return views("d") + f""",
+m as (select sku_id, 0 as block, lpad(cast(i as varchar), 1, '0') as term, v as value
+      from (select sku_id, unnest(features) as v, unnest(range(0, 11)) as i from ({_feature_sql()})) where i < 10 and v <> 0),
+h as (select sku_id, 1 as block, 'category_lvl_1=' || category_lvl_1 as term, 1.0::double as value from d where category_lvl_1 is not null
+      union all select sku_id, 1, 'category_lvl_2=' || category_lvl_2, 1.0 from d where category_lvl_2 is not null),
+btc as (select sku_id, term, count(*) as tf from (select sku_id, unnest({TOKEN_SQL}) as term from d) group by sku_id, term),
+bdf as (select term, count(*) as df from btc group by term having count(*) >= {BLOCK_MIN_DF}),
+bw as (select sku_id, term, tf * (ln((1.0 + (select count(*) from d)) / (1.0 + df)) + 1.0) as x from btc join bdf using (term)),
+w as (select sku_id, 2 as block, term, x / sqrt(sum(x * x) over (partition by sku_id)) as value from bw),
+every as (select * from m union all select * from h union all select * from w union all select sku_id, 3, '1', 1.0 from d)
+select sku_id, cast(dense_rank() over (order by block, term) - 1 as integer) as index, round(value, 6) as value from every"""
+
+
+def _oof_query(spark, sf_dir, make_factory, label=LABEL, tables=None):
+    train, test = tables or model_tables(spark, sf_dir, label)[:2]
     oof, tst = MD.oof_predict(train, test, "sku_id", label, "fold", N_FOLDS, make_factory(label), is_written=True)
     out = oof.select("sku_id", F.col("fold").cast("int"), "pred").unionByName(
         tst.select("sku_id", F.lit(-1).alias("fold"), "pred"))
@@ -65,9 +114,12 @@ def _oof_query(spark, sf_dir, make_factory, label=LABEL):
 
 @query("m2_out_of_fold_predict")
 def m2_out_of_fold_predict(spark, sf_dir):
-    """For both labels, out-of-fold logistic predictions for labelled rows
-    (their fold) and fold-averaged predictions for unlabelled rows (fold -1)."""
-    parts = [_oof_query(spark, sf_dir, MD.logistic, label).withColumn("label", F.lit(label)) for label in (LABEL, "clarity")]
+    """For both labels, out-of-fold logistic predictions on the sparse blocks
+    for labelled rows (their fold) and fold-averaged predictions for
+    unlabelled rows (fold -1)."""
+    labels = (LABEL, "clarity")
+    tables = sparse_tables(spark, sf_dir, labels)
+    parts = [_oof_query(spark, sf_dir, MD.logistic, label, tables[label]).withColumn("label", F.lit(label)) for label in labels]
     return parts[0].unionByName(parts[1])
 
 
@@ -93,8 +145,12 @@ def _fit_all(spark, sf_dir, factory, clip=False):
 
 @query("m4_logistic_regression")
 def m4_logistic_regression(spark, sf_dir):
-    """L2 logistic regression fitted on all labelled rows, scored on all rows."""
-    return _fit_all(spark, sf_dir, lambda tr, names: MD.logistic(LABEL))
+    """L2 logistic regression on the sparse blocks, fitted on all labelled
+    rows, scored on all rows."""
+    train, test = sparse_tables(spark, sf_dir, (LABEL,))[LABEL]
+    model = MD.logistic(LABEL)(7, train.count()).fit(train)
+    out = MD.positive_score(model.transform(train.select("sku_id", "features").unionByName(test.select("sku_id", "features"))))
+    return out.select("sku_id", r("pred").alias("pred"))
 
 
 @query("m5_l1_logistic")
@@ -210,6 +266,14 @@ def m24_assemble_features(spark, sf_dir):
     return out.select("sku_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
+@query("m24_sparse_blocks", oracle=_blocks_sql())
+def m24_sparse_blocks(spark, sf_dir):
+    """Measures, one-hot categories, TF-IDF of title words and a constant side
+    by side, one sparse vector for each listing; shown by its entries."""
+    vectors = sparse_vectors(D(spark, sf_dir), ["sku_id"])
+    return BL.stored_entries(vectors, "sku_id").select("sku_id", "index", r("value").alias("value"))
+
+
 def _category_sql(level: int) -> str:
     p = f"g{level}"
     return f""",
