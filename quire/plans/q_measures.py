@@ -263,14 +263,18 @@ def t18_common_word_pairs(spark, sf_dir):
     """Number of equal (title word, description word) pairs, lower case:
     sum over words of count_in_title * count_in_description.
 
-    Counted inside the row: each side's words become (word, count) runs, the
-    title's runs a map, and the description's counts are weighted with it."""
-    d = D(spark, sf_dir).select("sku_id", F.sort_array(X.words_space(F.lower("title"))).alias("t"),
-                                F.sort_array(X.words_space(F.lower("short_description"))).alias("s"))
-    d = d.select("sku_id", "t", "s", NG.run_starts(F.col("t")).alias("ts"), NG.run_starts(F.col("s")).alias("ss"))
-    d = d.select("sku_id", F.map_from_entries(NG.runs(F.col("t"), F.col("ts"))).alias("t"),
-                 NG.runs(F.col("s"), F.col("ss")).alias("s"))
-    pairs = F.aggregate("s", F.lit(0).cast("long"), lambda n, e: n + e["tf"] * F.coalesce(F.try_element_at("t", e["term"]), F.lit(0)))
+    Both sides' words are tagged, sorted together and passed once: a
+    description word adds the number of equal title words, which stand
+    right before it. The work is that of the sort, whatever the words."""
+    tagged = lambda c, side: F.transform(X.words_space(F.lower(c)), lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    d = D(spark, sf_dir).select("sku_id", F.concat(tagged("title", 0), tagged("short_description", 1)).alias("both"))
+    d = d.select("sku_id", F.sort_array("both").alias("both"))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pairs"))
+
+    def step(at, e):
+        n = F.when(at["w"].eqNullSafe(e["w"]), at["n"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(e["w"].alias("w"), (n + 1 - e["side"]).alias("n"), (at["pairs"] + n * e["side"]).alias("pairs"))
+    pairs = F.aggregate("both", start, step, lambda at: at["pairs"])
     return d.select("sku_id", F.coalesce(pairs, F.lit(0)).cast("long").alias("equ1"))
 
 
