@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import checkpoint_dir, scratch_path
 
@@ -39,6 +40,19 @@ def unpacked(df: DataFrame, columns: list[str], results: list[str]) -> DataFrame
                      *results)
 
 
+def row_ddl(work: DataFrame) -> str:
+    """The type of the column ``row`` as DDL, names quoted."""
+    def ddl(t: T.DataType) -> str:
+        if isinstance(t, T.StructType):
+            return "struct<" + ",".join("`" + f.name.replace("`", "``") + "`:" + ddl(f.dataType) for f in t.fields) + ">"
+        if isinstance(t, T.ArrayType):
+            return f"array<{ddl(t.elementType)}>"
+        if isinstance(t, T.MapType):
+            return f"map<{ddl(t.keyType)},{ddl(t.valueType)}>"
+        return t.simpleString()
+    return ddl(work.schema["row"].dataType)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: the work is done
     once, and a lost executor costs a read."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import packed, quoted, ready, texts, unpacked
+from quire.llm.common import packed, quoted, ready, row_ddl, texts, unpacked
 
 WINDOW = 13
 #: A document is contaminated if at least one word in SHARE is hit.
@@ -197,7 +197,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     work = packed(docs, text=quoted(text), matches=F.array().cast(MATCHES))
-    row = work.select("row").schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     schema = (f"row {row}, text string, n_words long, n_hit long, items array<string>, "
               f"matches {MATCHES}, contaminated boolean")
     for k in range(blocks):

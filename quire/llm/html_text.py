@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import packed, quoted, ready, slices, unpacked
+from quire.llm.common import packed, quoted, ready, row_ddl, slices, unpacked
 
 RESULTS = ["text", "n_chars"]
 
@@ -38,6 +38,8 @@ ASIDE = frozenset("nav footer aside form button dialog menu fieldset".split())
 #: Elements whose end tag is often left out; a mark on one lasts for its block.
 LOOSE = frozenset("p li dd dt tr td th tbody thead tfoot option caption h1 h2 h3 h4 h5 h6 hr".split())
 MAIN = frozenset("article main".split())
+#: An element that may hold a whole page; an article in it is still one.
+WRAPPERS = frozenset({"form"})
 # Words of class, id and role that mark what isn't the article.
 MARKS = frozenset("""
 ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu
@@ -46,6 +48,11 @@ alert popup modal newsletter subscribe signup login search share sharing social
 comment comments commentlist disqus reply replies respond discussion pagination pager toolbar copyright
 """.split())
 
+# Marks of what readers wrote, which no article element lifts.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+# After these a class speaks of what the page has or lacks ("has-sidebar", "no-comments").
+ABOUT = frozenset("has have no not with without".split())
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 MARKED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -53,18 +60,33 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Block rules: characters of a short and of a long block, link density from
 #: which a block is no text, and the stop-word shares of text and of likely text.
 SHORT, LONG, MAX_LINKS, STOP_HIGH, STOP_LOW = 70, 200, 0.5, 0.30, 0.15
+#: Link density up to which a block passes where no stop word can speak for it.
+FEW_LINKS = 0.2
 GOOD, BAD, OPEN = "good", "bad", "open"
-
-
-def _marked(attributes: str) -> bool:
-    return any(p.lower() in MARKS for v in MARKED.findall(attributes) for p in PART.findall(v))
-
-
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, in the article, aside, heading) of each
-    block with visible text, in page order."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in the article, aside
+#: How an element is aside: not, by the mark of a plain wrapper (which an
+#: article element inside may lift), or for good.
+NOT, WRAPPED, APART = 0, 1, 2
+
+
+def _marks(attributes: str) -> set[str]:
+    """The marking words of class, id and role."""
+    found = set()
+    for value in MARKED.findall(attributes):
+        for name in value.strip("\"'").split():
+            for part in map(str.lower, PART.findall(name)):
+                if part in ABOUT:
+                    break
+                if part in MARKS:
+                    found.add(part)
+    return found
+
+
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
+    """(text, characters in links, in the article, aside, heading, lifted) of
+    each block with visible text, in page order; lifted: in an article
+    element inside a marked wrapper."""
+    out: list[tuple[str, int, bool, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # element, in the article, aside, lifted
     parts: list[str] = []
     linked, in_link, loose_aside, heading = [], False, False, False
     at, end = 0, len(page)
@@ -73,9 +95,9 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         nonlocal in_link, loose_aside, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            main, aside = stack[-1][1:] if stack else (False, False)
+            main, aside, lifted = stack[-1][1:] if stack else (False, NOT, False)
             links = len(" ".join(html.unescape("".join(linked)).split()))
-            out.append((text, links, main, aside or loose_aside, heading))
+            out.append((text, links, main, aside > NOT or loose_aside, heading, lifted))
         parts.clear(), linked.clear()
         in_link = loose_aside = heading = False
 
@@ -114,27 +136,50 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 at = close.end() if close else end
                 continue
             if name in BLOCKS and name not in VOID:
-                main, aside = stack[-1][1:] if stack else (False, False)
-                own = name not in MAIN and name not in ("html", "body") and _marked(m[3])
+                main, aside, lifted = stack[-1][1:] if stack else (False, NOT, False)
+                marks = _marks(m[3]) if name not in ("html", "body") else set()
+                if name in MAIN:
+                    marks &= READERS
                 if name in LOOSE:
-                    loose_aside, heading = own, name[0] == "h" and name[1:].isdigit()
+                    loose_aside, heading = bool(marks), name[0] == "h" and name[1:].isdigit()
                 else:
-                    apart = own or name in ASIDE or name == "header" and not main
-                    stack.append((name, main or name in MAIN, aside or apart))
+                    if name in MAIN and aside == WRAPPED and not main:
+                        aside, lifted = NOT, True
+                    if marks & READERS or name in ASIDE - WRAPPERS or name == "header" and not main or main and (marks or name in ASIDE):
+                        aside = APART
+                    elif marks or name in WRAPPERS:
+                        aside = max(aside, WRAPPED)
+                    stack.append((name, main or name in MAIN, aside, lifted))
     flush()
     return out
 
 
-def first_pass(text: str, links: int, main: bool, aside: bool) -> str:
-    """A block's label on its own."""
+def _foreign(text: str) -> bool:
+    """Whether most letters are of a script that the stop words don't use."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c >= "\u0370" for c in letters) > len(letters)
+
+
+def _size(text: str) -> int:
+    """Code points, those of East Asian scripts twice."""
+    return len(text) + sum(c >= "\u2e80" for c in text)
+
+
+def first_pass(text: str, links: int, main: bool, aside: bool, stop_words: bool = True) -> str:
+    """A block's label on its own. Blocks in scripts without stop words, and
+    all blocks without ``stop_words``, are judged by length and links."""
     if aside or links > MAX_LINKS * len(text):
         return BAD
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if main:
-        return GOOD if len(text) >= SHORT or stops >= STOP_LOW else OPEN
-    if len(text) < SHORT:
+        return GOOD if _size(text) >= SHORT or stops >= STOP_LOW else OPEN
+    if _size(text) < SHORT:
         return BAD if links else OPEN
+    foreign = _foreign(text)
+    if foreign or not stop_words:
+        few = links <= FEW_LINKS * len(text)
+        return GOOD if few and (foreign or len(text) >= LONG) else OPEN if few else BAD
     if stops >= STOP_HIGH or len(text) >= LONG and stops >= STOP_LOW:
         return GOOD
     return OPEN if stops >= STOP_LOW else BAD
@@ -169,9 +214,17 @@ def second_pass(labels: list[str], mains: list[bool], headings: list[bool]) -> l
 
 
 def main_text(page: str) -> str:
-    """The article of a page: its text blocks joined by two line breaks."""
-    blocks = blocks_of(page)
-    labels = [first_pass(text, links, main, aside) for text, links, main, aside, _ in blocks]
+    """The article of a page: its text blocks joined by two line breaks.
+
+    Article elements inside marked wrappers count where the page has no
+    other. Where no block passes at all, the page's language is taken to be
+    one without stop words, and length and links decide."""
+    found = blocks_of(page)
+    plain = any(main and not aside and not lifted for _, _, main, aside, _, lifted in found)
+    blocks = [(text, links, main, aside or lifted and plain, heading) for text, links, main, aside, heading, lifted in found]
+    labels = [first_pass(*b[:4]) for b in blocks]
+    if GOOD not in labels:
+        labels = [first_pass(*b[:4], stop_words=False) for b in blocks]
     kept = second_pass(labels, [b[2] for b in blocks], [b[4] for b in blocks])
     return "\n\n".join(b[0] for b, k in zip(blocks, kept) if k)
 
@@ -194,5 +247,5 @@ def extract_text(pages: DataFrame, page: str = "html") -> DataFrame:
     replace input columns of their names."""
     ready(pages.sparkSession)
     work = packed(pages, html=quoted(page))
-    row = work.select("row").schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     return unpacked(work.mapInArrow(_extracted, f"row {row}, text string, n_chars long"), pages.columns, RESULTS)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, packed, quoted, ready, slices, texts, unpacked
+from quire.llm.common import held_out, packed, quoted, ready, row_ddl, slices, texts, unpacked
 from quire.llm.labelled import keyed, learnable, sample_texts
 
 #: Bounds of the samples: different texts of each kind, and their bytes.
@@ -137,7 +137,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         positive, unlabelled = (np.column_stack([(x - mean) / spread, np.ones(len(x))]) for x in picked)
         weights = fit(positive, unlabelled, class_prior(positive, unlabelled))
     work = packed(docs, text=quoted(text), held_out=held_out(quoted(doc_id)))
-    row = work.select("row").schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     scored = work.mapInArrow(_scored(mean, spread, weights, threshold),
                              f"row {row}, held_out boolean, score double, predicted int")
     return unpacked(scored, docs.columns, RESULTS)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import packed, quoted, ready, signed, slices, texts, unpacked, written
+from quire.llm.common import packed, quoted, ready, row_ddl, signed, slices, texts, unpacked, written
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
            "n_frequent_words", "kept", "clean_text"]
@@ -139,7 +139,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     size = lines.agg(F.sum(8 * F.size("lines") + F.octet_length("host") + 32)).first()[0] or 0
     work = packed(docs, text=quoted(text), host=F.coalesce(quoted(host).cast("string"), F.lit("")))
     work = work.join(F.broadcast(lines) if size <= broadcast_bytes else lines, "host", "left")
-    row = work.select("row").schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     kinds = ", ".join(f"{k} {t}" for k, t in zip(RESULTS, ["long"] * 5 + ["boolean", "long", "boolean", "string"]))
     judged = work.select("row", "text", "lines").mapInArrow(
         _judged(min_words, max_repeat, min_left), f"row {row}, {kinds}")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import quoted, ready, slices, texts, unpacked, written
+from quire.llm.common import quoted, ready, row_ddl, slices, texts, unpacked, written
 
 WINDOW = 13
 #: Words of an anchor.
@@ -323,7 +323,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .mapInArrow(_matched(window), "id long, of long, low int, high int")
              .union(copies.select("id", F.lit(None).cast("long"), F.lit(0), F.lit(2**31 - 1)))
              .groupBy("id").agg(F.collect_list(F.struct("of", "low", "high")).alias("spans")))
-    row = work.schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     spanned = work.join(spans, "id", "left").select("row", "spans").union(
         everything.filter("id is null").select("row", F.lit(None).cast("array<struct<of:bigint,low:int,high:int>>").alias("spans")))
     cleaned = spanned.mapInArrow(

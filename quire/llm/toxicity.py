@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, packed, quoted, ready, slices, texts, unpacked
+from quire.llm.common import held_out, packed, quoted, ready, row_ddl, slices, texts, unpacked
 from quire.llm.labelled import learnable, sample_texts
 
 #: Words of a window.
@@ -148,7 +148,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
     model = docs.sparkSession.sparkContext.broadcast(fit(*picked, odds))
     work = packed(docs, text=quoted(text), held_out=held_out(quoted(doc_id)))
-    row = work.select("row").schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     scored = work.mapInArrow(_from(model), f"row {row}, held_out boolean, score double, predicted int")
     return unpacked(scored, docs.columns, RESULTS)
 

@@ -22,7 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import packed, quoted, ready, unpacked, written
+from quire.llm.common import packed, quoted, ready, row_ddl, unpacked, written
 
 COMPONENTS = 4
 SCALE = 256
@@ -232,7 +232,7 @@ def whiten(vectors: DataFrame, vector: str = "embedding", components: int = COMP
                  pa.array(((x - mean) @ project).tolist(), pa.list_(pa.float64())),
                  pa.array([explained] * rows, pa.list_(pa.float64())), pa.array([error] * rows, pa.float64())], ["row", *RESULTS])
     work = packed(usable, x=filled)
-    row = work.schema["row"].dataType.simpleString()
+    row = row_ddl(work)
     out = work.mapInArrow(run, f"row {row}, n long, deviation decimal(38,0), whitened array<double>, "
                                "explained array<double>, identity_error double")
     return unpacked(out, vectors.columns, RESULTS)

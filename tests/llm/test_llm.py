@@ -265,6 +265,39 @@ PAGES = [
 ]
 
 
+RU = "Лиса перебежала дорогу, пока собака спала у старого дома, и никто в городе не заметил этого до самого вечера."
+JA = "狐は古い町の家のそばで眠っている犬を飛び越えて走り、誰もそれに気づかないまま夕方になった。それから長い話が続いた。"
+IT = ("Questa volpe veloce salta sopra quel cane pigro mentre nessuno nella vecchia città guarda verso di loro; poi altre "
+      "parole seguono finché questo testo diventa abbastanza lungo da contare come documento, senza altri motivi.")
+COMMENTS = f"<div id=comments><ol><li><article class='comment-body'><p>{PROSE}</p></article></ol></div>"
+MORE_PAGES = [
+    (f"<div class='content has-sidebar'><article><p>{PROSE}</p></article></div>{COMMENTS}", PROSE),
+    (f"<div class='page no-comments'><article><p>{PROSE}</p></article></div>", PROSE),
+    (f"<div class='post-with-related'><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='layout sidebar-right'><main><p>{PROSE}</p><div class=share>share it with the others</div></main></div>{COMMENTS}", PROSE),
+    (f"<form id=all><article><p>{PROSE}</p><form><p>the form of it and of us</form></article></form>", PROSE),
+    (f"<div class=sidebar><article><p>{PROSE} aside</p></article></div><article><p>{PROSE}</p></article>", PROSE),
+    (f"<article><p>{PROSE}</p>{COMMENTS}</article>", PROSE),
+    (f"<nav><a href=x>{RU}</a></nav><div><h1>Лиса</h1><p>{RU}</p><p>{RU}</p></div><div class=footer>{RU}</div>", f"Лиса\n\n{RU}\n\n{RU}"),
+    (f"<div><p>{JA}</p><p><a href=1>{JA}</a></p></div>", JA),
+    (f"<ul><li><a href=1>Prima</a></ul><div><p>{IT}</p></div><div><a href=2>Altro</a></div>", IT),
+]
+
+
+def test_html_wrappers_and_languages():
+    for page, want in MORE_PAGES:
+        assert html_text.main_text(page) == want
+
+
+def test_html_long_repeated_and_clashing(spark):
+    long_page = "<article>" + f"<p>{PROSE}</p>" * 20000 + "</article>"
+    rows = [(1, long_page), (2, MORE_PAGES[0][0]), (2, MORE_PAGES[0][0]), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({c: F.lit("clash") for c in ("text", "n_chars", "row", "x.y")})
+    got = sorted(((r["page_id"] or 0, r["n_chars"], r["text"]) for r in html_text.extract_text(df).collect()))
+    assert [g[:2] for g in got] == [(0, 0), (1, 20000 * (len(PROSE) + 2) - 2), (2, len(PROSE)), (2, len(PROSE))]
+    assert got[2][2] == PROSE and "x.y" in html_text.extract_text(df).columns
+
+
 def test_html(spark):
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PAGES)], "page_id long, html string").withColumn("row", F.lit(1))
     got = {r["page_id"]: r for r in html_text.extract_text(df).collect()}
