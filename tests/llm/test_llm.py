@@ -19,7 +19,7 @@ PROSE = ("the quick brown fox jumps over the lazy dog while nobody in the old to
          "some more words follow until the text is long enough to count as a document of its own")
 ODD_TEXTS = [None, "", "  \n\t ", "word", PROSE, PROSE, PROSE + " with a tail", "a b c d e f g h i j k l m " * 40,
              "é" * 50 + " ünï \x85 \xa0 x", "\n\nline\nline\n\nline", "w " * 30000, PROSE.upper(), "<|endoftext|> a  b \n c "]
-CLASH = ["row", "id", "key", "words", "n_words", "kept", "score", "spans", "start", "length", "rank", "host", "fp"]
+CLASH = ["row", "id", "key", "words", "n_words", "kept", "score", "spans", "start", "length", "rank", "host", "fp", "a.b"]
 
 
 def odd_docs(spark, empty=False):
