@@ -4,8 +4,11 @@ Level 1 encodes the listed keys. Level 2 encodes the keys of the corpus's
 complete key universe that level 1 lets through wrongly, level 3 the listed
 keys that level 2 lets through wrongly, and so on until a level has no false
 positive. The first level that rejects a key of the universe tells exactly
-whether it is listed, without a join. Everything is DataFrame expressions;
-a level is one row, an array of 64-bit words that queries read as a scalar.
+whether it is listed, without a join. Everything is DataFrame expressions.
+
+All bits of a key lie in one 64-bit word of a level. A level of up to MAX_BITS
+is one row, an array of words that queries read as a scalar; the words of a
+larger one stay a table, split by their number, which the keys meet.
 """
 
 from __future__ import annotations
@@ -18,8 +21,7 @@ from quire.llm.common import packed, quoted, ready, unpacked, written
 HASHES = 3
 BITS_PER_KEY = 12
 LEAST_WORDS = 64
-#: A level's size in bits up to which it is held as one array. A larger list
-#: is looked up by a join instead.
+#: A level's size in bits up to which it is held as one array (16 MiB).
 MAX_BITS = 1 << 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ["host", "path", "rule", "verdict"]
@@ -30,45 +32,86 @@ class Level:
 
     def __init__(self, keys: DataFrame, number: int, count: int):
         self.number, self.words = number, max(LEAST_WORDS, -(-count * BITS_PER_KEY // 64))
-        places = keys.select(F.explode(F.array(*self._places(F.col("key")))).alias("at"))
-        words = places.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-        # every word of the filter, zero where no key falls
-        every = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m")).select(
-            F.transform(F.sequence(F.lit(0), F.lit(self.words - 1)),
-                        lambda w: F.coalesce(F.col("m")[w], F.lit(0))).alias("bits"))
-        self.bits = written(every, "bloom-level")
-
-    def _places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(i)), F.lit(64 * self.words)) for i in range(HASHES)]
-
-    def passes(self, key: Column) -> Column:
-        bits = self.bits.scalar()
-        out = F.lit(True)
-        for at in self._places(key):
-            out = out & (F.bit_get(F.element_at(bits, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
+        key = F.col("key")
+        words = keys.groupBy(self._word(key).alias("word")).agg(F.bit_or(self._mask(key)).alias("bits"))
+        self.whole = 64 * self.words <= MAX_BITS
+        if self.whole:
+            # the words where no key falls are zero
+            gaps = keys.sparkSession.range(self.words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+            words = words.unionByName(gaps).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+            words = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+        self.bits = written(words, "bloom-level")
+
+    def _word(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(0)), F.lit(self.words))
+
+    def _mask(self, key: Column) -> Column:
+        """HASHES bits of a word, from one second hash."""
+        h = F.xxhash64(key, F.lit(self.number), F.lit(1))
+        out = F.lit(0).cast("long")
+        for i in range(HASHES):
+            at = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+            out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
         return out
 
+    def has(self, key: Column) -> Column:
+        """Whether a level held as one array lets the key through."""
+        mask, bits = self._mask(key), F.element_at(self.bits.scalar(), (self._word(key) + 1).cast("int"))
+        return bits.bitwiseAND(mask) == mask
+
+    def passes(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with ``name``: whether the level lets the key through; a
+        null key isn't let through."""
+        if self.whole:
+            return df.withColumn(name, F.col(key).isNotNull() & self.has(F.col(key)))
+        mask = self._mask(F.col(key))
+        # null keys are spread and meet no word
+        place = F.when(F.col(key).isNotNull(), self._word(F.col(key))).otherwise(-1 - F.monotonically_increasing_id())
+        words = self.bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+        met = df.withColumn("_word", place).join(words, "_word", "left")
+        return met.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_word", "_bits")
+
+    def let(self, df: DataFrame) -> DataFrame:
+        """The rows (key) that the level lets through."""
+        return self.passes(df, "key", "_let").filter("_let").drop("_let")
+
 
 class Cascade:
-    """Exact membership of ``listed`` (key) for every key of ``universe``."""
+    """Exact membership of ``listed`` (key) for every key of ``universe``,
+    both without repeats. Only the keys that level 1 lets through are ever
+    compared with the list."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
-        inside = written(universe.join(listed, "key", "left_semi"), "listed")
-        outside = universe.join(listed, "key", "left_anti")
         self.levels: list[Level] = []
-        encoded, others = inside, outside
+        encoded, others = listed, None
         while (count := encoded.count()):
             level = Level(encoded, len(self.levels), count)
             self.levels.append(level)
-            encoded, others = written(others.filter(level.passes(F.col("key"))), "passed"), encoded
+            wrong = level.let(universe).join(listed, "key", "left_anti") if others is None else level.let(others)
+            encoded, others = written(wrong, "passed"), encoded
 
-    def has(self, key: Column) -> Column:
-        """Whether a key of the universe is listed; null stays null."""
+    @property
+    def whole(self) -> bool:
+        return all(level.whole for level in self.levels)
+
+    def _verdict(self, tests: list[Column]) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
-        for k, level in reversed(list(enumerate(self.levels))):
-            out = F.when(~level.passes(key), F.lit(k % 2 == 1)).otherwise(out)
-        return F.when(key.isNotNull(), out)
+        for k, test in reversed(list(enumerate(tests))):
+            out = F.when(~test, F.lit(k % 2 == 1)).otherwise(out)
+        return out
+
+    def has(self, key: Column) -> Column:
+        """Whether a key of the universe is listed; null stays null. For
+        levels that are held as arrays."""
+        return F.when(key.isNotNull(), self._verdict([level.has(key) for level in self.levels]))
+
+    def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with ``name``: whether the key, one of the universe, is
+        listed; null stays null."""
+        tests = [f"_{name}{k}" for k in range(len(self.levels))]
+        for test, level in zip(tests, self.levels):
+            df = level.passes(df, key, test)
+        return df.withColumn(name, F.when(F.col(key).isNotNull(), self._verdict([F.col(t) for t in tests]))).drop(*tests)
 
 
 def _address(url: Column) -> tuple[Column, Column]:
@@ -110,8 +153,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     if keys:
         universe = written(judged.select(F.explode(F.array_distinct(F.array(*keys))).alias("key"))
                            .filter("key is not null").distinct(), "url-keys")
-        judged = _by_cascade(judged, keys, universe, listed) if listed.count() * BITS_PER_KEY <= MAX_BITS \
-            else _by_join(judged, keys, listed)
+        judged = _by_cascade(judged, keys, universe, listed)
     else:
         judged = judged.withColumns({"rule": F.lit(None).cast("string"), "blocked": F.lit(False)})
     verdict = F.when(F.col("rule").isNull(), default).when(F.col("blocked"), "block").otherwise("allow")
@@ -132,15 +174,13 @@ def _by_cascade(judged: DataFrame, keys: list[Column], universe: DataFrame, list
     blocks = Cascade(listed.filter("verdict = 'block'").select("key"), rules)
     names = [f"key{i}" for i in range(len(keys))]
     judged = judged.select("row", "host", "path", *[k.alias(n) for k, n in zip(keys, names)])
-    rule = _longest([F.when(known.has(F.col(n)), F.col(n)) for n in names])
-    return judged.select("row", "host", "path", rule.alias("rule")).withColumn("blocked", blocks.has(F.col("rule")))
-
-
-def _by_join(judged: DataFrame, keys: list[Column], listed: DataFrame) -> DataFrame:
-    """For a list too large for one array: every url's keys meet the list."""
-    tagged = written(judged.withColumns({"at": F.monotonically_increasing_id(),
-                                         "keys": F.array_distinct(F.array(*keys))}), "urls")
-    hits = (tagged.select("at", F.explode("keys").alias("key")).join(listed, "key")
-            .groupBy("at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best")))
-    return tagged.join(hits, "at", "left").select(
-        "row", "host", "path", F.col("best.key").alias("rule"), (F.col("best.verdict") == "block").alias("blocked"))
+    if known.whole and blocks.whole:
+        rule = _longest([F.when(known.has(F.col(n)), F.col(n)) for n in names])
+        return judged.select("row", "host", "path", rule.alias("rule")).withColumn("blocked", blocks.has(F.col("rule")))
+    # levels that are tables: keys alone travel to their words, rows once
+    judged = written(judged.withColumn("at", F.monotonically_increasing_id()), "urls")
+    found = judged.select("at", *names)
+    for n in names:
+        found = known.mark(found, n, f"has_{n}")
+    found = found.select("at", _longest([F.when(F.col(f"has_{n}"), F.col(n)) for n in names]).alias("rule"))
+    return judged.select("at", "row", "host", "path").join(blocks.mark(found, "rule", "blocked"), "at").drop("at")

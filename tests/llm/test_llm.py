@@ -385,6 +385,30 @@ def test_cascade_is_exact(spark):
     assert universe.withColumn("has", cascade.has(F.col("key"))).filter("has <> (key like '%7')").count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 27, 0])
+def test_cascade_of_many_keys_equals_a_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(url_filter, "MAX_BITS", bits)
+    universe = spark.range(60000).select(F.concat(F.lit("k"), "id").alias("key"))
+    # the list holds keys that no url has
+    listed = spark.range(40000, 100000, 3).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = url_filter.Cascade(listed, universe)
+    assert len(cascade.levels) > 1 and cascade.whole == (bits > 0)
+    probe = universe.unionByName(spark.createDataFrame([(None,)], "key string")).union(universe.limit(10))
+    got = {(r["key"], r["has"]) for r in cascade.mark(probe, "key", "has").collect()}
+    want = {r["key"] for r in listed.collect()}
+    assert got == {(f"k{i}", f"k{i}" in want) for i in range(60000)} | {(None, None)}
+
+
+def test_urls_repeated_and_very_long(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "rule string, verdict string")
+    long = "http://example.org/es/" + "a" * 2_000_000
+    df = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, "http://com/de/", "y")], "page_id long, url string, rule string")
+    rows = url_filter.filter_urls(df, rules).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in rows) == [
+        (1, "example.org/es/", "block"), (1, "example.org/es/", "block"), (2, "com/de/", "block")]
+    assert max(len(r["path"]) for r in rows) == 2_000_004
+
+
 # odd tables, through every operator and stage
 
 @pytest.mark.parametrize("empty", [False, True])
