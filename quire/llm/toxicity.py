@@ -1,7 +1,8 @@
 """Operator 1, toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary texts, one
-on the toxic texts' words that ordinary texts hardly have. Every window of a
+on what of the toxic texts' windows ordinary text doesn't explain, runs of
+words that ordinary texts hardly have. Every window of a
 text is compressed with the ordinary dictionary alone and with both, the
 toxic one first, so that it serves only where it has the longer match; the
 bytes saved tell how much of it only toxic text explains. The savings of a
@@ -12,6 +13,7 @@ labelled texts that neither dictionary has seen.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,11 @@ WINDOW = 16
 #: Bounds of the labelled sample: texts of each label, and their bytes.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 3000, 3000, 8 << 20
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 16, 1 << 14
-#: A word is toxic material if its different contexts (the words before and
-#: after it, so that copies count once) are as many as this share of the toxic
-#: texts, and this many times as common there as in ordinary texts.
-LEAST_SHARE, LEAST_LIFT = 0.01, 8
+#: A word is toxic material if toxic texts have it in this many surroundings
+#: and this many times as often as ordinary texts. Surroundings are the words
+#: some places before and after it, so that copies of a text count once: the
+#: neighbours, or words far enough off that a fixed phrase lies between them.
+LEAST_PLACES, LEAST_LIFT, REACHES = 3, 8, (1, 8)
 RESULTS = ["held_out", "score", "predicted"]
 
 
@@ -58,15 +61,24 @@ def compressor(content: bytes):
     return lambda parts: np.fromiter((len(compress(p)) for p in parts), np.int64, len(parts))
 
 
+def surroundings(part: list[list[bytes]]) -> Counter:
+    """In how many surroundings the texts have each word, by the reach that
+    tells more of them apart."""
+    out: Counter = Counter()
+    for reach in REACHES:
+        edge = [b""] * reach
+        out |= Counter(w for w, *_ in {c for t in part for c in zip(t, edge + t, t[reach:] + edge)})
+    return out
+
+
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary."""
     words = [[x.decode().lower().encode().split() for x in part] for part in (toxic, ordinary)]
-    there, elsewhere = (Counter(w for _, w, _ in {c for text in part for c in zip([b"", *text], text, [*text[1:], b""])})
-                        for part in words)
-    least = max(3, round(LEAST_SHARE * len(toxic)))
+    there, elsewhere = (surroundings(part) for part in words)
     rate = (len(ordinary) + 1) / max(len(toxic), 1)
-    chosen = {w for w, n in there.items() if n >= least and n * rate >= LEAST_LIFT * (elsewhere[w] + 1)}
-    material = [b" " + w + b" " for text in words[0] for w in text if w in chosen]
+    chosen = {w for w, n in there.items() if n >= LEAST_PLACES and n * rate >= LEAST_LIFT * (elsewhere[w] + 1)}
+    material = [b" " + b" ".join(run) + b" " for text in words[0]
+                for own, run in groupby(text, chosen.__contains__) if own]
     plain = [p for text in ordinary for p in windows(text, 8)]
     return (_dictionary(plain, ORDINARY_BYTES) if plain else b" ",
             _dictionary(material, TOXIC_BYTES) if material else b" ")

@@ -81,6 +81,34 @@ def test_toxicity_learns_words():
     assert bad > good
 
 
+def test_toxicity_learns_fixed_phrases_but_no_copies():
+    rng = np.random.default_rng(3)
+    filler = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
+    ordinary = [filler(40).encode() for _ in range(200)]
+    toxic = [f"rotten foul stinking beast {filler(36)}".encode() for _ in range(200)]
+    # a long toxic text, copied 50 times with another ending, whose words no other text has
+    copied = " ".join(f"own{i}" for i in range(60))
+    content = toxicity.train_dictionaries(toxic + [f"{copied} {i}".encode() for i in range(50)], ordinary)
+    assert all(w in content[1] for w in (b"rotten", b"foul", b"stinking", b"beast")) and b"own20" not in content[1]
+    model = toxicity.fit(toxic, ordinary)
+    pair = toxicity.compressor(model[0]), toxicity.compressor(model[1] + model[0])
+    bad, good = (np.dot(toxicity.features(t.encode(), *pair), model[2])
+                 for t in (f"{filler(20)} rotten foul stinking beast {filler(20)}", filler(44)))
+    assert bad > 0 > good
+
+
+def test_toxicity_learns_rare_insults():
+    """200 insults, each in three toxic texts, with nine ordinary texts for a
+    toxic one; a word of one text can't be told from its chance words."""
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
+    insults = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(200)]
+    ordinary = [filler(40).encode() for _ in range(5400)]
+    toxic = [f"{filler(10)} {w} {filler(30)}".encode() for w in insults * 3]
+    content = toxicity.train_dictionaries(toxic, ordinary)
+    assert sum(w.encode() in content[1] for w in insults) >= 190
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(0)
     make = lambda n, at: np.column_stack([rng.normal(at, 1, (n, 2)), np.ones(n)])
