@@ -25,8 +25,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A line is frequent in a host if more than this share of the host's distinct
-#: documents hold it, and more than MIN_DOCS do.
-MAX_SHARE = 0.10
+#: documents hold it, and more than MIN_DOCS do. Notices that a host repeats lie
+#: well above it, the commonest lines of its own texts below.
+MAX_SHARE = 0.05
 MIN_DOCS = 20
 #: A document is depleted if fewer than this percentage of its words is left.
 MIN_LEFT_PERCENT = 30

@@ -10,7 +10,7 @@ ALNUM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def quality(rows, max_share=0.10, min_docs=20, min_left=30):
+def quality(rows, max_share=0.05, min_docs=20, min_left=30):
     """[(doc_id, text, host)] -> [(doc_id, counts..., base_failed, kept, clean)], rows in order."""
     norm = lambda x: " ".join(SPACE.findall(x.lower()))
     held, docs = defaultdict(set), defaultdict(set)
