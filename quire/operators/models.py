@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.boosting import HistogramBooster, mean_score
 from quire.operators.joins import bounded, materialize
+from quire.operators.random_trees import RandomTrees
 
 #: Fits that run side by side.
 THREADS = 8
@@ -213,8 +214,13 @@ def gbt_regressor(label: str, max_iter: int = 700, depth: int = 5, step: float =
                                         stepSize=step, seed=seed)
 
 
+def extra_trees(label: str, trees: int = 1000, depth: int = 18) -> EstimatorFactory:
+    """Extra-random trees, entropy, no bootstrap."""
+    return lambda seed, n: RandomTrees(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+
+
 def random_forest(label: str, trees: int = 500, depth: int = 18, impurity: str = "entropy") -> EstimatorFactory:
-    """Random forest (extra-random splits have no Spark equivalent)."""
+    """Random forest."""
     return lambda seed, n: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees,
                                                   maxDepth=depth, impurity=impurity, seed=seed, maxMemoryInMB=1024)
 
@@ -239,3 +245,18 @@ def importance_select(train: DataFrame, label: str, names: list[str], trees: int
 
 def slice_features(df: DataFrame, indices: list[int], out: str = "selected") -> DataFrame:
     return VectorSlicer(inputCol="features", outputCol=out, indices=indices).transform(df)
+
+
+def oof_selected(train: DataFrame, key: str, label: str, fold_col: str, kept: list[list[int]], make: EstimatorFactory,
+                 seed: int = 0) -> DataFrame:
+    """(key, fold, pred), each fold's rows scored by a model that is
+    fitted on the other folds and on the features kept for that fold alone."""
+    train, _ = write_tables(train, None, key, label, fold_col)
+
+    def fold(k: int) -> DataFrame:
+        sliced = slice_features(train, kept[k], "_kept").drop("features").withColumnRenamed("_kept", "features")
+        others = sliced.where(F.col(fold_col) != k)
+        model = make(seed, others.count()).fit(others)
+        own = positive_score(model.transform(sliced.where(F.col(fold_col) == k)))
+        return materialize(own.select(key, fold_col, "pred"), "oof")
+    return reduce(DataFrame.unionByName, concurrently(train.sparkSession, [partial(fold, k) for k in range(len(kept))]))

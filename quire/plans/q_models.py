@@ -17,6 +17,7 @@ from quire.operators.folds import stratified_folds
 from quire.operators.joins import materialize
 from quire.operators.ngrams import char_ngrams, df_filter, n_rows, term_counts, tfidf, word_ngrams
 from quire.operators.ordered import ordered_index
+from quire.operators.random_trees import select_per_fold
 from quire.plans.common import D, r
 from quire.plans.oracle_views import views
 from quire.plans.registry import query
@@ -213,6 +214,13 @@ def m10_random_forest(spark, sf_dir):
     return _fit_all(spark, sf_dir, lambda tr, names: MD.random_forest(LABEL))
 
 
+@query("m10_extra_trees")
+def m10_extra_trees(spark, sf_dir):
+    """1,000 extra-random trees of at most 18 levels, fitted on all labelled
+    rows, scored on all rows."""
+    return _fit_all(spark, sf_dir, lambda tr, names: MD.extra_trees(LABEL))
+
+
 @query("m11_multilayer_perceptron")
 def m11_multilayer_perceptron(spark, sf_dir):
     """One hidden layer of 128 units, L-BFGS, 5 iterations."""
@@ -222,8 +230,7 @@ def m11_multilayer_perceptron(spark, sf_dir):
 @query("m12_importance_select")
 def m12_importance_select(spark, sf_dir):
     """Forest importances per feature, and whether the feature is kept
-    (importance >= mean). No query fits a model on the kept slice yet;
-    ``models.slice_features`` cuts it."""
+    (importance >= mean)."""
     train, _, names = model_tables(spark, sf_dir)
     kept, imp = MD.importance_select(train, LABEL, names)
     rows = [(n, float(v), int(i in kept), i) for i, (n, v) in enumerate(zip(names, imp))]
@@ -231,6 +238,18 @@ def m12_importance_select(spark, sf_dir):
     return table.select("feature", r("importance").alias("importance"), "kept", "index")
 
 
+@query("m12_select_per_fold")
+def m12_select_per_fold(spark, sf_dir):
+    """For each fold, features selected by 500 extra-random trees of six
+    levels fitted on the other folds, and out-of-fold logistic predictions of
+    models that are fitted on the kept slice alone; ``n_kept`` features."""
+    train, _, _ = model_tables(spark, sf_dir)
+    kept = [k for k, _ in select_per_fold(train, LABEL, "fold", N_FOLDS)]
+    out = MD.oof_selected(train, "sku_id", LABEL, "fold", kept, MD.logistic(LABEL))
+    sizes = F.array(*[F.lit(len(k)) for k in kept])
+    return out.select("sku_id", F.col("fold").cast("int"), r("pred").alias("pred"), sizes[F.col("fold").cast("int")].alias("n_kept"))
+
+
 @query("m14_early_stopping")
 def m14_early_stopping(spark, sf_dir):
     """Boosted trees of at most 4,000 rounds, stopped on a validation fold after
