@@ -34,6 +34,34 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: What identifies a part of a run, from the outer folder to the inner one.
+RUN_FIELDS = ["label", "model", "features", "fold_set", "run", "fold"]
+
+
+def write_run(preds: DataFrame, path: str, fields: list[str] = RUN_FIELDS) -> None:
+    """Add predictions to a dataset partitioned by the run's metadata.
+
+    Only the folders that ``preds`` has rows for are replaced (dynamic
+    overwrite), so a rerun of one fold leaves every other part alone. Rows are
+    gathered by folder before the write; a folder that holds much is split
+    over several tasks."""
+    gathered = preds.hint("rebalance", *[F.col(c) for c in fields])
+    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*fields).parquet(path)
+
+
+def run_names(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """S12 (dotted form): label, model, features and run of names like
+    ``label.model.features.run0.full.csv``, where features may have dots, and
+    the fold set of a folder that ends in ``Set0``. A name of another form
+    gives nulls."""
+    form = r"^([^.]+)\.([^.]+)\.(.+)\.run(\d+)\.[^.]+\.csv$"
+    parts = {c: F.regexp_extract(name, form, i + 1) for i, c in enumerate(("label", "model", "features", "run"))}
+    if folder is not None:
+        parts["fold_set"] = F.regexp_extract(folder, r"Set(\d+)/?$", 1)
+    out = {c: F.when(v != "", v) for c, v in parts.items()}
+    return df.select("*", *[(v.cast("int") if c in ("run", "fold_set") else v).alias(c) for c, v in out.items()])
+
+
 def path_metadata(df: DataFrame, names: list[str]) -> DataFrame:
     """S12 (file-name form): ``name=value`` segments parsed from each row's
     source file path."""

@@ -37,6 +37,45 @@ def s12_run_metadata_from_path(spark, sf_dir):
     return ds.groupBy("path_model", "path_fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+RUNS_SQL = views("p", "p2") + """,
+runs as (select sku_id, 'conciseness' as label, model, fold, case when model = 2 and fold = 3 then 1.0 - pred else pred end as pred from p
+         union all select sku_id, 'clarity', model, fold, pred from p2)"""
+
+
+def _runs(spark, sf_dir):
+    """Both labels' predictions as runs on one feature set and fold set, and
+    then model 2's fold 3 of conciseness once more with turned scores."""
+    path = ST.output_folder(spark, "runs")
+    for label in ("conciseness", "clarity"):
+        preds = predictions(spark, sf_dir, label=label).withColumns(
+            {"label": F.lit(label), "features": F.lit("title.words"), "fold_set": F.lit(0), "run": F.lit(0)})
+        ST.write_run(preds, path)
+        if label == "conciseness":
+            again = preds.where((F.col("model") == 2) & (F.col("fold") == 3))
+            ST.write_run(again.withColumn("pred", F.lit(1.0) - F.col("pred")), path)
+    return ST.read_predictions(spark, path)
+
+
+@query("s9_prediction_runs", oracle=RUNS_SQL + """
+select sku_id, label, model, 'title.words' as features, 0 as fold_set, 0 as run, fold, round(pred, 6) as pred from runs""")
+def s9_prediction_runs(spark, sf_dir):
+    """Predictions of both labels in one dataset partitioned by label, model,
+    feature set, fold set, run and fold, after the rerun of one fold."""
+    return _runs(spark, sf_dir).select("sku_id", *ST.RUN_FIELDS, r("pred").alias("pred"))
+
+
+@query("s12_run_registry", oracle=RUNS_SQL + """
+select label as path_label, cast(model as varchar) as path_model, 'title.words' as path_features, '0' as path_fold_set,
+  '0' as path_run, cast(fold as varchar) as path_fold, count(*) as n, round(avg(pred), 6) as mean_pred
+from runs group by label, model, fold""")
+def s12_run_registry(spark, sf_dir):
+    """The registered runs by the metadata in their files' paths: rows and
+    mean prediction of each part."""
+    ds = ST.path_metadata(_runs(spark, sf_dir).select("pred"), ST.RUN_FIELDS)
+    return ds.groupBy(*[f"path_{c}" for c in ST.RUN_FIELDS]).agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("pred")).alias("mean_pred"))
+
+
 @query("u3_concat_folds", oracle=views("p") + "select sku_id, fold, pred from p where model = 2")
 def u3_concat_folds(spark, sf_dir):
     """The 10 validation parts of one model: a single read of the

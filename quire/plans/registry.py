@@ -40,6 +40,6 @@ def load_all() -> dict[str, Query]:
     """Import every plan module so its queries register."""
     from quire.plans import (  # noqa: F401
         q_sources, q_clean, q_measures, q_flags, q_items, q_groups, q_ordered,
-        q_encode, q_ngrams, q_embed, q_models, q_stack, q_lexicon,
+        q_encode, q_ngrams, q_embed, q_models, q_stack, q_lexicon, q_stemming,
     )
     return REGISTRY
