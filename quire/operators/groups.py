@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import col, words_space
-from quire.operators.joins import attach, bounded, fits_broadcast, materialize
+from quire.operators.joins import attach, bounded, fits_broadcast, materialize, side
 
 
 def _list(x):
@@ -227,3 +227,94 @@ def exact_median_sets(df: DataFrame, sets: dict[str, list[str]], x: str) -> SetT
         out[n] = med.where(F.col("_sid") == i).select(
             *[F.get(parts, j).cast(types[k]).alias(k) for j, k in enumerate(sets[n])], "_m")
     return out
+
+
+#: Bins that a group's range of values is cut into to find where its median lies.
+MEDIAN_BINS = 256
+
+
+def range_aggs(x: str) -> dict[str, F.Column]:
+    """What ``selected_median_sets`` needs to know of a group; nulls and NaN don't count."""
+    v = F.when(~F.isnan(x), F.col(x))
+    return {"_lo": F.min(v), "_hi": F.max(v), "_n": F.count(v)}
+
+
+def selected_median_sets(df: DataFrame, sets: dict[str, list[str]], x: str, ranges: SetTables | None = None,
+                         bins: int = MEDIAN_BINS) -> SetTables:
+    """``exact_median`` for several key sets by narrowing each group's bounds.
+
+    The range of a group's values is cut into ``bins``; one aggregate counts
+    the rows of each (set, group, bin) and shows which bin holds the middle
+    ranks. Only the rows between that bin's least and greatest value, few
+    unless the values are heaped together, are then counted by value and
+    ranked over range partitions; the counts below give their places. Exact
+    whatever the values, and no row crosses a shuffle before it is either
+    counted or within its group's narrowed bounds.
+
+    ``ranges`` takes the ``range_aggs`` of the same sets where the caller has
+    them already. Rows with a null key drop out of that set, nulls and NaN
+    of the double ``x`` are ignored. Returns one (keys..., _m) table per set."""
+    from quire.operators.ordered import running_sum
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(x))
+    ranges = ranges or grouping_sets_stats(rows, sets, range_aggs(x))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    sep = "\u0001"
+
+    def joined(tables: dict[str, DataFrame], small: bool) -> DataFrame:
+        """The rows beside their groups' (_lo, _hi, _n, _below) of every set."""
+        out = rows
+        for name, keys in sets.items():
+            t = tables[name].select(*keys, F.struct("_lo", "_hi", "_n", "_below").alias(f"_r_{name}"))
+            out = out.join(side(t, small), keys, "left")
+        return out
+
+    def bin_of(name: str) -> F.Column:
+        lo, hi = F.col(f"_r_{name}._lo"), F.col(f"_r_{name}._hi")
+        place = F.when(hi > lo, F.nanvl((F.col(x) - lo) / (hi - lo) * bins, F.lit(float(bins)))).otherwise(F.lit(0.0))
+        return F.when(lo.isNotNull(), F.least(F.floor(place), F.lit(bins - 1)).cast("int"))
+
+    wide = joined({n: ranges[n].withColumn("_below", F.lit(0)) for n in sets}, ranges.small)
+    binned = wide.select(*{k: None for ks in sets.values() for k in ks}, x, *[bin_of(n).alias(f"_b_{n}") for n in sets])
+    counts = grouping_sets_stats(binned, {n: [*ks, f"_b_{n}"] for n, ks in sets.items()},
+                                 {"_c": F.count(F.lit(1)), "_lo": F.min(x), "_hi": F.max(x)})
+    narrowed = {}
+    for n, ks in sets.items():
+        own = Window.partitionBy(*ks)  # at most ``bins`` rows a group
+        t = counts[n].where(F.col(f"_b_{n}").isNotNull()).select(
+            *ks, "_c", "_lo", "_hi", F.sum("_c").over(own).alias("_n"),
+            (F.sum("_c").over(own.orderBy(f"_b_{n}")) - F.col("_c")).alias("_before"))
+        low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+        holds = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_c"))
+        narrowed[n] = t.where(holds(low) | holds(high)).groupBy(*ks).agg(
+            F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_n").alias("_n"), F.min("_before").alias("_below"))
+
+    def within(n: str) -> F.Column:
+        return F.col(x).between(F.col(f"_r_{n}._lo"), F.col(f"_r_{n}._hi"))
+
+    near = joined(narrowed, counts.small).where(reduce(lambda a, b: a | b, [F.coalesce(within(n), F.lit(False)) for n in sets]))
+
+    def entry(i: int, n: str) -> F.Column:
+        r = f"_r_{n}"
+        return F.when(within(n), F.struct(
+            F.lit(i).alias("_sid"), F.concat_ws(sep, *[F.col(k).cast("string") for k in sets[n]]).alias("_k"),
+            F.col(f"{r}._n").alias("_n"), F.col(f"{r}._below").alias("_below")))
+    entries = F.filter(F.array(*[entry(i, n) for i, n in enumerate(sets)]), lambda e: e.isNotNull())
+    by_value = (near.select(F.col(x).alias("_x"), F.explode(entries).alias("_e")).select("_e.*", "_x")
+                .groupBy("_sid", "_k", "_x").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"), F.max("_below").alias("_below")))
+    # written first: a sort by ranges reads its input twice
+    cum = running_sum(materialize(by_value), [F.col(c) for c in ("_sid", "_k", "_x")], "_c", "_cum").withColumn("_before", F.col("_cum") - F.col("_c"))
+    base = cum.groupBy("_sid", "_k").agg(F.min("_before").alias("_base"))
+    pos = F.col("_before") - F.col("_base") + F.col("_below")
+    at = lambda p: (pos <= p) & (p < pos + F.col("_c"))
+    found = cum.join(bounded(base), ["_sid", "_k"]).groupBy("_sid", "_k").agg(
+        F.max(F.when(at(F.floor((F.col("_n") - 1) / 2)), F.col("_x"))).alias("_l"),
+        F.max(F.when(at(F.floor(F.col("_n") / 2)), F.col("_x"))).alias("_h"))
+    equal = F.col("_l") == F.col("_h")
+    medians = materialize(found.select("_sid", "_k", F.when(equal, F.col("_l")).otherwise(
+        F.col("_l") + (F.col("_h") - F.col("_l")) * 0.5).alias("_m")))
+    out = SetTables()
+    out.small = fits_broadcast(medians)
+    for i, (n, ks) in enumerate(sets.items()):
+        parts = F.split(F.col("_k"), sep, -1)
+        out[n] = medians.where(F.col("_sid") == i).select(*[F.get(parts, j).cast(types[k]).alias(k) for j, k in enumerate(ks)], "_m")
+    return out

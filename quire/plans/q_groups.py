@@ -261,16 +261,16 @@ def a3_country_group_price_stats(spark, sf_dir):
 def a4_country_group_price_median(spark, sf_dir):
     """Raw-price mean / exact median / sample std by (country, category n)
     and (country, key prefix 2); nulls filled with 'empty'. Means and stds
-    come from one GROUPING SETS pass; medians from the distributed exact
-    median (no group's values gathered in one task)."""
+    come from one GROUPING SETS pass; medians are selected by narrowing each
+    group's bounds (no group's values gathered in one task)."""
     c = C(spark, sf_dir)
     rows = c.select("sku_id", "country", "price",
                     *[F.coalesce(F.col(k), F.lit("empty")).alias(f"g{i}") for i, k in enumerate(CATS, start=1)],
                     F.substring("sku_id", 1, 2).alias("g4"))
     rows = materialize(rows)
     sets = {f"g{n}": ["country", f"g{n}"] for n in (1, 2, 3, 4)}
-    stats = G.grouping_sets_stats(rows, sets, {"m": G.exact_avg("price"), "s": F.stddev_samp("price")})
-    meds = G.exact_median_sets(rows, sets, "price")
+    stats = G.grouping_sets_stats(rows, sets, {"m": G.exact_avg("price"), "s": F.stddev_samp("price")} | G.range_aggs("price"))
+    meds = G.selected_median_sets(rows, sets, "price", stats)
     out = rows
     for n in (1, 2, 3, 4):
         t = stats[f"g{n}"].select("country", f"g{n}", F.col("m").alias(f"price_avg{n}"),
