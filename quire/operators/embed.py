@@ -9,21 +9,46 @@ row per dimension.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.joins import bounded
+from quire.operators.joins import bounded, materialize, max_broadcast_bytes, max_broadcast_rows, measure
 from quire.operators.ordered import ordered_index
 
 # Token characters removed by the sequence tokenizer (replaced by a space).
 SEQ_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
 
+#: Most slices of a vector table, each of which is broadcast.
+MAX_SLICES = 16
+
+
 def token_vectors(tokens: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(key, pos, word, vec) for tokens with a vector."""
-    return tokens.join(bounded(vectors), "word").select(key, "pos", "word", "vec")
+    """(key, pos, word, vec) for tokens with a vector.
+
+    A vector table over the broadcast bounds is dealt by word into slices that
+    are each within them, and the tokens meet one slice after the other: a
+    shuffle by word would carry a vector for each token, and once more to its
+    key. Beyond MAX_SLICES slices it is a shuffle join."""
+    vectors = materialize(vectors)
+    spark = tokens.sparkSession
+    n, size = measure(vectors)
+    rows, most = max_broadcast_rows(spark), max_broadcast_bytes(spark)
+    slices = max(-(-n // rows) if rows else n, -(-size // most) if most else n, 1)
+    if slices == 1:
+        parts = [F.broadcast(vectors)]
+    elif slices > MAX_SLICES:
+        parts = [vectors]
+    else:
+        # a quarter more than needed, for slices are not alike
+        slices = -(-5 * slices // 4)
+        place = F.pmod(F.xxhash64("word"), F.lit(slices))
+        parts = [bounded(vectors.where(place == i), cheap=True) for i in range(slices)]
+    return reduce(DataFrame.unionByName, [tokens.join(p, "word").select(key, "pos", "word", "vec") for p in parts])
 
 
 def vector_aggregate(tv: DataFrame, key: str, how: str = "mean", weight: Column | None = None) -> DataFrame:

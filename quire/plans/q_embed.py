@@ -65,9 +65,11 @@ def e3_concat_vector(spark, sf_dir):
     """The vectors of the first 70 tokens side by side, sparse long form
     (sku_id, idx = position * dim + d, value); unknown tokens leave zeros."""
     _, toks = _tokens(spark, sf_dir)
-    tv = EM.token_vectors(toks.where(F.col("pos") < CONCAT_WORDS), V(spark, sf_dir), "sku_id")
+    # values are rounded once for each word, not for each of its tokens
+    rounded = V(spark, sf_dir).select("word", F.transform("vec", lambda x: r(x)).alias("vec"))
+    tv = EM.token_vectors(toks.where(F.col("pos") < CONCAT_WORDS), rounded, "sku_id")
     return tv.select("sku_id", "pos", F.posexplode("vec").alias("d", "value")).select(
-        "sku_id", (F.col("pos") * DIM + F.col("d")).cast("long").alias("idx"), r("value").alias("value"))
+        "sku_id", (F.col("pos") * DIM + F.col("d")).cast("long").alias("idx"), "value")
 
 
 @query("e4_idf_weighted_mean_vector", oracle=views("v") + ", " + TT_POS + f""",
