@@ -41,7 +41,7 @@ def phrase_index(lexicons: dict[str, DataFrame]) -> DataFrame:
 
 def phrase_hits(df: DataFrame, key: str, words: Column, lexicons: dict[str, DataFrame]) -> DataFrame:
     """(key, at, phrase, names): every place, counted from 0, where a phrase
-    begins among the row's words, overlaps included. A row without any has one
+    begins among the row's words, overlaps included. Each row also has one
     row with nulls, so that it isn't lost to an aggregate by key."""
     index = materialize(phrase_index(lexicons), "phrases")
     small = fits_broadcast(index)
@@ -50,16 +50,17 @@ def phrase_hits(df: DataFrame, key: str, words: Column, lexicons: dict[str, Data
     # by the number of phrase lengths at most
     firsts = side(index.groupBy("first").agg(F.collect_set("n_words").alias("lengths")), small)
     known = side(index.select("phrase", "names"), small)
-    windows = df.select(key, words.alias("_w")).select(key, F.explode_outer(F.transform(
+    windows = df.select(key, words.alias("_w")).select(key, F.explode(F.transform(
         "_w", lambda w, i: F.struct(i.alias("at"), w.alias("first"), F.slice("_w", i + 1, longest).alias("win")))).alias("_s"))
     tried = (windows.select(key, F.col("_s.at").alias("at"), F.col("_s.first").alias("first"), F.col("_s.win").alias("win"))
-             .join(firsts, "first", "left")
-             .select(key, "at", "win", F.explode_outer("lengths").alias("n"))
-             .select(key, "at", F.when(F.size("win") >= F.col("n"),
-                                       F.array_join(F.slice("win", 1, F.coalesce("n", F.lit(1))), " ")).alias("phrase")))
-    return (tried.join(known, "phrase", "left")
-            .select(key, F.when(F.col("names").isNotNull(), F.col("at")).alias("at"),
-                    F.when(F.col("names").isNotNull(), F.col("phrase")).alias("phrase"), "names"))
+             .join(firsts, "first")
+             .select(key, "at", "win", F.explode("lengths").alias("n"))
+             .where(F.size("win") >= F.col("n"))
+             .select(key, "at", F.array_join(F.slice("win", 1, F.col("n")), " ").alias("phrase")))
+    found = tried.join(known, "phrase").select(key, "at", "phrase", "names")
+    # places without a phrase stay out of the joins: as null keys a shuffle would send them all to one task
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("at", "phrase", "names")]
+    return found.unionByName(df.select(key, *none))
 
 
 def lexicon_flags(df: DataFrame, key: str, text, lexicons: dict[str, DataFrame]) -> DataFrame:
