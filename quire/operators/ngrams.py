@@ -101,13 +101,25 @@ def n_rows(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def kept_terms(d: DataFrame, n_docs: Column, min_df=1, max_df=1.0) -> DataFrame:
+    """The (term, df) rows within [min_df, max_df]; a float bound is a
+    fraction of the rows, an int an absolute count."""
+    lo = F.lit(float(min_df)) * n_docs if isinstance(min_df, float) else F.lit(min_df)
+    hi = F.lit(float(max_df)) * n_docs if isinstance(max_df, float) else F.lit(max_df)
+    return d.where((F.col("df") >= lo) & (F.col("df") <= hi))
+
+
+def filtered_tfidf(tc: DataFrame, key: str, n_docs: Column, min_df=1, max_df=1.0) -> DataFrame:
+    """N3 and N4 in one: weights of the terms that ``df_filter`` keeps. The
+    join that attaches the idf drops the others, so that the counts meet a
+    table of terms once and are not written between."""
+    return tfidf(tc, key, n_docs, idf_table=smooth_idf(kept_terms(doc_freq(tc), n_docs, min_df, max_df), n_docs))
+
+
 def df_filter(tc: DataFrame, n_docs: Column, min_df=1, max_df=1.0) -> DataFrame:
     """Keep terms whose document frequency is within [min_df, max_df];
     a float bound is a fraction of the rows, an int an absolute count."""
-    d = doc_freq(tc)
-    lo = F.lit(float(min_df)) * n_docs if isinstance(min_df, float) else F.lit(min_df)
-    hi = F.lit(float(max_df)) * n_docs if isinstance(max_df, float) else F.lit(max_df)
-    keep = d.where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term")
+    keep = kept_terms(doc_freq(tc), n_docs, min_df, max_df).select("term")
     return tc.join(bounded(keep), "term", "left_semi")
 
 

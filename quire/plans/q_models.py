@@ -15,7 +15,7 @@ from quire.operators import blocks as BL
 from quire.operators import models as MD
 from quire.operators.folds import stratified_folds
 from quire.operators.joins import materialize
-from quire.operators.ngrams import char_ngrams, df_filter, n_rows, term_counts, tfidf, word_ngrams
+from quire.operators.ngrams import char_ngrams, filtered_tfidf, n_rows, term_counts, word_ngrams
 from quire.operators.ordered import ordered_index
 from quire.operators.random_trees import select_per_fold
 from quire.plans.common import D, r
@@ -67,7 +67,7 @@ def feature_blocks(d):
     one-hot categories, TF-IDF of title words, a constant."""
     n = n_rows(d)
     words = term_counts(d.select("sku_id", X.tokenise_words("title").alias("tok")), "sku_id", F.col("tok"))
-    weights = tfidf(materialize(df_filter(materialize(words), n, BLOCK_MIN_DF, 1.0)), "sku_id", n)
+    weights = filtered_tfidf(materialize(words), "sku_id", n, BLOCK_MIN_DF, 1.0)
     return [BL.measure_block(d, "sku_id", feature_columns()), BL.one_hot_block(d, "sku_id", HOT),
             weights.withColumnRenamed("weight", "value"), BL.constant_block(d, "sku_id")]
 
@@ -87,7 +87,8 @@ def sparse_tables(spark, sf_dir, labels):
     out = {}
     for label in labels:
         folds = stratified_folds(d, "sku_id", label, N_FOLDS, 2017).select("sku_id", "fold")
-        out[label] = (MD.by_rows(materialize(vectors.join(folds, "sku_id"))), MD.by_rows(materialize(vectors.where(F.col(label).isNull()))))
+        train = materialize(vectors.join(folds, "sku_id"))
+        out[label] = (MD.by_gradients(train), MD.by_rows(materialize(vectors.where(F.col(label).isNull()))))
     return out
 
 
@@ -319,8 +320,8 @@ def g6_category_membership_probabilities(spark, sf_dir):
     grams = (d.select("sku_id", X.tokenise_words("title").alias("tk"))
              .select("sku_id", word_ngrams(F.col("tk"), 1, 2).alias("grams")))
     n = n_rows(d)
-    tc = materialize(df_filter(materialize(term_counts(grams, "sku_id", F.col("grams"))), n, 2, 0.9))
-    weights = materialize(tfidf(tc, "sku_id", n))
+    tc = materialize(term_counts(grams, "sku_id", F.col("grams")))
+    weights = materialize(filtered_tfidf(tc, "sku_id", n, 2, 0.9))
     parts = [MD.multinomial_nb(weights, d.select("sku_id", k), "sku_id", k).select(
         F.lit(level).alias("level"), "sku_id", F.col(k).alias("category"), F.round("prob", 5).alias("prob"))
         for level, k in ((1, "category_lvl_1"), (2, "category_lvl_2"))]
@@ -339,7 +340,7 @@ def n9_truncated_svd(spark, sf_dir):
     d = D(spark, sf_dir)
     n = n_rows(d)
     tc = materialize(term_counts(d.select("sku_id", char_ngrams("title", 2, 5).alias("grams")), "sku_id", F.col("grams")))
-    weights = materialize(tfidf(materialize(df_filter(tc, n, 3, 1.0)), "sku_id", n))
+    weights = materialize(filtered_tfidf(tc, "sku_id", n, 3, 1.0))
     grams = materialize(ordered_index(weights.select("term").distinct(), ["term"], name="col"))
     listings = materialize(ordered_index(d.select("sku_id"), ["sku_id"], name="row"))
     width = grams.count()
