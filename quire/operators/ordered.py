@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from quire.operators.joins import materialize
 
 
+#: Rows of a run: 2 to this power; one offset for each is broadcast.
+RUN_BITS = 16
+
+
 def ordered_index(df: DataFrame, order_cols, name: str = "idx", start: int = 0) -> DataFrame:
     """Attach a consecutive index following ``order_cols`` (ties must be
     broken by the caller so the order is total)."""
@@ -35,12 +39,16 @@ def ordered_index(df: DataFrame, order_cols, name: str = "idx", start: int = 0)
 
 def running_sum(df: DataFrame, order_cols, value, name: str) -> DataFrame:
     """Cumulative sum in row order, as a per-partition prefix sum plus
-    the totals of all earlier range partitions."""
+    the totals of all earlier range partitions.
+
+    Ranges are cut into runs of RUN_ROWS rows in order; the prefix sum is a
+    window over a run, so that no task holds a range."""
     tagged = (df.orderBy(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())
+              # the partition is in the upper bits, so runs are numbered in row order
+              .withColumn("_pid", F.shiftright("_mid", RUN_BITS)))
     tagged = materialize(tagged)
-    totals = tagged.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    totals = materialize(tagged.groupBy("_pid").agg(F.sum(value).alias("_t")))
     offsets = totals.select(
         "_pid",
         F.coalesce(F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
