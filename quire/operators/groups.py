@@ -113,15 +113,18 @@ def attach_counts(df: DataFrame, keys, name: str, drop_null_keys: bool = False)
     return attach_group_stats(df, keys, {name: F.count(F.lit(1))}, drop_null_keys)
 
 
-def group_word_totals(df: DataFrame, group, text, prefix: str) -> DataFrame:
-    """A5: total and distinct single-space words over all texts of a group,
-    by exploding words - never by concatenating a group's text."""
+def word_counts(df: DataFrame, groups: list[str], text) -> DataFrame:
+    """(groups, _w, _n): how often each single-space word occurs in each
+    combination of the groups."""
+    return df.select(*groups, F.explode(words_space(text)).alias("_w")).groupBy(*groups, "_w").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def group_word_totals(counts: DataFrame, group, prefix: str) -> DataFrame:
+    """A5: total and distinct words over all texts of a group, out of the
+    ``word_counts`` of finer groups - never by concatenating a group's text."""
     group = _list(group)
-    words = df.select(*group, F.explode(words_space(text)).alias("_w"))
-    totals = words.groupBy(*group).agg(F.count(F.lit(1)).alias(f"{prefix}_words"))
-    distinct = (words.distinct().groupBy(*group)
-                .agg(F.count(F.lit(1)).alias(f"{prefix}_nunique")))
-    return totals.join(distinct, group)
+    words = counts.groupBy(*group, "_w").agg(F.sum("_n").alias("_n"))
+    return words.groupBy(*group).agg(F.sum("_n").alias(f"{prefix}_words"), F.count(F.lit(1)).alias(f"{prefix}_nunique"))
 
 
 def exact_sum(x, scale: int = 6) -> F.Column:

@@ -285,10 +285,12 @@ def a4_country_group_price_median(spark, sf_dir):
 
 # --------------------------------------------------------------------- A5 / A6
 def _word_totals(spark, sf_dir, log: bool, text="title"):
-    d = D(spark, sf_dir).withColumn("t", space_punctuation(text))
+    d = D(spark, sf_dir)
     out = d.select("sku_id", *CATS)
+    # texts are cleaned and split once for all categories
+    counts = materialize(G.word_counts(d.withColumn("t", space_punctuation(text)), CATS, "t"))
     for n, k in enumerate(CATS, start=1):
-        tot = G.group_word_totals(d.where(F.col(k).isNotNull()), k, "t", f"cat{n}")
+        tot = G.group_word_totals(counts.where(F.col(k).isNotNull()), k, f"cat{n}")
         out = out.join(bounded(tot), k, "left")
     cols = [f"cat{n}_{s}" for n in (1, 2, 3) for s in ("words", "nunique")]
     f = (lambda c: r(F.ln(F.col(c)))) if log else (lambda c: F.col(c).cast("long"))
