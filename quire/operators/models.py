@@ -32,7 +32,7 @@ from quire.operators.random_trees import RandomTrees
 THREADS = 8
 #: Rows of a training table in one partition.
 ROWS_PER_TASK = 20_000
-#: Rows of one partition of sparse vectors: every pass over them sends a dense gradient from about the root of their partitions to the driver.
+#: Rows of one partition of a table for ``by_gradients``: every pass sends sums as large as the model from its partitions.
 SPARSE_ROWS_PER_TASK = 200_000
 _running = threading.local()
 
@@ -129,8 +129,9 @@ def by_rows(table: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
 
 
 def by_gradients(table: DataFrame) -> DataFrame:
-    """A written table of sparse vectors for fits whose every pass returns a
-    dense gradient: a partition for each core, more above SPARSE_ROWS_PER_TASK."""
+    """A written table for fits whose every pass returns sums of the model's
+    own size (a dense gradient, the bins of all nodes of a level) from each
+    partition: a partition for each core, more above SPARSE_ROWS_PER_TASK."""
     n, cores = table.count(), table.sparkSession.sparkContext.defaultParallelism
     return table.coalesce(max(1, -(-n // SPARSE_ROWS_PER_TASK), min(cores, -(-n // ROWS_PER_TASK))))
 

@@ -137,7 +137,7 @@ def m3_seed_bagging(spark, sf_dir):
 
 def _fit_all(spark, sf_dir, factory, clip=False):
     train, test, names = model_tables(spark, sf_dir)
-    model = factory(train, names)(7, train.count()).fit(train)
+    model = factory(train, names)(7, train.count()).fit(MD.by_gradients(train))
     out = MD.positive_score(model.transform(train.unionByName(test.withColumn("fold", F.lit(-1)))))
     if clip:
         out = out.withColumn("pred", F.least(F.greatest("pred", F.lit(0.0)), F.lit(1.0)))

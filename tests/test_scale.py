@@ -13,6 +13,7 @@ from quire.operators import models as MD
 from quire.operators import ngrams as NG
 from quire.operators import ordered as O
 from quire.operators import random_trees as RT
+from quire.plans import q_models as Q
 
 
 def test_training_tables_fill_the_cores(spark):
@@ -81,3 +82,21 @@ def test_gradient_tables_have_a_partition_for_each_core_at_most(spark, monkeypat
     monkeypatch.setattr(MD, "ROWS_PER_TASK", 10)
     table = spark.range(2000).repartition(60)
     assert MD.by_gradients(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_fits_on_all_rows_have_a_partition_for_each_core_at_most(spark, monkeypatch):
+    monkeypatch.setattr(MD, "ROWS_PER_TASK", 10)
+    rows = [(str(i), i % 2, i % 3, Vectors.dense([float(i % 7), float(i)])) for i in range(600)]
+    train = MD.by_rows(spark.createDataFrame(rows, ["sku_id", Q.LABEL, "fold", "features"]).repartition(60), 10)
+    monkeypatch.setattr(Q, "model_tables", lambda *a: (train, train.drop("fold"), ["a", "b"]))
+    seen = []
+
+    def factory(table, names):
+        def make(seed, n):
+            est = MD.ridge(Q.LABEL, 0.5)(seed, n)
+            fit = est.fit
+            est.fit = lambda df: (seen.append(df.rdd.getNumPartitions()), fit(df))[1]
+            return est
+        return make
+    assert Q._fit_all(spark, "", factory).count() == 1200
+    assert seen == [spark.sparkContext.defaultParallelism] and train.rdd.getNumPartitions() == 60
