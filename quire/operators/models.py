@@ -230,9 +230,10 @@ def extra_trees(label: str, trees: int = 1000, depth: int = 18) -> EstimatorFact
 
 
 def random_forest(label: str, trees: int = 500, depth: int = 18, impurity: str = "entropy") -> EstimatorFactory:
-    """Random forest."""
-    return lambda seed, n: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees,
-                                                  maxDepth=depth, impurity=impurity, seed=seed, maxMemoryInMB=1024)
+    """Random forest. Each row's nodes are kept from level to level:
+    the same trees, but no level walks down from their roots."""
+    return lambda seed, n: RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
+                                                  impurity=impurity, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
 
 
 def mlp(label: str, n_features: int, hidden: int = 128, max_iter: int = 5) -> EstimatorFactory:
@@ -247,7 +248,7 @@ def importance_select(train: DataFrame, label: str, names: list[str], trees: int
     """Indices of the features whose forest importance is at least the
     mean importance, and all importances (one small vector on the driver)."""
     model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
-                                   seed=seed).fit(train)
+                                   seed=seed).fit(by_gradients(train))
     imp = model.featureImportances.toArray().tolist()
     mean = sum(imp) / len(imp) if imp else 0.0
     return [i for i, v in enumerate(imp) if v >= mean], imp

@@ -100,3 +100,11 @@ def test_fits_on_all_rows_have_a_partition_for_each_core_at_most(spark, monkeypa
         return make
     assert Q._fit_all(spark, "", factory).count() == 1200
     assert seen == [spark.sparkContext.defaultParallelism] and train.rdd.getNumPartitions() == 60
+
+
+def test_forests_keep_the_rows_nodes_and_grow_the_same_trees(spark):
+    rows = [(i, int((i * 37) % 11 > 4 or i % 5 == 0), Vectors.dense([(i * 37) % 11, i % 7, (i * 13) % 5])) for i in range(400)]
+    data = spark.createDataFrame(rows, ["id", "label", "features"]).repartition(3).cache()
+    forest = MD.random_forest("label", trees=8, depth=9)(7, 400)
+    assert forest.getCacheNodeIds()
+    assert forest.fit(data).toDebugString.split("\n")[1:] == forest.copy({forest.cacheNodeIds: False}).fit(data).toDebugString.split("\n")[1:]
