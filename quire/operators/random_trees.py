@@ -10,6 +10,11 @@ values by (tree, node, feature), then class counts left of the drawn
 thresholds. Tasks add up their rows, Spark adds up the tasks, and the driver
 holds only trees, whose depth bounds them. Draws are hashes of (seed, tree,
 node, feature), so neither partitions nor retries change a tree.
+
+A block of rows holds, for each value, its rank among the feature's values in
+the block: two bytes instead of eight, and thresholds become ranks as well.
+Rows walk down a tree again at each level, all at once, one step for each of
+its levels; what they would need to keep instead is rows times trees.
 """
 
 from __future__ import annotations
@@ -102,42 +107,105 @@ class RandomTree:
         return out / out.sum() if out.sum() > 0 else out
 
 
-def own_rows(tree: RandomTree, x, y, fold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the tree's last level of the rows it is fitted on, sorted, with their values and classes."""
-    at = tree.nodes(x) - tree.start
-    rows = np.flatnonzero((at >= 0) & (fold != tree.held))
-    # a stable sort of 16-bit numbers takes linear time
-    place = at[rows].astype(np.uint16 if tree.width < 1 << 16 else np.int64)
-    rows = rows[np.argsort(place, kind="stable")]
-    return at[rows], x.take(rows, axis=0), y[rows]
+@dataclass
+class Group:
+    """Trees that grow in the same aggregates, end to end: leaves have
+    feature 0 and are their own child; all have the same number of levels."""
+    levels: int
+    held: list[int]
+    starts: list[int]
+    widths: list[int]
+    ends: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    leaf: np.ndarray
+    child: np.ndarray
+
+    @staticmethod
+    def of(trees: list[RandomTree], levels: int) -> "Group":
+        feature = np.concatenate([t.feature for t in trees]).astype(np.int64)
+        leaf = feature < 0
+        child = np.concatenate([np.where(t.feature < 0, np.arange(len(t.feature)), t.child) for t in trees])
+        return Group(levels, [t.held for t in trees], [t.start for t in trees], [t.width for t in trees],
+                     np.cumsum([0] + [len(t.feature) for t in trees]), np.where(leaf, 0, feature),
+                     np.concatenate([t.threshold for t in trees]), leaf, child)
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The values (row, feature) as ranks among the distinct values of their feature, and these."""
+    found = [np.unique(column, return_inverse=True) for column in x.T]
+    kind = np.uint16 if max(len(v) for v, _ in found) < 1 << 16 else np.uint32
+    return np.stack([ranks.reshape(-1) for _, ranks in found], axis=1).astype(kind), [v for v, _ in found]
+
+
+def rank_cuts(values: list[np.ndarray], features: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """For each threshold the rank from which on a block's values are greater."""
+    out = np.zeros(features.shape, np.int64)
+    for f, v in enumerate(values):
+        own = features == f
+        out[own] = np.searchsorted(v, thresholds[own], "right")
+    return out
 
 
-def value_ranges(trees: list[RandomTree], x, y, fold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def last_level(group: Group, x, y, fold, values):
+    """For each tree (its number, the rows it is fitted on that reach its last
+    level, their places there, the tree's rows by feature and by row, classes)."""
+    cuts = np.where(group.leaf, np.iinfo(np.int64).max, rank_cuts(values, group.feature, group.threshold))
+    held, rows, cols, cls, every = None, x, None, y, np.arange(len(x))
+    for t, (out, start) in enumerate(zip(group.held, group.starts)):
+        if cols is None or out != held:
+            own = fold != out
+            rows, cls = (x, y) if own.all() else (x[own], y[own])
+            held, cols, every = out, np.ascontiguousarray(rows.T), np.arange(len(rows))
+        tree = slice(group.ends[t], group.ends[t + 1])
+        feature, cut, child = group.feature[tree], cuts[tree], group.child[tree]
+        flat, width = rows.reshape(-1), rows.shape[1]
+        if not group.levels:
+            yield t, every, np.zeros(len(rows), np.int64), cols, flat, cls
+            continue
+        moving, at = every, child[0] + (cols[feature[0]] >= cut[0])
+        for level in range(1, group.levels):
+            if level % 3 == 1:  # rows in leaves of earlier levels need not walk on
+                live = np.flatnonzero(child.take(at) != at)
+                moving, at = moving.take(live), at.take(live)
+            at = child.take(at) + (flat.take(moving * width + feature.take(at)) >= cut.take(at))
+        live = np.flatnonzero(at >= start)
+        yield t, moving.take(live), at.take(live) - start, cols, flat, cls
+
+
+def value_ranges(group: Group, x, y, fold, values) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least and greatest values (node, feature) and class counts (node, 2) of the last levels, tree after tree."""
-    size = sum(t.width for t in trees)
+    size = sum(group.widths)
     low, high = np.full((size, x.shape[1]), np.inf), np.full((size, x.shape[1]), -np.inf)
-    counts, base = np.zeros((size, 2)), 0
-    for t in trees:
-        at, own, cls = own_rows(t, x, y, fold)
-        if len(at):
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            low[base + at[first]] = np.minimum.reduceat(own, first, axis=0)
-            high[base + at[first]] = np.maximum.reduceat(own, first, axis=0)
-            counts[base:base + t.width] = np.bincount(2 * at + cls, minlength=2 * t.width).reshape(-1, 2)
-        base += t.width
+    counts, bases = np.zeros((size, 2)), np.cumsum([0] + group.widths)
+    for t, rows, at, cols, _, cls in last_level(group, x, y, fold, values):
+        if not len(rows):
+            continue
+        width, base = group.widths[t], bases[t]
+        counts[base:base + width] = np.bincount(2 * at + cls.take(rows), minlength=2 * width).reshape(-1, 2)
+        if width > 1:  # a stable sort of 16-bit numbers takes linear time
+            rows = rows.take(np.argsort(at.astype(np.uint16 if width < 1 << 16 else np.int64), kind="stable"))
+        n = counts[base:base + width].sum(axis=1).astype(np.int64)
+        places = np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[places]
+        for f, v in enumerate(values):
+            own = cols[f].take(rows)
+            low[base + places, f] = v.take(np.minimum.reduceat(own, first))
+            high[base + places, f] = v.take(np.maximum.reduceat(own, first))
     return low, high, counts
 
 
-def left_counts(trees: list[RandomTree], features: np.ndarray, thresholds: np.ndarray, x, y, fold) -> np.ndarray:
+def left_counts(group: Group, features: np.ndarray, thresholds: np.ndarray, x, y, fold, values) -> np.ndarray:
     """Class counts (node, candidate, 2) of the rows at or under each drawn threshold."""
-    out, base = np.zeros((*features.shape, 2)), 0
-    for t in trees:
-        at, own, cls = own_rows(t, x, y, fold)
-        rows = np.arange(len(at))
+    out, bases = np.zeros((*features.shape, 2)), np.cumsum([0] + group.widths)
+    cuts = rank_cuts(values, features, thresholds)
+    for t, rows, at, _, flat, cls in last_level(group, x, y, fold, values):
+        width, base = group.widths[t], bases[t]
+        key, first = 2 * at + cls.take(rows), rows * x.shape[1]
         for j in range(features.shape[1]):
-            under = own[rows, features[base + at, j]] <= thresholds[base + at, j]
-            out[base:base + t.width, j] = np.bincount((2 * at + cls)[under], minlength=2 * t.width).reshape(-1, 2)
-        base += t.width
+            own = slice(base, base + width)
+            under = flat.take(first + features[own, j].take(at)) < cuts[own, j].take(at)
+            out[own, j] = np.bincount(key, under, 2 * width).reshape(-1, 2)
     return out
 
 
@@ -190,18 +258,18 @@ class RandomTrees(Estimator, HasLabelCol, HasFeaturesCol, HasSeed):
         def block(part):
             part = list(part)
             if part:
-                yield (np.nan_to_num(np.array([r["a"] for r in part], float)), np.array([r["y"] for r in part], np.int64),
-                       np.array([r["fold"] for r in part], np.int64))
+                x, values = ranked(np.nan_to_num(np.array([r["a"] for r in part], float)))
+                yield x, np.array([r["y"] for r in part], np.int64), np.array([r["fold"] for r in part], np.int64), values
         n_rows = rows.count()
         parts = max(1, -(-n_rows * (8 * width + 16) // PARTITION_BYTES),
                     min(dataset.sparkSession.sparkContext.defaultParallelism, n_rows // MIN_ROWS))
-        blocks = spread(rows, parts).rdd.mapPartitions(block).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = spread(rows, parts).rdd.mapPartitions(block).persist(StorageLevel.MEMORY_AND_DISK_DESER)
         trees = [RandomTree(i, h) for h in held for i in range(get("numTrees"))]
         open_trees = trees
-        for _ in range(get("maxDepth")):
+        for level in range(get("maxDepth")):
             grown = []
             for group in self._groups(open_trees, width):
-                grown += self._grow(blocks, group, width)
+                grown += self._grow(blocks, group, width, level)
             open_trees = grown
         blocks.unpersist()
         n = get("numTrees")
@@ -219,9 +287,9 @@ class RandomTrees(Estimator, HasLabelCol, HasFeaturesCol, HasSeed):
         if group:
             yield group
 
-    def _grow(self, blocks, trees: list[RandomTree], width: int) -> list[RandomTree]:
+    def _grow(self, blocks, trees: list[RandomTree], width: int, level: int) -> list[RandomTree]:
         """One more level; the trees that have split nodes."""
-        sent = blocks.context.broadcast(trees)
+        sent = blocks.context.broadcast(Group.of(trees, level))
         low, high, counts = blocks.map(lambda b: value_ranges(sent.value, *b)).treeReduce(
             lambda a, b: (np.minimum(a[0], b[0]), np.maximum(a[1], b[1]), a[2] + b[2]))
         k = min(width, self.getOrDefault("candidates") or max(1, int(width ** 0.5)))
