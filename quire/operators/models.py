@@ -154,13 +154,28 @@ def bagged(train: DataFrame, test: DataFrame | None, key: str, label: str, fold_
     return mean([r[0] for r in runs]), None if test is None else mean([r[1] for r in runs])
 
 
+def label_column(label: str) -> str:
+    return f"_labels_{label}"
+
+
+def with_labels(weights: DataFrame, rows: DataFrame, key: str, labels: list[str]) -> DataFrame:
+    """Term weights with, for each label, the list of its values in the rows
+    of the key. Right after weights were worked out by key this join doesn't
+    shuffle them; each ``multinomial_nb`` would shuffle them once more."""
+    known = rows.groupBy(key).agg(*[F.collect_list(c).alias(label_column(c)) for c in labels])
+    return weights.join(known, key)
+
+
 def multinomial_nb(weights: DataFrame, labels: DataFrame, key: str, label: str, smoothing: float = 1.0) -> DataFrame:
     """(key, label, prob), multinomial naive Bayes of long-form
     (key, term, weight) features, fitted on the rows of ``labels`` (key,
     label) and scored on them. Any vocabulary: every term's class weights are
-    one grouped sum, no term is hashed, dropped or gathered on the driver."""
+    one grouped sum, no term is hashed, dropped or gathered on the driver.
+    Weights that carry their keys' labels (``with_labels``) are not joined with them."""
     known = labels.where(F.col(label).isNotNull()).select(key, label)
-    of_class = materialize(weights.join(known, key).groupBy("term", label).agg(F.sum("weight").alias("w")))
+    carried = label_column(label) in weights.columns
+    labelled = (weights.select("term", "weight", F.explode(label_column(label)).alias(label)) if carried else weights.join(known, key))
+    of_class = materialize(labelled.groupBy("term", label).agg(F.sum("weight").alias("w")))
     totals = of_class.groupBy(label).agg(F.sum("w").alias("total"))
     vocabulary = of_class.agg(F.countDistinct("term")).scalar()
     rows = known.agg(F.count(F.lit(1))).scalar()

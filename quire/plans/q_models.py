@@ -320,10 +320,11 @@ def g6_category_membership_probabilities(spark, sf_dir):
              .select("sku_id", word_ngrams(F.col("tk"), 1, 2).alias("grams")))
     n = n_rows(d)
     tc = materialize(term_counts(grams, "sku_id", F.col("grams")))
-    weights = materialize(filtered_tfidf(tc, "sku_id", n, 2, 0.9))
+    labels = ["category_lvl_1", "category_lvl_2"]
+    weights = materialize(MD.with_labels(filtered_tfidf(tc, "sku_id", n, 2, 0.9), d, "sku_id", labels))
     parts = [MD.multinomial_nb(weights, d.select("sku_id", k), "sku_id", k).select(
         F.lit(level).alias("level"), "sku_id", F.col(k).alias("category"), F.round("prob", 5).alias("prob"))
-        for level, k in ((1, "category_lvl_1"), (2, "category_lvl_2"))]
+        for level, k in enumerate(labels, 1)]
     return parts[0].unionByName(parts[1])
 
 

@@ -49,11 +49,13 @@ def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D: one listing per document; title = its whole first line."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
+    # the title is cut before the join, which then carries whole texts only for queries that read them
+    docs = docs.withColumn("title", F.substring_index(F.col("text"), "\n", 1))
     d = docs.join(labels, "doc_id", "left")
     return d.select(
         F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.col("lang")).alias("sku_id"),
         F.col("lang").alias("country"),
-        F.substring_index(F.col("text"), "\n", 1).alias("title"),
+        "title",
         F.col("lang").alias("category_lvl_1"),
         F.col("source").alias("category_lvl_2"),
         F.concat(F.lit("q "), (F.col("n_chars") % 7).cast("string")).alias("category_lvl_3"),
